@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(col).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(col).fill_null(0), dtype=np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

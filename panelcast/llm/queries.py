@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelcast.llm import toxicity, urls
 from panelcast.llm.common import load
 from panelcast.llm.decontaminate import contamination
+from panelcast.llm.jaccard import jaccard_join
+from panelcast.llm.lines import dedup_lines
 from panelcast.llm.packing import best_fit_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +26,37 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Line dedup as common table expressions over `{table}`; `kept` has each document's remaining lines.
+LINE_DEDUP_CTES = """
+hashed AS (
+  SELECT doc_id, lines, list_transform(lines, lambda x: md5(x)) AS h
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {table})),
+ended AS (
+  SELECT doc_id, lines, [i for i in range(1, len(h) + 1) if i = len(h) OR substr(md5(coalesce(h[i - 1], '') || h[i]), 1, 1) < '4'] AS ends
+  FROM hashed),
+spans AS (
+  SELECT doc_id, lines, k, coalesce(ends[k - 1], 0) + 1 AS lo, ends[k] AS hi
+  FROM ended, unnest(range(1, len(ends) + 1)) AS t(k)),
+pieces AS (
+  SELECT doc_id, lo, hi, array_to_string(lines[lo:hi], chr(10)) AS chunk FROM spans),
+marked AS (
+  SELECT doc_id, lo, hi, chunk, hi > lo AND row_number() OVER (PARTITION BY chunk, hi > lo ORDER BY doc_id, lo) > 1 AS gone
+  FROM pieces),
+kept AS (
+  SELECT doc_id, CAST(sum(hi - lo + 1) AS BIGINT) AS n_lines,
+    CAST(coalesce(sum(hi - lo + 1) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
+    CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed_chunks,
+    coalesce(string_agg(chunk, chr(10) ORDER BY lo) FILTER (WHERE NOT gone), '') AS text
+  FROM marked GROUP BY doc_id)"""
+
+OP2_SQL = f"WITH {LINE_DEDUP_CTES.format(table='documents')} SELECT doc_id, n_lines, n_removed, n_removed_chunks, sha256(text) AS kept_sha256 FROM kept"
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -55,13 +90,34 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+#: Fixed rules of the URL query.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(load(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)), URL_RULES)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, toxicity.grade_labels(load(spark, sf_dir, "labels"))))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(load(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"), vocabulary_path())
 
 
 QUERIES: dict[str, Query] = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL}
