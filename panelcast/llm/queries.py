@@ -13,6 +13,7 @@ from panelcast.llm.decontaminate import contamination
 from panelcast.llm.jaccard import jaccard_join
 from panelcast.llm.lines import dedup_lines
 from panelcast.llm.packing import best_fit_packing
+from panelcast.llm.ppm import crc_fold, ppm_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(load(spark, sf_dir, "documents"), crc_fold())
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -112,6 +117,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_url_filter": op5_url_filter,
