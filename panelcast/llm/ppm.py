@@ -2,8 +2,8 @@
 
 The trie of order K is held as a table of (context, next symbol) -> count over
 the learning documents; contexts of lower orders are its marginals. A symbol
-that its longest context has not seen costs an escape (its probability is the
-share of distinct symbols, method C) and is sought in the next shorter context,
+that its longest context has not seen costs an escape (half a count of every
+distinct symbol goes to it, method D) and is sought in the next shorter context,
 where symbols of the longer one are excluded. Texts start after K zero bytes and
 end with an end symbol of their own, so probabilities of texts sum up to one.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import buffers, materialize, table_bytes, text_slices
 
-ORDER = 4
+ORDER = 5
 #: Text bytes of a block; bounds what a task holds.
 BLOCK_BYTES = 24 << 20
 END = 256
@@ -85,12 +85,11 @@ class Trie:
                 q = np.where(seen, self.q[i][at], 0) - out_q[open_]
                 c = _find(self.keys[i], self.counts[i], key)
                 hit = c > 0
-                room = n + q
-                if i == 0 and len(self.keys[0]) == SYMBOLS:
-                    room = n  # nothing is left to escape to
-                out[open_[hit]] += np.log10(c[hit] / room[hit])
+                # at order 0 nothing is left to escape to once all symbols are known
+                spare = 0 if i == 0 and len(self.keys[0]) == SYMBOLS else 1
+                out[open_[hit]] += np.log10((2 * c[hit] - spare) / (2 * n[hit]))
                 esc = ~hit & (q > 0)
-                out[open_[esc]] += np.log10(q[esc] / room[esc])
+                out[open_[esc]] += np.log10(q[esc] / (2 * n[esc]))
                 if i:
                     out_n[open_] = np.where(seen, self.x[i][at], 0)
                     out_q[open_] = np.where(seen, self.q[i][at], 0)
