@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.llm import toxicity, urls
 from panelcast.llm.common import load
 from panelcast.llm.decontaminate import contamination
+from panelcast.llm.fingerprints import fingerprints
 from panelcast.llm.jaccard import jaccard_join
 from panelcast.llm.lines import dedup_lines
 from panelcast.llm.packing import best_fit_packing
@@ -116,6 +117,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -124,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL}
