@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import toxicity, urls
+from panelcast.llm import secrets, toxicity, urls
 from panelcast.llm.common import load
 from panelcast.llm.decontaminate import contamination
 from panelcast.llm.fingerprints import fingerprints
@@ -63,6 +63,10 @@ kept AS (
 OP2_SQL = f"WITH {LINE_DEDUP_CTES.format(table='documents')} SELECT doc_id, n_lines, n_removed, n_removed_chunks, sha256(text) AS kept_sha256 FROM kept"
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -124,6 +128,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
