@@ -15,6 +15,7 @@ from panelcast.llm.jaccard import jaccard_join
 from panelcast.llm.lines import dedup_lines
 from panelcast.llm.packing import best_fit_packing
 from panelcast.llm.ppm import crc_fold, ppm_scores
+from panelcast.llm.suffixes import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +126,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -135,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL}
