@@ -35,8 +35,8 @@ def metrics_long(table: DataFrame, split: str, group: str, *by: str) -> DataFram
 
 
 def inside_band() -> Column:
-    """Null where the model has no band."""
-    return (F.col("y") >= F.col("p10")) & (F.col("y") <= F.col("p90"))
+    """Null where the model has no band: one missing bound is enough."""
+    return F.when(F.col("p10").isNotNull() & F.col("p90").isNotNull(), F.col("y").between(F.col("p10"), F.col("p90")))
 
 
 def coverage(scored: DataFrame, *by: str) -> DataFrame:
