@@ -16,7 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 #: Text bytes handled at once inside a task; bounds the numpy temporaries.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0x2545F4914F6CDD1D)
@@ -96,22 +96,32 @@ def _inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """1, base, base**2, ...; a worker keeps those that its usual slices need."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if len(known) <= 2 * SLICE_BYTES:
+            _POWERS[int(base)] = known
+    return known[:n]
 
 
 class RollingHash:
     """Hashes of any byte range of one buffer, modulo 2**64, from prefix sums."""
 
     def __init__(self, data: np.ndarray, base: np.uint64 = _WORD_BASE):
-        salted = data.astype(np.uint64) + np.uint64(1)
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(salted * powers(base, len(data)), out=self.sums[1:])
+            terms = self.sums[1:]
+            terms[:] = data
+            terms += np.uint64(1)
+            terms *= powers(base, len(data))
+            np.cumsum(terms, out=terms)
             self.unshift = powers(_inverse(base), len(data) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -127,14 +137,20 @@ WORD_BYTES[0x41:0x5B] = np.arange(0x61, 0x7B)
 WORD_BYTES[0x80:] = np.arange(0x80, 0x100)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: All bytes with A-Z lower-cased; white space (0x09-0x0D, 0x20).
+LOWER_BYTES = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+SPACES = np.isin(np.arange(256), [*range(0x09, 0x0E), 0x20])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, by_space: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text in one buffer: (lowered bytes, starts, ends, n+1 word offsets of the texts).
 
-    A word is a maximal run of 0-9, a-z (A-Z lower-cased) and non-ASCII bytes.
+    A word is a maximal run of 0-9, a-z (A-Z lower-cased) and non-ASCII bytes,
+    or with by_space one of bytes that are no white space.
     """
-    low = WORD_BYTES[data]
+    low = (LOWER_BYTES if by_space else WORD_BYTES)[data]
     on = np.zeros(len(data) + 2, dtype=np.int8)
-    on[1:-1] = low != 0
+    on[1:-1] = ~SPACES[data] if by_space else low != 0
     step = np.diff(on)
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]

@@ -23,11 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import buffers, materialize, table_bytes, text_slices
+from panelcast.llm.common import RollingHash, buffers, materialize, table_bytes, text_slices, words
 
 ORDER = 5
 #: Text bytes of a block; bounds what a task holds.
 BLOCK_BYTES = 24 << 20
+SLICE = 1 << 20
 END = 256
 SYMBOLS = 257
 _SYM = np.int64(512)
@@ -151,91 +152,82 @@ class Lookup:
         return out
 
 
-def _words(text: bytes) -> list[bytes]:
-    """Words between white space (0x09-0x0D, 0x20), A-Z lower-cased."""
-    return text.lower().split()
+#: Keys of words are negative, those of (context, symbol) pairs are not.
+_WORD = np.uint64(1 << 63)
+END_WORD = np.int64(-(1 << 63))
+
+
+def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 63-bit hash with the sign set of every white-space word, A-Z lower-cased, and the n+1 offsets of the texts."""
+    low, s, e, at = words(data, offsets, by_space=True)
+    return (RollingHash(low).of(s, e) | _WORD).view(np.int64) if len(s) else np.zeros(0, np.int64), at
 
 
 def _ask(order: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        from collections import Counter
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-        block = key[0].as_py()
-        kept: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
-        learned, held = Counter(), set()
-        for part in text_slices(iter(table.combine_chunks().to_batches()), limit=4 << 20):
+        def add(keys: np.ndarray, counts: np.ndarray) -> None:
+            kept.append((keys, counts))
+            if len(kept) >= 24:
+                kept[:] = [_sum_by(np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept]))]
+
+        for part in text_slices(iter(table.to_batches()), limit=SLICE):
             for out in (False, True):
                 rows = part.filter(pc.equal(part.column("held_out"), out))
                 if not rows.num_rows:
                     continue
                 data, offsets = buffers(rows.column("text"))
-                keys, counts = np.unique(keys_of(data, offsets, order)[0], return_counts=True)
-                kept[out].append((keys, counts if not out else counts * 0))
-                raw, edges = data.tobytes(), offsets.tolist()
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    (held if out else learned).update(_words(raw[a:b]))
-                if not out:
-                    learned[None] += rows.num_rows
-        both = kept[False] + kept[True]
-        keys, counts = _sum_by(np.concatenate([k for k, _ in both]), np.concatenate([c for _, c in both])) if both else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for w in (None, *held):
-            learned.setdefault(w, 0)
-        n, m = len(keys), len(learned)
-        return pa.table(
-            {
-                "block": pa.array(np.full(n + m, block, np.int64)),
-                "gram": pa.concat_arrays([pa.array(keys), pa.nulls(m, pa.int64())]),
-                # the end token is a word that white space cannot spell
-                "word": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([b" " if w is None else w for w in learned], pa.binary())]),
-                "n": pa.concat_arrays([pa.array(counts.astype(np.int64)), pa.array(list(learned.values()), pa.int64())]),
-            }
-        )
+                for keys in (keys_of(data, offsets, order)[0], word_keys(data, offsets)[0]):
+                    keys, counts = np.unique(keys, return_counts=True)
+                    add(keys, counts * (not out))
+                add(np.array([END_WORD]), np.array([0 if out else rows.num_rows]))
+        keys, counts = _sum_by(np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept])) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"block": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys), "n": pa.array(counts.astype(np.int64))})
 
     return run
 
 
 def _price(order: int, low: tuple[np.ndarray, np.ndarray]):
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = np.asarray(table.column("gram")), np.asarray(table.column("n"))
+        keys, counts = np.asarray(table.column("key")), np.asarray(table.column("n"))
         trie = Trie(keys[counts > 0], counts[counts > 0], low, order)
-        return pa.table({"gram": pa.array(keys), "value": pa.array(trie.log10(keys))})
+        return pa.table({"key": pa.array(keys), "value": pa.array(trie.log10(keys))})
 
     return run
 
 
 def _add_up(order: int, tokens: int, distinct: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        gram, word, value = (answers.column(c).combine_chunks() for c in ("gram", "word", "value"))
-        is_gram = gram.is_valid()
-        keys = np.asarray(gram.filter(is_gram))
-        prices = np.asarray(value.filter(is_gram))
+        keys, value = np.asarray(answers.column("key")), np.asarray(answers.column("value"))
         look = Lookup(keys)
-        is_word = pc.invert(is_gram)
-        known = dict(zip(word.filter(is_word).to_pylist(), value.filter(is_word).to_pylist(), strict=True))
-        ids, outs, ns, knowns, bases, scores = [], [], [], [], [], []
-        spread = math.log10(tokens + distinct + 1) if tokens + distinct + 1 > 0 else 0.0
-        end = known.get(b" ", 0.0)
-        for part in text_slices(iter(docs.combine_chunks().to_batches()), limit=4 << 20):
+        spread = math.log10(tokens + distinct + 1)
+        end = value[look.rows(np.array([END_WORD]))][0] if len(keys) else 0.0
+        out: list[list] = [[] for _ in range(6)]
+        for part in text_slices(iter(docs.to_batches()), limit=SLICE):
             data, offsets = buffers(part.column(part.schema.get_field_index("text")))
             k, at = keys_of(data, offsets, order)
-            scores.append(np.add.reduceat(prices[look.rows(k)], at[:-1]))
-            raw, edges = data.tobytes(), offsets.tolist()
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                v = [known[w] for w in _words(raw[a:b])]
-                ns.append(len(v) + 1)
-                knowns.append(len(v) - v.count(0.0) + (end > 0))
-                bases.append(math.fsum(v) + end - (len(v) + 1) * spread)
-            ids.append(part.column(part.schema.get_field_index("doc_id")))
-            outs.append(part.column(part.schema.get_field_index("held_out")))
+            score = np.add.reduceat(value[look.rows(k)], at[:-1])
+            k, at = word_keys(data, offsets)
+            v = np.concatenate([value[look.rows(k)], [0.0]])
+            n = np.diff(at)
+            some = n > 0
+            base, known = np.zeros(len(n)), np.zeros(len(n), np.int64)
+            base[some] = np.add.reduceat(v, at[:-1][some])
+            known[some] = np.add.reduceat((v > 0).astype(np.int64), at[:-1][some])
+            got = (part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("held_out")), n + 1, known + (end > 0), base + end - (n + 1) * spread, score)
+            for c, x in zip(out, got, strict=True):
+                c.append(x)
+        cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
         return pa.table(
             {
-                "doc_id": pa.chunked_array(ids, pa.int64()),
-                "held_out": pa.chunked_array(outs, pa.bool_()),
-                "n_tokens": pa.array(ns, pa.int64()),
-                "n_known": pa.array(knowns, pa.int64()),
-                "train_tokens": pa.array([tokens] * len(ns), pa.int64()),
-                "base_score": pa.array(bases, pa.float64()),
-                "score": pa.array(np.concatenate(scores) if scores else np.zeros(0)),
+                "doc_id": pa.chunked_array(out[0], pa.int64()),
+                "held_out": pa.chunked_array(out[1], pa.bool_()),
+                "n_tokens": cat(out[2], pa.int64()),
+                "n_known": cat(out[3], pa.int64()),
+                "train_tokens": pa.array([tokens] * sum(map(len, out[2])), pa.int64()),
+                "base_score": cat(out[4], pa.float64()),
+                "score": cat(out[5], pa.float64()),
             }
         )
 
@@ -257,23 +249,20 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = ORDER, block_byte
     n_blocks = max(1, math.ceil(table_bytes(rows) / block_bytes))
     # as each row has one block and each block one group, both uses below share one shuffle of the texts
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("long")).repartition("block")
-    asked = materialize(blocked.groupBy("block").applyInArrow(_ask(order), "block long, gram long, word binary, n long"), "asked")
-    grams = asked.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = materialize(grams, "grams")
-    words = asked.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    asked = materialize(blocked.groupBy("block").applyInArrow(_ask(order), "block long, key long, n long"), "asked")
+    counted = materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "counted")
+    grams, words_ = counted.filter("key >= 0"), counted.filter("key < 0")
     # the orders 0 and 1: at most 256 * 257 rows
-    short = ((F.shiftright("gram", 9).bitwiseAND(F.lit(255))) * 512 + F.col("gram") % 512).alias("key")
-    low_rows = grams.filter("n > 0").groupBy(short).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
-    low = (np.asarray(low_rows.column("key"), dtype=np.int64), np.asarray(low_rows.column("n"), dtype=np.int64))
-    total = asked.filter("word is not null").agg(F.sum("n")).first()[0] or 0
-    words = materialize(words, "words")
-    distinct = words.filter("n > 0").count()
-    priced = grams.withColumn("pair", F.shiftright("gram", 9).bitwiseAND(F.lit(65535))).groupBy("pair").applyInArrow(_price(order, low), "gram long, value double")
-    answers = asked.filter("gram is not null").select("block", "gram").join(priced, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-    counted = asked.filter("word is not null").select("block", "word").join(words.select("word", F.log10(F.col("n") + 1).alias("value")), "word").select("block", F.lit(None).cast("long").alias("gram"), "word", "value")
-    both = answers.unionByName(counted)
+    short = ((F.shiftright("key", 9).bitwiseAND(F.lit(255))) * 512 + F.col("key") % 512).alias("low")
+    low_rows = grams.filter("n > 0").groupBy(short).agg(F.sum("n").alias("n")).orderBy("low").toArrow()
+    low = (np.asarray(low_rows.column("low"), dtype=np.int64), np.asarray(low_rows.column("n"), dtype=np.int64))
+    facts = words_.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
+    tokens, distinct = int(facts[0] or 0), int(facts[1] or 0)
+    priced = grams.groupBy(F.shiftright("key", 9).bitwiseAND(F.lit(65535)).alias("pair")).applyInArrow(_price(order, low), "key long, value double")
+    values = priced.unionByName(words_.select("key", F.log10(F.col("n") + 1).alias("value")))
+    both = asked.select("block", "key").join(values, "key").select("block", "key", "value")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_add_up(order, total, distinct), schema)
+    return blocked.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_add_up(order, tokens, distinct), schema)
 
 
 def crc_fold(key: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
