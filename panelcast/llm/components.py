@@ -14,6 +14,11 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "node")
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and hash sum: equal when a round has changed nothing."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(node, root): the least node of each node's component; edges has the long columns a and b.
 
@@ -21,14 +26,14 @@ def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     written to the shared folder, so a lost executor costs one round at most.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before = _state(now)
     for _ in range(max_rounds):
         both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
         large = _stars(both).filter("other > node").select(F.col("other").alias("a"), F.col("least").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(low, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(low.select("a", F.col("least").alias("b")))
         now = materialize(small.filter("a <> b").distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
+        state = _state(now)
         if state == before:
             break
         before = state

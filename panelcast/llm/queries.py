@@ -118,6 +118,27 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(load(spark, sf_dir, "documents"))
 
 
+OP7_SQL = """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END)) AS g
+  FROM doc),
+classes AS (SELECT g, min(doc_id) AS class_id, count(*) AS class_size, len(g) AS n FROM sets GROUP BY g),
+grams AS (SELECT class_id, n, unnest(g) AS gram FROM classes),
+pairs AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.class_id < b.class_id
+  GROUP BY 1, 2, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+mutual AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT reach.a, mutual.b FROM reach JOIN mutual ON reach.b = mutual.a),
+roots AS (SELECT a AS class_id, min(b) AS group_id FROM reach GROUP BY 1),
+links AS (SELECT a AS class_id, count(*) AS n_links FROM mutual GROUP BY 1)
+SELECT doc_id, classes.class_id, class_size, coalesce(n_links, 0) AS n_links, group_id
+FROM sets JOIN classes USING (g) JOIN roots ON roots.class_id = classes.class_id LEFT JOIN links ON links.class_id = classes.class_id
+"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -143,4 +164,4 @@ QUERIES: dict[str, Query] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL}
