@@ -37,7 +37,7 @@ from panelcast.llm.common import RollingHash, buffers, materialize, text_slices
 LENGTH = 200
 GRAM = 32
 #: Context bytes that one task sorts together.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -70,9 +70,9 @@ _KEY = ("c1", "c2")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, its bytes and a 128-bit key of the text in two longs."""
+    """doc_id, text, its bytes and a key of the text: 64 and 32 bits of two unrelated hashes."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("c1"), (F.shiftleft(F.crc32(text), 31) + F.octet_length(text)).alias("c2"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("c1"), F.crc32(text).alias("c2"))
 
 
 def _sample(length: int, gram: int):
@@ -81,7 +81,8 @@ def _sample(length: int, gram: int):
             data, offsets = buffers(batch.column(2))
             p, _, _, h, text = anchors(data, offsets, length, gram)
             take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((p - offsets[text]).astype(np.int32))], ["h", "c1", "c2", "p"])
+            place = (np.asarray(batch.column(1))[text] << 31) | (p - offsets[text])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(take), pa.array(place)], ["h", "c1", "place"])
 
     return run
 
@@ -182,25 +183,19 @@ def repeated_starts(buf: np.ndarray, at: np.ndarray, starts: np.ndarray, anchor:
         columns[:, k] = np.where(over >= 8, np.uint64(0), value >> (np.uint64(8) * np.minimum(over, 7)) << (np.uint64(8) * np.minimum(over, 7)))
     order = np.argsort(rank_rows(columns), kind="stable")
     del columns
-    roll = RollingHash(buf)
     most, least = anchor, anchor - starts + 1
     for d in range(int(most.max()) + 1):
         if d:
             order = order[most[order] >= d]
             order = order[np.argsort(buf[right[order] - d], kind="stable")]
         live = order[least[order] <= d]
-        if len(live) < 2:
-            continue
         s = right[live] - d
-        h = roll.of(s, s + length)
-        same = np.flatnonzero(h[1:] == h[:-1])
-        a, b = s[same], s[same + 1]
-        equal = np.ones(len(same), dtype=bool)
-        for k in range(0, length - 7, 8):
-            equal &= word(a + k) == word(b + k)
-        if length % 8:
-            equal &= word(a + length - 8) == word(b + length - 8) if length >= 8 else True
-        same = same[equal]
+        same = np.arange(len(live) - 1)
+        # word by word, only neighbours that have been equal so far are compared further
+        for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+            if not len(same):
+                break
+            same = same[word(s[same] + k) == word(s[same + 1] + k)]
         slot = first[live] + anchor[live] - d
         flags[slot[same]] = True
         flags[slot[same + 1]] = True
@@ -257,10 +252,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     """
     base = _keyed(docs)
     long = base.filter(F.col("n_bytes") >= length)
-    sampled = materialize(long.select(*_KEY, "text").mapInArrow(_sample(length, gram), "h long, c1 long, c2 long, p int"), "anchors")
-    place = F.xxhash64("c1", "c2", "p")
-    again = sampled.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("h")
-    marks = sampled.join(again, "h").groupBy(*_KEY).agg(F.collect_set("p").alias("marks"))
+    # anchors are found twice rather than written: they would be a fifth of the disk
+    sampled = long.select(*_KEY, "text").mapInArrow(_sample(length, gram), "h long, c1 long, place long")
+    spot = F.xxhash64("c1", "place")
+    again = sampled.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).filter("x <> y").select("h")
+    marks = sampled.join(again, "h").groupBy("c1", F.shiftright("place", 31).alias("c2")).agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("marks"))
     classes = base.groupBy(*_KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "text-classes")
     heads = marks.join(classes, list(_KEY)).select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep", "marks")
