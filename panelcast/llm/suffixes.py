@@ -17,7 +17,8 @@ down to what a match of `length` bytes can touch:
 4. Adjacent prefixes. Neighbours in each order are compared over `length`
    bytes; equal ones repeat.
 
-Texts that occur more than once as a whole are sorted once.
+Texts that occur more than once as a whole are sorted once, and so are the
+contexts of an anchor whose gram is very frequent.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import RollingHash, buffers, materialize, text_slices
+from panelcast.llm.common import RollingHash, buffers, materialize, mix64, text_slices
 
 LENGTH = 200
 GRAM = 32
 #: Context bytes that one task sorts together.
 UNIT_BYTES = 4 << 20
+#: Grams with more anchors than this are dealt out further, by what lies beside the anchor.
+HOT = 50_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -87,31 +90,59 @@ def _sample(length: int, gram: int):
     return run
 
 
+def _split_hot(data: np.ndarray, hot: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.ndarray, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Deal the strings of hot anchors out by more than the gram.
+
+    Strings that start up to `left` bytes before the anchor all hold the same
+    length - left bytes right of it, the others the `left` + 1 bytes before it:
+    each part of a run goes by the hash of those. Equal strings stay together.
+    """
+    left = (length - gram) // 2
+    cut = p - left
+    roll = RollingHash(data)
+    out = [[v[~hot] for v in (lo, hi, p, h)] + [np.zeros(int((~hot).sum()), bool)]]
+    near = hot & (hi >= cut)
+    far = hot & (lo < cut)
+    beside = roll.of(p[near], p[near] + length - left)
+    out.append([np.maximum(lo, cut)[near], hi[near], p[near], mix64(h[near] ^ beside), np.ones(int(near.sum()), bool)])
+    beside = roll.of(p[far] - left - 1, p[far])
+    out.append([lo[far], np.minimum(hi, cut - 1)[far], p[far], mix64(~h[far] ^ beside), np.ones(int(far.sum()), bool)])
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _survivors(length: int, gram: int):
-    """Runs of strings whose anchor's gram repeats, for the texts that have some."""
+    """Runs of strings whose anchor's gram repeats, for the texts that have some. A negative mark ~p is a hot anchor's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             data, offsets = buffers(batch.column(2))
             p, s0, s1, h, text = anchors(data, offsets, length, gram)
             marks = batch.column(3)
-            again = np.zeros(len(p), dtype=bool)
+            again, hot = np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=bool)
             edges = np.searchsorted(text, np.arange(batch.num_rows + 1))
             for k in range(batch.num_rows):
                 own = slice(edges[k], edges[k + 1])
-                again[own] = np.isin(p[own] - offsets[k], np.asarray(marks[k].values))
-            rows: list[list] = [[] for _ in range(5)]
+                m, here = np.asarray(marks[k].values), p[own] - offsets[k]
+                hot[own] = np.isin(here, ~m[m < 0])
+                again[own] = hot[own] | np.isin(here, m[m >= 0])
+            s0, s1, p, h, hot = _split_hot(data, hot[again], s0[again], s1[again], p[again], h[again], length, gram)
+            edges = np.searchsorted(s0, offsets) if (np.diff(s0) >= 0).all() else None
+            if edges is None:
+                order = np.argsort(s0, kind="stable")
+                s0, s1, p, h, hot = (v[order] for v in (s0, s1, p, h, hot))
+                edges = np.searchsorted(s0, offsets)
+            rows: list[list] = [[] for _ in range(6)]
             kept = []
             for k in range(batch.num_rows):
-                own = np.arange(edges[k], edges[k + 1])[again[edges[k] : edges[k + 1]]]
-                if len(own):
+                own = slice(edges[k], edges[k + 1])
+                if len(s0[own]):
                     kept.append(k)
-                    for c, v in zip(rows, (s0[own] - offsets[k], s1[own] - offsets[k], p[own] - offsets[k], h[own].view(np.int64)), strict=False):
+                    for c, v in zip(rows, (s0[own] - offsets[k], s1[own] - offsets[k], p[own] - offsets[k], h[own].view(np.int64), hot[own]), strict=False):
                         c.append(v)
-                    rows[4].append(int((s1[own] - s0[own] + length).sum()))
+                    rows[5].append(int((s1[own] - s0[own] + length).sum()))
             take = batch.take(pa.array(kept, pa.int64()))
-            lists = [pa.array(c, pa.list_(pa.int64())) for c in rows[:4]]
-            yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), take.column(2), *lists, pa.array(rows[4], pa.int64())], ["c1", "c2", "text", "lo", "hi", "p", "h", "context_bytes"])
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in rows[:4]] + [pa.array(rows[4], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), take.column(2), *lists, pa.array(rows[5], pa.int64())], ["c1", "c2", "text", "lo", "hi", "p", "h", "hot", "context_bytes"])
 
     return run
 
@@ -128,8 +159,8 @@ def _contexts(length: int, n_units: int):
             take = pa.array(owner)
             unit = (h.view(np.uint64) % np.uint64(n_units)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(unit), batch.column(0).take(take), batch.column(1).take(take), pa.array(lo), pa.array((hi - lo + 1).astype(np.int32)), pa.array((p - lo).astype(np.int32)), pa.array(cut, pa.binary())],
-                ["unit", "c1", "c2", "lo", "starts", "anchor", "bytes"],
+                [pa.array(unit), batch.column(0).take(take), batch.column(1).take(take), pa.array(lo), pa.array((hi - lo + 1).astype(np.int32)), pa.array((p - lo).astype(np.int32)), batch.column(7).flatten(), pa.array(cut, pa.binary())],
+                ["unit", "c1", "c2", "lo", "starts", "anchor", "hot", "bytes"],
             )
 
     return run
@@ -242,7 +273,7 @@ def _cut(keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False, unit_bytes: int = UNIT_BYTES, hot: int = HOT) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes the `kept` bytes.
 
     Every byte goes that a string of `length` bytes covers which also starts
@@ -255,17 +286,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     # anchors are found twice rather than written: they would be a fifth of the disk
     sampled = long.select(*_KEY, "text").mapInArrow(_sample(length, gram), "h long, c1 long, place long")
     spot = F.xxhash64("c1", "place")
-    again = sampled.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).filter("x <> y").select("h")
-    marks = sampled.join(again, "h").groupBy("c1", F.shiftright("place", 31).alias("c2")).agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("marks"))
+    again = materialize(sampled.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y"), F.count("*").alias("n")).filter("x <> y").select("h", (F.col("n") > hot).alias("hot")), "repeated-grams")
+    some_hot = not again.filter("hot").isEmpty()
+    p = F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    marks = sampled.join(again, "h").groupBy("c1", F.shiftright("place", 31).alias("c2")).agg(F.collect_set(F.when(F.col("hot"), -1 - p).otherwise(p)).alias("marks"))
     classes = base.groupBy(*_KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "text-classes")
     heads = marks.join(classes, list(_KEY)).select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep", "marks")
     # one row of each text: its copies have other ids, so a text that many share is spread over them
     chosen = long.join(heads, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select(*_KEY, "text", "marks")
-    live = materialize(chosen.mapInArrow(_survivors(length, gram), "c1 long, c2 long, text string, lo array<long>, hi array<long>, p array<long>, h array<long>, context_bytes long"), "candidates")
+    live = materialize(chosen.mapInArrow(_survivors(length, gram), "c1 long, c2 long, text string, lo array<long>, hi array<long>, p array<long>, h array<long>, hot array<boolean>, context_bytes long"), "candidates")
     n_units = max(1, math.ceil((live.agg(F.sum("context_bytes")).first()[0] or 0) / unit_bytes))
-    contexts = live.select(*_KEY, "text", "lo", "hi", "p", "h").mapInArrow(_contexts(length, n_units), "unit long, c1 long, c2 long, lo long, starts int, anchor int, bytes binary")
-    spans = contexts.groupBy("unit").applyInArrow(_match(length), "c1 long, c2 long, a long, b long")
+    contexts = live.select(*_KEY, "text", "lo", "hi", "p", "h", "hot").mapInArrow(_contexts(length, n_units), "unit long, c1 long, c2 long, lo long, starts int, anchor int, hot boolean, bytes binary")
+    sort = contexts
+    if some_hot:
+        # a context that occurs again as a whole repeats: all its places are known by a count, and one of them is sorted
+        busy = contexts.filter("hot")
+        spot = F.xxhash64(*_KEY, "lo")
+        first = F.min(F.struct(*_KEY, "lo", "starts"))
+        classes_of = busy.groupBy("unit", "anchor", "bytes").agg(first.alias("f"), (F.min(spot) != F.max(spot)).alias("twice"))
+        sort = contexts.filter("NOT hot").unionByName(classes_of.select("unit", "f.c1", "f.c2", "f.lo", "f.starts", "anchor", F.lit(True).alias("hot"), "bytes"))
+        twice = classes_of.filter("twice").select("unit", "anchor", "bytes")
+        whole_contexts = busy.join(twice, ["unit", "anchor", "bytes"]).select(*_KEY, F.col("lo").alias("a"), (F.col("lo") + F.col("starts") - 1 + length).alias("b"))
+    spans = sort.drop("hot").groupBy("unit").applyInArrow(_match(length), "c1 long, c2 long, a long, b long")
+    if some_hot:
+        spans = spans.unionByName(whole_contexts)
     spans = spans.groupBy(*_KEY).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     done = live.select(*_KEY, "text").join(spans, list(_KEY)).mapInArrow(_cut(keep_bytes), "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(list(_KEY))
     facts = classes.join(done, list(_KEY), "left").select(*_KEY, "copies", F.col("n_removed").alias("r"), F.col("n_spans").alias("s"), F.col("kept_sha256").alias("k"), F.col("kept").alias("kb"))

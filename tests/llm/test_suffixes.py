@@ -44,11 +44,11 @@ def corpus(seed):
     return list(enumerate(docs)) + [(3, docs[3]), (None, "null id " * 20)]
 
 
-@pytest.mark.parametrize(("seed", "length", "gram", "unit"), [(1, 40, 8, 8 << 20), (2, 40, 8, 900), (3, 33, 5, 2000), (4, 64, 16, 8 << 20)])
-def test_matches_brute_force(spark, seed, length, gram, unit):
+@pytest.mark.parametrize(("seed", "length", "gram", "unit", "hot"), [(1, 40, 8, 8 << 20, 1 << 20), (2, 40, 8, 900, 2), (3, 33, 5, 2000, 4), (4, 64, 16, 8 << 20, 1)])
+def test_matches_brute_force(spark, seed, length, gram, unit, hot):
     docs = corpus(seed)
     table = spark.createDataFrame([(k, t, 1, "h") for k, t in docs], "doc_id long, text string, n_bytes int, h string").repartition(3)
-    rows = suffixes.remove_repeats(table, length, gram, keep_bytes=True, unit_bytes=unit).collect()
+    rows = suffixes.remove_repeats(table, length, gram, keep_bytes=True, unit_bytes=unit, hot=hot).collect()
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in rows), key=str)
     assert got == brute(docs, length)
     assert any(0 < r[2] < r[1] for r in got)
