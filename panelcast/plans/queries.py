@@ -238,9 +238,10 @@ def dst_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {REPORT_SQL}, {PANEL_A}, joined AS (SELECT hours.hour_ts, temp, precip FROM hours LEFT JOIN hourly USING (hour_ts)),
   filled AS (SELECT hour_ts, last_value(temp IGNORE NULLS) OVER w AS temp, last_value(precip IGNORE NULLS) OVER w AS precip FROM joined WINDOW w AS (ORDER BY hour_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-  SELECT hour_ts, {r('temp')}, {r('precip')}, CAST(precip > 0 AS INT) AS is_raining FROM filled""")
+  SELECT hour_ts, {r('temp')}, {r('precip')}, CAST(precip > 0 AS DOUBLE) AS is_raining FROM filled""")
 def forward_fill(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(observations.fill_gaps(_hourly(spark, d), _spine(spark, d), ["temp", "precip"], "precip"), "temp", "precip")
+    out = observations.fill_gaps(_hourly(spark, d), _spine(spark, d), ["temp", "precip"], "precip")
+    return rounded(out, "temp", "precip").withColumn("is_raining", F.col("is_raining").cast("double"))
 
 
 def _spine(spark: SparkSession, d: str) -> DataFrame:
