@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import RollingHash, buffers, text_slices, words
 
 #: Labelled documents that the model is fitted on, at most; the smallest hashes of their ids.
-MAX_LABELLED = 6000
+MAX_LABELLED = 5000
 #: Words in fewer of those documents are no features.
 MIN_DOCS = 3
 GRADES = 3
 PREFIXES = (4, 5)
-REJECT_AT = 0.3
+REJECT_AT = 0.1
 L1 = 2e-4
 SCREEN_STEPS, FINAL_STEPS = 150, 1500
 
@@ -126,26 +126,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, mi
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the sample has max_labelled rows of two numbers at most
     table = texts.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(_word_sets, "grade int, words array<long>")
-    got = table.toArrow().combine_chunks()
+    got = table.toArrow()
     grades = np.asarray(got.column("grade"), dtype=np.int64)
-    lists = got.column("words").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
-    flat = np.asarray(lists.flatten(), dtype=np.int64).view(np.uint64)
-    rows = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)) if len(lists) else 0)
+    lists = got.column("words")
+    flat = np.concatenate([np.asarray(x.flatten()) for x in lists.chunks] or [np.zeros(0, np.int64)]).view(np.uint64)
+    sizes = np.concatenate([np.diff(np.asarray(x.offsets)) for x in lists.chunks] or [np.zeros(0, np.int64)])
+    del got, lists
     if not len(flat):
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), 3.0 + np.arange(n_grades - 1))
-    vocab, col, df = np.unique(flat, return_inverse=True, return_counts=True)
-    used = df >= min_docs
-    number = np.cumsum(used) - 1
-    keep = used[col]
-    r, c = rows[keep], number[col[keep]]
-    w, _ = fit_ordinal(r, c, grades, int(used.sum()), n_grades, steps=SCREEN_STEPS)
+    # rare words go before anything is numbered: they are most of the list
+    order = np.sort(flat)
+    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+    vocab = order[first][np.diff(np.concatenate([first, [len(order)]])) >= min_docs]
+    del order, first
+    c = np.searchsorted(vocab, flat).astype(np.int32)
+    keep = vocab[np.minimum(c, len(vocab) - 1)] == flat if len(vocab) else np.zeros(len(flat), bool)
+    r, c = np.repeat(np.arange(len(grades), dtype=np.int32), sizes)[keep], c[keep]
+    del flat, keep
+    w, _ = fit_ordinal(r, c, grades, len(vocab), n_grades, steps=SCREEN_STEPS)
     # the penalty has shrunk what it left: fit those words anew with a tenth of it
     live = np.flatnonzero(w)
     slot = np.full(len(w), -1)
     slot[live] = np.arange(len(live))
     on = slot[c] >= 0
     w, theta = fit_ordinal(r[on], slot[c[on]], grades, len(live), n_grades, l1=L1 / 10, steps=FINAL_STEPS)
-    return OrdinalModel(vocab[used][live], w, theta)
+    return OrdinalModel(vocab[live], w, theta)
 
 
 def grade_labels(labels: DataFrame) -> DataFrame:
