@@ -21,7 +21,7 @@ class Splits:
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of valid events; a value at a closed bound is valid."""
+    """Bounds of valid events; a value at a closed bound is valid."""
 
     min_minutes: float = 1.0
     max_minutes: float = 240.0
@@ -32,6 +32,7 @@ class Limits:
     min_daily: float = 1.0
 
 
+#: Hours back, and hours averaged, of the history columns; the quantiles of a band.
 LAGS = {"lag_1h": 1, "lag_2h": 2, "lag_24h": 24, "lag_168h": 168}
 ROLLING = {"roll_mean_24h": 24, "roll_mean_168h": 168}
 QUANTILES = (0.1, 0.5, 0.9)

@@ -9,6 +9,9 @@ from panelcast.config import Limits
 
 Rules = list[tuple[str, Column]]
 
+#: Reasons to drop an event, in the order in which they are tried.
+REASONS = ("missing_timestamp", "pickup_outside_file_month", "unknown_pickup_zone", "impossible_duration", "bad_distance", "bad_fare")
+
 
 def minutes_between(start: str, end: str) -> Column:
     """Whole seconds from start to end, in minutes."""
@@ -16,7 +19,7 @@ def minutes_between(start: str, end: str) -> Column:
 
 
 def event_rules(limits: Limits = Limits()) -> Rules:
-    """Reasons to drop an event, in the order in which they are tried. A null condition does not fire.
+    """A condition for each of REASONS; a null condition does not fire.
 
     Needs pickup_ts, dropoff_ts, zone, distance, fare, total, file_month (its first day).
     """
@@ -24,14 +27,15 @@ def event_rules(limits: Limits = Limits()) -> Rules:
     minutes = minutes_between("pickup_ts", "dropoff_ts")
     month = F.col("file_month").cast("timestamp_ntz")
     next_month = F.add_months("file_month", 1).cast("timestamp_ntz")
-    return [
-        ("missing_timestamp", F.col("pickup_ts").isNull() | F.col("dropoff_ts").isNull()),
-        ("pickup_outside_file_month", ~F.col("pickup_ts").between(month, next_month) | (F.col("pickup_ts") == next_month)),
-        ("unknown_pickup_zone", zone.isNull() | ~zone.between(1, limits.max_zone) | zone.isin(*limits.unknown_zones)),
-        ("impossible_duration", ~minutes.between(limits.min_minutes, limits.max_minutes)),
-        ("bad_distance", distance.isNull() | (distance <= 0) | (distance > limits.max_distance)),
-        ("bad_fare", fare.isNull() | ~fare.between(0, limits.max_fare) | (F.col("total") < 0)),
-    ]
+    fires = (
+        F.col("pickup_ts").isNull() | F.col("dropoff_ts").isNull(),
+        ~F.col("pickup_ts").between(month, next_month) | (F.col("pickup_ts") == next_month),
+        zone.isNull() | ~zone.between(1, limits.max_zone) | zone.isin(*limits.unknown_zones),
+        ~minutes.between(limits.min_minutes, limits.max_minutes),
+        distance.isNull() | (distance <= 0) | (distance > limits.max_distance),
+        fare.isNull() | ~fare.between(0, limits.max_fare) | (F.col("total") < 0),
+    )
+    return list(zip(REASONS, fires, strict=True))
 
 
 def first_failing(rules: Rules) -> Column:
