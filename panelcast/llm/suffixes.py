@@ -97,6 +97,8 @@ def _split_hot(data: np.ndarray, hot: np.ndarray, lo: np.ndarray, hi: np.ndarray
     length - left bytes right of it, the others the `left` + 1 bytes before it:
     each part of a run goes by the hash of those. Equal strings stay together.
     """
+    if not hot.any():
+        return lo, hi, p, h, hot
     left = (length - gram) // 2
     cut = p - left
     roll = RollingHash(data)
