@@ -31,7 +31,7 @@ BITS = 5
 SPREADS = 2.5
 #: Rows of the driver's list of range bounds, at most; a range is a task's share of documents.
 MAX_RANGES = 100_000
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
