@@ -24,31 +24,23 @@ from panelcast.llm.common import materialize, texts_with_ids
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct chunks of text whose ids a worker remembers.
-CACHE_ENTRIES = 400_000
 
 
 class Encoder:
     """Token ids of a byte-level BPE vocabulary file, as little-endian uint32 bytes.
 
-    Pre-tokens start at every single space between two non-space characters, so
-    a text may be cut there and its parts encoded (and remembered) one by one.
-    Texts in which white space meets a space, or that hold a special token's
-    string, are encoded in one go.
+    Where the vocabulary's ids are its merge ranks, a quicker library makes the
+    same ids; texts that hold a special token's string go to the plain one.
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile(r"^\s|\s$|\s \s?|\x20\s").search
-        self.cache: dict[str, bytes] = {}
         self.fast = self._fast(path)
 
-    def _fast(self, path: str) -> Callable[[str], list[int]] | None:
+    def _fast(self, path: str) -> Callable | None:
         """The same merges in a quicker library, if the vocabulary's ids are its merge ranks; else None."""
         import json
 
@@ -69,36 +61,12 @@ class Encoder:
         if order != sorted(x for x in order if x is not None):
             return None
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def plain(self, text: str) -> bytes:
-        ids = self.fast(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.whole(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        known = self.cache
-        parts = [known.get(first)]
-        parts += map(known.get, rest)
-        if None in parts:
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
-            # a chunk is stored without its space; the first chunk of a text has none, so it is not stored
-            parts[0] = None
-            for k, p in enumerate(parts):
-                if p is None:
-                    if k == 0:
-                        parts[0] = self.plain(first)
-                    else:
-                        w = rest[k - 1]
-                        parts[k] = known.get(w) or known.setdefault(w, self.plain(" " + w))
-        else:
-            parts[0] = self.plain(first)
-        return b"".join(parts)
+        if self.fast and not any(s in text for s in self.specials):
+            return np.asarray(self.fast(text, disallowed_special=()), dtype="<u4").tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
