@@ -3,7 +3,8 @@
 1. Each task turns its texts into n-gram sets, a class key (a digest of the
    whole set) and band hashes. Documents with equal sets are one class, so
    copies never meet as pairs.
-2. Class representatives are shuffled on their band hashes. A bucket links its
+2. Classes have numbers of their own, so ids may repeat or be null. One row of
+   each class stands for it and is shuffled on its band hashes. A bucket links its
    members to its least member (a star, never all pairs); the components of
    those stars are the groups of representatives that may be similar.
 3. The texts of such groups come together once, a group whose n-grams exceed
@@ -80,7 +81,7 @@ def _sign(sets: list[np.ndarray], mult: np.ndarray, add: np.ndarray, rows: int)
 
 
 def signatures(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """(doc_id, set_key, n_grams, bands) of each document; a null text has the empty set, whose bands are empty."""
+    """(doc_id, text_hash, set_key, n_grams, bands) of each document; a null text has the empty set, whose bands are empty."""
     n_bands, rows = bands_and_rows(threshold, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +97,9 @@ def signatures(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, mi
                 for k, g in zip(full, got, strict=True):
                     bands[k] = g
             keys = [_key(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "set_key", "n_grams", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "set_key", "n_grams", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set_key binary, n_grams long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, set_key binary, n_grams long, bands array<long>")
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -168,16 +169,14 @@ def _links(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[
 def _verify(n: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         comp, i, j = (np.asarray(table.column(c)) for c in ("comp", "bi", "bj"))
-        order = np.lexsort((np.asarray(table.column("doc_id")), j, i, comp))
+        order = np.lexsort((np.asarray(table.column("node")), j, i, comp))
         table = table.take(pa.array(order))
-        comp, i, j, blk, ids = (np.asarray(table.column(c)) for c in ("comp", "bi", "bj", "blk", "doc_id"))
+        comp, i, j, blk, ids = (np.asarray(table.column(c)) for c in ("comp", "bi", "bj", "blk", "node"))
         sets: list[np.ndarray] = []
         for part in text_slices(iter(table.select(["text"]).combine_chunks().to_batches())):
             sets += ngram_sets(part, n)
-        # rows that repeat an id: one of those with the representative's set stays
-        place = list(zip(comp.tolist(), i.tolist(), j.tolist(), ids.tolist(), strict=True))
-        seen: set[tuple] = set()
-        good = [k for k, (p, key) in enumerate(zip(place, table.column("key").to_pylist(), strict=True)) if _key(sets[k]) == key and not (p in seen or seen.add(p))]
+        # a text that only shares the hash of the class's text is not its text
+        good = [k for k, key in enumerate(table.column("key").to_pylist()) if _key(sets[k]) == key]
         if len(good) < len(ids):
             comp, i, j, blk, ids, sets = comp[good], i[good], j[good], blk[good], ids[good], [sets[k] for k in good]
         out_id, out_n, out_root = [], [], []
@@ -190,7 +189,7 @@ def _verify(n: int, threshold: float):
             out_n.append(count[live])
             out_root.append(ids[a:b][root[live]])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table([pa.array(cat(x), pa.int64()) for x in (out_id, out_n, out_root)], ["rep", "n_links", "root"])
+        return pa.table([pa.array(cat(x), pa.int64()) for x in (out_id, out_n, out_root)], ["node", "n_links", "root"])
 
     return run
 
@@ -199,50 +198,82 @@ def _group_key(comp: str, bi: str, bj: str, n_units: int):
     return F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64(comp), F.lit(n_units))).otherwise(F.xxhash64(comp, bi, bj))
 
 
-def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, miss: float = MISS, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
-    """Per document: class_id, class_size, n_links, group_id.
+def _classes(docs: DataFrame, n: int, threshold: float, miss: float, block_ngrams: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and per class: node, set_key, head, nameless, class_size, n_links, root.
 
-    class_id is the least id of the documents with the same n-gram set;
-    n_links counts the other classes at `threshold` or more; group_id is the
-    least class_id that is reachable over links. Documents without words (null,
-    empty, no word characters) are one class without links. Rows that repeat an
-    id with another text count as one document with the first of them by set
-    key; a null id is kept with the id null and is no one's representative
-    unless the whole class has null ids, whose class_id is null then.
-    An empty table gives no rows.
+    head is (no_id, doc_id, text_hash) of the row that stands for the class: the
+    least one with an id, or the least one if no row has an id; nameless is the
+    least text_hash of its rows without an id; root is the node of its group.
     """
     signed = materialize(signatures(docs, n, threshold, miss), "signatures")
-    # one value struct, so equal sets combine before the shuffle
-    reps = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("n_grams").alias("n_grams"))
-    reps = materialize(reps, "classes")
-    heads = reps.filter("rep is not null and n_grams > 0").groupBy("rep").agg(F.min(F.struct("set_key", "n_grams")).alias("s")).select("rep", F.col("s.set_key").alias("key"), F.col("s.n_grams").alias("n_grams"))
-    signed_heads = signed.join(heads, (signed["set_key"] == heads["key"]) & (signed["doc_id"] == heads["rep"]), "left_semi")
-    rows = signed_heads.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "h"))
-    buckets = rows.groupBy("band", "h").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("band", "h", "least")
-    stars = rows.join(buckets, ["band", "h"]).filter("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("head")
+    # rows with equal sets combine before the shuffle; the numbers are fixed once they are written
+    reps = signed.groupBy("set_key").agg(head, F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("nameless"), F.count("*").alias("class_size"), F.min("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = reps.select("node", F.posexplode("bands").alias("band", "h"))
+    buckets = rows.groupBy("band", "h").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band", "h", "least")
+    stars = rows.join(buckets, ["band", "h"]).filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     maybe = components(stars)
 
     # groups come together once; blocks bound what one unit holds
-    sized = maybe.join(heads.select(F.col("rep").alias("node"), "n_grams"), "node")
+    sized = maybe.join(reps.select("node", F.col("set_key").alias("key"), "head", "n_grams"), "node")
     total = sized.groupBy("root").agg(F.sum("n_grams").alias("total"))
-    sized = materialize(sized.join(total, "root").select(F.col("node").alias("rep"), F.col("root").alias("comp"), "n_grams", F.ceil(F.col("total") / block_ngrams).cast("int").alias("n_blocks")), "groups")
+    sized = sized.join(total, "root").select("node", F.col("root").alias("comp"), "key", "n_grams", F.col("head.no_id").alias("no_id"), F.coalesce("head.doc_id", F.lit(0)).alias("id"), F.col("head.text_hash").alias("text_hash"), F.ceil(F.col("total") / block_ngrams).cast("int").alias("n_blocks"))
+    sized = materialize(sized, "groups")
     all_ngrams = sized.agg(F.sum("n_grams")).first()[0] or 0
     n_units = max(1, math.ceil(all_ngrams / block_ngrams))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized, F.col("doc_id") == F.col("rep")).join(heads.select(F.col("rep").alias("__r"), "key"), F.col("doc_id") == F.col("__r"))
-    blk = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")
+    own = ["no_id", "id", "text_hash"]
+    texts = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    # a shuffle join at every size; rows that repeat id and text lie together then and go without another exchange
+    texts = texts.join(sized.hint("merge"), own).dropDuplicates([*own, "node"])
+    blk = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     spread = texts.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     spread = spread.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).withColumn("unit", _group_key("comp", "bi", "bj", n_units))
-    found = spread.select("unit", "comp", "bi", "bj", "blk", "doc_id", "key", "text").groupBy("unit").applyInArrow(_verify(n, threshold), "rep long, n_links long, root long")
+    found = spread.select("unit", "comp", "bi", "bj", "blk", "node", "key", "text").groupBy("unit").applyInArrow(_verify(n, threshold), "node long, n_links long, root long")
     found = materialize(found, "links")
-    links = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = reps.join(links, "rep", "left").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    classes = classes.select("set_key", F.col("rep").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("group_id"))
-    return signed.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "class_id", "class_size", "n_links", "group_id")
+    links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = reps.drop("bands", "n_grams").join(links, "node", "left").join(groups, "node", "left")
+    return signed, classes.withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "root": F.coalesce("root", "node")})
+
+
+def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, miss: float = MISS, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
+    """Per document: class_id, class_size, n_links, group_id.
+
+    class_id is the least id of the documents with the same n-gram set;
+    n_links counts the other classes at `threshold` or more; group_id is the
+    least class_id that is reachable over links. Documents without words (null,
+    empty, no word characters) are one class without links. Every row is judged
+    by its own text: rows that repeat an id with another text are in the classes
+    of their texts, and so are rows with a null id; an id is null only where no
+    row of the class, or of the group, has one. An empty table gives no rows.
+    """
+    signed, classes = _classes(docs, n, threshold, miss, block_ngrams)
+    classes = materialize(classes.select("set_key", "root", F.col("head.doc_id").alias("class_id"), "class_size", "n_links"), "grouped")
+    # min leaves nulls out; classes of one group combine before the shuffle
+    least = classes.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    return signed.select("doc_id", "set_key").join(classes.join(least, "root"), "set_key").select("doc_id", "class_id", "class_size", "n_links", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, of one document of each group: its least id. Rows with a null id stay."""
-    kept = jaccard_join(docs, n, threshold).filter("doc_id = group_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
-    return named.unionByName(docs.filter("doc_id is null"))
+    """The rows of docs, all columns, less near duplicates: of each group one row with an id, and one without.
+
+    The row with an id is the one with the least id, then set key, text hash and
+    row hash; a row without an id does not stand for rows with one, nor they for
+    it, and the one with the least text hash and row hash stays.
+    """
+    _, classes = _classes(docs, n, threshold, MISS, BLOCK_NGRAMS)
+    classes = materialize(classes.select("set_key", "head", "nameless", "root"), "grouped")
+    named = classes.filter("not head.no_id").groupBy("root").agg(F.min(F.struct("head.doc_id", "set_key", "head.text_hash")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.text_hash").alias("__hash"))
+    nameless = classes.filter("nameless is not null").groupBy("root").agg(F.min("nameless").alias("__hash")).select(F.lit(None).cast("long").alias("__id"), "__hash")
+    kept = materialize(named.unionByName(nameless).distinct(), "kept")
+    found = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_hash": F.xxhash64("text")}).join(kept, F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash")), "left_semi")
+    key = ["__row_id", "__row_hash"]
+    # only numbers are shuffled to find rows that repeat id and text; those alone are dealt out, one of each stays
+    again = materialize(found.groupBy(*key).count().filter("count > 1").select(F.col("__row_id").alias("__id"), F.col("__row_hash").alias("__hash")), "again")
+    if again.isEmpty():
+        return found.select(*docs.columns)
+    same = F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash"))
+    single = found.join(again, same, "left_anti").select(*docs.columns)
+    one = found.join(again, same, "left_semi").groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("s")).select("s.*")
+    return single.unionByName(one)

@@ -76,3 +76,18 @@ def test_components_of_a_long_chain(spark):
 def test_bands_reach_the_target_recall():
     b, r = bands_and_rows(0.8, 1e-5)
     assert (1 - 0.8**r) ** b <= 1e-5
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    a, b, c, d = (" ".join(f"{p}{k}" for k in range(60)) for p in "abcd")
+    near = lambda t: t + " end"
+    # id 5 bears four texts, one of them near a lower id; rows without an id repeat and are near each other
+    rows = [(1, a), (5, near(a)), (5, b), (5, c), (5, "one more text"), (7, near(b)), (8, near(c)), (9, "alone"), (9, "alone"), (None, d), (None, near(d)), (None, near(d)), (None, near(c))]
+    table = spark.createDataFrame([(k, t, j % 2) for j, (k, t) in enumerate(rows)], "doc_id long, text string, other int")
+    links = sorted(((r.doc_id, r.class_id, r.class_size, r.n_links, r.group_id) for r in jaccard_join(table).collect()), key=str)
+    want = [(1, 1, 1, 1, 1), (5, 5, 1, 1, 1), (5, 5, 1, 1, 5), (5, 5, 1, 1, 5), (5, 5, 1, 0, 5), (7, 7, 1, 1, 5), (8, 8, 2, 1, 5), (9, 9, 2, 0, 9), (9, 9, 2, 0, 9), (None, None, 1, 1, None), (None, None, 2, 1, None), (None, None, 2, 1, None), (None, 8, 2, 1, 5)]
+    assert links == sorted(want, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(table).collect()), key=str)
+    ids = [k for k, _ in kept]
+    assert [x for x in kept if x[0] is not None] == sorted([(1, a), (5, b), (5, c), (5, "one more text"), (9, "alone")], key=str)
+    assert ids.count(None) == 2 and (None, near(c)) in kept
