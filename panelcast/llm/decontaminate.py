@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import RollingHash, buffers, text_slices, words
@@ -210,22 +210,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
 
         return base.mapInArrow(_scan(blocks[0] if blocks else [], window, judge), RESULT_SCHEMA)
 
+    # rows with the same id and text have the same hits; the copies are told apart by their number
+    from pyspark.sql import Window as W
+
+    number = F.row_number().over(W.partitionBy("doc_id", _text_key()).orderBy(F.lit(1)))
+    base = base.withColumn("copy", F.concat_ws("-", number, _text_key()))
+    merged = _merged(base, benchmark, window, block_bytes)
+    n_hit = F.size("hits").cast("long")
+    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), _contaminated(ratio).alias("contaminated"))
+
+
+def _text_key(text: str = "text") -> Column:
+    """128 bits that tell the texts of rows with the same id apart."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
+def _contaminated(ratio: int) -> Column:
+    n_hit = F.size("hits").cast("long")
+    return (n_hit > 0) & (n_hit * ratio >= F.col("n_words"))
+
+
+def _merged(base: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(doc_id, copy, n_words, hits, items): the hits of all blocks, merged by the id and copy of base."""
+
     def partial(batch, n_words, hits, found):
         cols = [batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array([h.tolist() for h in hits], pa.list_(pa.int64())), pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "copy", "n_words", "hits", "items"])
 
-    # rows with the same id and text have the same hits; the copies are told apart by their number
-    from pyspark.sql import Window as W
-
-    number = F.row_number().over(W.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")))).orderBy(F.lit(1)))
-    base = base.withColumn("copy", F.concat_ws("-", number, F.md5(F.coalesce("text", F.lit("")))))
     parts = [base.mapInArrow(_scan(b, window, partial), "doc_id long, copy string, n_words long, hits array<long>, items array<string>") for b in _blocks(benchmark, block_bytes)]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    merged = merged.groupBy("doc_id", "copy").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    n_hit = F.size("hits").cast("long")
-    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * ratio >= F.col("n_words"))).alias("contaminated"))
+    return merged.groupBy("doc_id", "copy").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def _two(blocks: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -237,7 +253,7 @@ def _two(blocks: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that `contamination` lets pass."""
+    """The rows of docs, all columns, that `contamination` lets pass; each is judged by itself, however large the benchmark is."""
     blocks = list(_two(_blocks(benchmark, block_bytes)))
     if len(blocks) <= 1:
 
@@ -245,5 +261,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             return batch.filter(pa.array([not (len(h) > 0 and ratio * len(h) >= n) for h, n in zip(hits, n_words.tolist(), strict=True)], pa.bool_()))
 
         return docs.mapInArrow(_scan(blocks[0] if blocks else [], window, keep), docs.schema)
-    bad = contamination(docs, benchmark, window, ratio, block_bytes).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
+    # rows with the same id and text have one verdict; the id alone would take clean rows along
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("copy"))
+    bad = _merged(base, benchmark, window, block_bytes).filter(_contaminated(ratio)).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"))
+    keyed = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_copy": _text_key()})
+    return keyed.join(bad, F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_copy") == F.col("__copy")), "left_anti").select(*docs.columns)

@@ -60,3 +60,12 @@ def test_empty_tables(spark):
     assert contamination(d, b).count() == 0
     one = spark.createDataFrame([(1, "x y")], "doc_id long, text string")
     assert [tuple(r)[:4] for r in contamination(one, b).collect()] == [(1, 2, 0, 0)]
+
+
+@pytest.mark.parametrize("block", [8 << 20, 10])
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, block):
+    rows = [(1, "same item"), (1, "clean words"), (1, None), (None, "same item"), (None, "other words"), (2, "same item"), (2, "same item"), (3, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, "same item"), (2, "never met")], "item_id long, text string")
+    kept = sorted((tuple(r) for r in drop_contaminated(d, b, block_bytes=block).collect()), key=str)
+    assert kept == sorted((r for r in rows if r[1] != "same item"), key=str)
