@@ -22,6 +22,8 @@ from panelcast.llm.common import LOWER, UPPER
 
 MIN_LENGTH = 12
 _RUN = f"[A-Za-z0-9_+/.@~-]{{{MIN_LENGTH},}}"
+#: What parts a name from its value inside a word.
+_ASSIGN = "^[\\\\\"']*[:=]+[\\\\\"'(]*$"
 
 #: Fragments of everyday words in the four languages.
 WORDS = "the and for with that this from have your you are not ing tion ment able ness version release update image file table index user name mail example sample value test data default local host server client token secret password key der die das und ein ich nicht auf mit ung heit keit schaft que los las con por para cion mente ado les des une est pour dans avec eau aux ique January February March April June July August".lower().split()
@@ -37,10 +39,13 @@ def _let(value: Column, body) -> Column:
 
 
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """(doc_id, position, candidate, before, after, path) of each run; position is the number of its white-space word.
+    """(doc_id, position, run, candidate, before, after, path) of each run with a digit; position is the number of its white-space word, run its place among the word's runs.
 
-    `before` has what precedes the run in its own word and the two words before
-    it. Null and empty texts have none; a null path is an empty one.
+    `before` has what precedes the run in its own word, back to the run before
+    it, and for the first run the two words before it too; a run that only an
+    assignment parts from the next one is its name and belongs to its `before`.
+    `after` is what stands up to the next run, after the last one the next word.
+    Null and empty texts have none; a null path is an empty one.
     """
     tokens = F.split("text", "\\s+")
     shape = F.regexp_like
@@ -52,11 +57,22 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), "text").filter("text is not null")
     found = rows.select("doc_id", "path", F.explode(_let(tokens, find)).alias("c")).select("doc_id", "path", "c.*")
-    # the last run of the word that has a digit: what stands after a `=` or `:`
-    run = F.regexp_extract("own", f"^(.*?)({_RUN})[^A-Za-z0-9]*$", 2)
-    run = F.when(run == "", F.regexp_extract("own", f"({_RUN})", 1)).otherwise(run)
-    out = found.withColumn("candidate", run).filter(F.regexp_like("candidate", F.lit("[0-9]")))
-    return out.select("doc_id", "position", "candidate", F.concat_ws(" ", "words", F.expr("substring_index(own, candidate, 1)")).alias("before"), "after", "path")
+
+    def each(runs: Column, gaps: Column) -> Column:
+        """The word's runs; gaps[i] stands before runs[i], so the work is linear in the word."""
+
+        def one(i: Column) -> Column:
+            gap = F.get(gaps, i)
+            named = (i > 0) & F.regexp_like(gap, F.lit(_ASSIGN))
+            near = F.concat(F.when(named, F.get(runs, i - 1)).otherwise(F.lit("")), gap)
+            before = F.when((i == 0) | ((i == 1) & named), F.concat_ws(" ", "words", F.when(i == 0, near).otherwise(F.concat(F.get(gaps, F.lit(0)), near)))).otherwise(near)
+            after = F.when(i == F.size(runs) - 1, F.col("after")).otherwise(F.get(gaps, i + 1))
+            return F.struct(i.alias("run"), F.get(runs, i).alias("candidate"), before.alias("before"), after.alias("after"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: F.regexp_like(F.get(runs, i), F.lit("[0-9]"))), one)
+
+    runs = _let(F.regexp_extract_all("own", F.lit(_RUN), F.lit(0)), lambda r: _let(F.split("own", _RUN), lambda g: each(r, g)))
+    return found.select("doc_id", "position", "path", F.explode(runs).alias("r")).select("doc_id", "position", "r.run", "r.candidate", "r.before", "r.after", "path")
 
 
 def features(found: DataFrame) -> DataFrame:

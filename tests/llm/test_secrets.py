@@ -49,3 +49,22 @@ def test_no_python_in_the_plan(spark, model):
     docs = spark.createDataFrame([(1, TEXT, "src1")], "doc_id long, text string, source string")
     plan = secrets.scan(docs, model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_run_of_a_word_is_a_candidate(spark, model):
+    a, b = "ghp_Xk29fQ7LmZ81TbVc04RwYu6NpEs3HdJa5GoI", "b7db7aa4a5fcc783054dbebab91ab85687d33eea"
+    texts = ['{"token":"%s","note":"internal-deployment"}' % a, "key=%s;client_secret=%s" % (a, b), "x=%s&y=%s" % (a, a), "set token = " + a]
+    docs = spark.createDataFrame([(k, t, "src1") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = sorted((r.doc_id, r.position, r.run, r.candidate, r.before, r.after) for r in secrets.candidates(docs).collect())
+    assert rows == [
+        (0, 0, 0, a, ' {"token":"', '","note":"'),
+        (1, 0, 0, a, " key=", ";"),
+        (1, 0, 2, b, "client_secret=", ""),
+        (2, 0, 0, a, " x=", "&y="),
+        (2, 0, 1, a, "&y=", ""),
+        (3, 3, 0, a, "token = ", ""),
+    ]
+    flags = {(r.doc_id, r.length): r.is_secret for r in secrets.scan(docs, model).collect()}
+    assert flags[0, 40] and flags[1, 40]
+    wide = "{" + ",".join(f'"k{k}":"{b}"' for k in range(5000)) + "}"
+    assert secrets.candidates(spark.createDataFrame([(1, wide, "s")], docs.schema)).count() == 5000
