@@ -30,7 +30,8 @@ class Encoder:
     """Token ids of a byte-level BPE vocabulary file, as little-endian uint32 bytes.
 
     Where the vocabulary's ids are its merge ranks, a quicker library makes the
-    same ids; texts that hold a special token's string go to the plain one.
+    same ids; texts that hold a special token's string go to the plain one, and so
+    do texts whose runs of white space are too long for the quicker one's pattern.
     """
 
     def __init__(self, path: str):
@@ -65,7 +66,10 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if self.fast and not any(s in text for s in self.specials):
-            return np.asarray(self.fast(text, disallowed_special=()), dtype="<u4").tobytes()
+            try:
+                return np.asarray(self.fast(text, disallowed_special=()), dtype="<u4").tobytes()
+            except ValueError:  # its pattern backtracks once per blank of a run, up to a limit
+                pass
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
@@ -237,7 +241,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenize, cut and pack all documents.
 
-    Empty table: no rows. Null and empty texts: a piece of one end id. Repeated
+    Empty table: no rows. Null and empty texts: a piece of one end id. Very long
+    texts are cut into as many pieces as they need. Repeated
     rows are packed as often as they come. The pieces (a few numbers each, no
     ids) are written once, so ranks stay the same when an executor is lost.
     """

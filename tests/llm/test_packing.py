@@ -37,6 +37,19 @@ def test_pieces_are_those_of_the_plain_tokenizer_and_sequences_are_whole(spark):
     whole(rows, 2048)
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_200_000 + "b", "a" + "\n" * 1_000_000, "x" + " \t" * 600_000 + "b", "a" * 300_000])
+def test_very_long_runs_have_the_ids_of_the_plain_tokenizer(text):
+    encode = packing.encoder(vocabulary_path())
+    assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_text_of_long_blanks_is_packed(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_200_000 + "b", "x", "y"), (2, "short", "x", "y")], DOCS)
+    rows = packing.best_fit_packing(docs, vocabulary_path()).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(reference_ids("a" + " " * 1_200_000 + "b"))
+    whole(rows, 2048)
+
+
 def whole(rows, capacity):
     seqs = defaultdict(list)
     for r in rows:
