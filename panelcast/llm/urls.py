@@ -17,18 +17,29 @@ from panelcast.llm.common import ascii_lower
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 15
-#: Rules become one expression; a longer list belongs into a table.
-MAX_RULES = 1000
+#: Rules up to this number become one expression; more of them are joined by the host and its parent domains.
+EXPRESSION_RULES = 200
 
-BAD_STEMS = "cheap-pills spam-farm ads-track free-bets casino-bonus free-pills buy-followers click-track ad-server spam-links bets-online track-pixel pills-store farm-links cheap-loans win-prizes adult-cams popunder-ads".split()
-GOOD_STEMS = "library museum weather recipes gardening news science history university harbour thermal thread station nation other therapy heritage theatre southern mother motion fathom northern thesis creation ration gather weather-map city-trains river-care".split()
-LABEL_HOSTS = ("www.{}.example.com", "{}.example.org", "m.{}.example.net", "blog.{}.example.com")
-LABEL_PATHS = ("/en/12", "/de/7.html", "/fr/403/", "/es/99?page=2&ref=x")
+#: Words of names that advertise, track or lure, and words of names that inform. Stems are pairs of them.
+BAD_WORDS = "casino poker slots jackpot bets lottery prize winner pills pharmacy diet cure loans payday credit cheap discount free bonus replica luxury spam farm links followers clicks track pixel ads popunder banner adult cams dating crack keygen".split()
+GOOD_WORDS = "library museum weather recipe garden news science history college harbour city river school council theatre orchestra hospital railway parish mountain wiki archive journal forum docs open map travel book village cinema sport nation station northern health mother other thermal the and".split()
+LABEL_HOSTS = ("www.{}.com", "{}.org", "m.{}.net", "blog.{}.com", "{}.info", "{}.co")
+LABEL_PATHS = ("/en/12", "/de/7.html", "/fr/403/", "/es/99?page=2&ref=x", "/", "")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label): stems of both kinds in the same hosts and paths."""
-    rows = [("http://" + h.format(s) + p, float(bad)) for bad, stems in ((1, BAD_STEMS), (0, GOOD_STEMS)) for s in stems for h, p in zip(LABEL_HOSTS, LABEL_PATHS, strict=True)]
+def stems(words: list[str], steps: tuple[int, ...]) -> list[str]:
+    """The words, and each joined to the one `step` places on, with and without a hyphen."""
+    pairs = [(w, words[(k + step) % len(words)]) for step in steps for k, w in enumerate(words)]
+    return [*words, *[f"{a}-{b}" if k % 3 else a + b for k, (a, b) in enumerate(pairs)]]
+
+
+def labelled_urls(spark: SparkSession, bad_steps: tuple[int, ...] = (1, 7), good_steps: tuple[int, ...] = (1, 7, 11)) -> DataFrame:
+    """The small labelled table (url, label): stems of both kinds in the same hosts and paths, two of them a stem."""
+    rows = []
+    for bad, found in ((1.0, stems(BAD_WORDS, bad_steps)), (0.0, stems(GOOD_WORDS, good_steps))):
+        for k, stem in enumerate(found):
+            for j in (k, k + 3):
+                rows.append(("http://" + LABEL_HOSTS[j % 6].format(stem) + LABEL_PATHS[(j + k) % 6], bad))
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -58,10 +69,13 @@ def features(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def train(labelled: DataFrame) -> PipelineModel:
-    """Fit on (url, label). Rows without a label are left out; with one class only, that class is predicted."""
+    """Fit on (url, label). Rows without a label are left out; with one class only, that class is predicted; without any, all is allowed."""
     tf = HashingTF(inputCol="grams", outputCol="counts", numFeatures=BUCKETS, binary=True)
     lr = LogisticRegression(featuresCol="counts", labelCol="label", regParam=0.01, maxIter=25, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred")
-    return Pipeline(stages=[tf, lr]).fit(features(labelled.filter("label is not null")).coalesce(1))
+    known = labelled.select("url", F.col("label").cast("double").alias("label")).filter("label is not null")
+    if known.isEmpty():
+        known = labelled.sparkSession.createDataFrame([("", 0.0)], "url string, label double")
+    return Pipeline(stages=[tf, lr]).fit(features(known).coalesce(1))
 
 
 def match_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> Column:
@@ -70,23 +84,42 @@ def match_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> Colu
     A rule is a host, from the first slash on followed by a path prefix; it fits
     its host and all subdomains. Of equally long ones the first in the list wins.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
-    out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule, verdict in reversed(sorted(rules, key=lambda r: -len(r[0]))):
+    hits = []
+    for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):
         at, slash, rest = rule.partition("/")
         fits = ((host == at.lower()) | host.endswith("." + at.lower())) & path.startswith(slash + rest)
-        out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
-    return out
+        hits.append(F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
+    return F.coalesce(*hits, F.lit(None).cast("struct<rule:string,verdict:string>"))
+
+
+def rules_by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, hit) of the distinct hosts and paths that a rule (rule, verdict, rank) fits, however many rules there are.
+
+    A host is looked up with each of its parent domains, so rules meet their
+    hosts by equality. `rank` parts equally long rules: the least wins.
+    """
+    host, slash = F.substring_index("rule", "/", 1), F.instr("rule", "/")
+    known = rules.select(ascii_lower(host).alias("__at"), F.when(slash > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise("").alias("__prefix"), "rule", "verdict", "rank")
+    labels = F.split("host", "\\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    asked = parts.select("host", "path").distinct().withColumn("__at", F.explode(parents))
+    fits = asked.join(known, "__at").filter(F.col("path").startswith(F.col("__prefix")))
+    best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), -F.col("rank")))
+    return fits.groupBy("host", "path").agg(best.alias("__hit"))
 
 
 def judge(pages: DataFrame, model: PipelineModel, rules: list[tuple[str, str]], threshold: float = 0.5, key: str = "page_id") -> DataFrame:
     """Per page: host, path, the rule that applies or null, verdict allow or block, and the model's probability.
 
     A null URL or one without `://` has an empty host and path: no rule fits and
-    the model's intercept decides. Every row is judged, repeated ones too.
+    the model's intercept decides. Every row is judged, repeated ones too; an
+    empty table gives no rows, and a very long URL is judged as a whole.
     """
     scored = model.transform(features(pages.select(key, "url")))
-    hit = match_rule(rules, F.col("host"), F.col("path"))
+    if len(rules) <= EXPRESSION_RULES:
+        scored = scored.withColumn("__hit", match_rule(rules, F.col("host"), F.col("path")))
+    else:
+        table = pages.sparkSession.createDataFrame([(r, v, k) for k, (r, v) in enumerate(rules)], "rule string, verdict string, rank int")
+        scored = scored.join(rules_by_join(with_parts(pages.select("url")), table), ["host", "path"], "left")
     p = vector_to_array("__p")[1]
-    return scored.withColumn("__hit", hit).withColumn("p_block", p).select(key, "host", "path", F.col("__hit.rule").alias("rule"), F.coalesce(F.col("__hit.verdict"), F.when(F.col("p_block") >= threshold, "block").otherwise("allow")).alias("verdict"), "p_block")
+    return scored.withColumn("p_block", p).select(key, "host", "path", F.col("__hit.rule").alias("rule"), F.coalesce(F.col("__hit.verdict"), F.when(F.col("p_block") >= threshold, "block").otherwise("allow")).alias("verdict"), "p_block")

@@ -67,3 +67,38 @@ def test_model_tells_held_out_hosts_apart(spark, model):
 def test_no_python_in_the_plan(spark, model):
     plan = urls.judge(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), model, URL_RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_stems_that_the_training_has_not(spark):
+    """Pairs that were held out, and whole words that were: rates of the former are those of the README."""
+    model = urls.train(urls.labelled_urls(spark, (1, 7), (1, 7, 11)))
+    seen = {*urls.stems(urls.BAD_WORDS, (1, 7)), *urls.stems(urls.GOOD_WORDS, (1, 7, 11))}
+    rows = [(f"https://{h.format(s)}/x/{k}", bad) for bad, words in ((1, urls.BAD_WORDS), (0, urls.GOOD_WORDS)) for k, s in enumerate(urls.stems(words, (3, 5))) for h in ("shop.{}.biz", "{}.example") if s not in seen]
+    rows += [(f"https://{s}.example/{k}", 0) for k, s in enumerate("quiet-lantern brewery plumber kindergarten volcano-tours oxfordshire bavaria ljubljana cellist tramway".split())]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in urls.judge(pages, model, []).collect()}
+    bad = [got[k] for k, (_, y) in enumerate(rows) if y]
+    good = [not got[k] for k, (_, y) in enumerate(rows) if not y]
+    assert len(bad) > 100 and sum(bad) / len(bad) >= 0.9
+    assert sum(good) / len(good) >= 0.95
+
+
+def test_many_rules_by_join_are_those_of_the_expression(spark, model):
+    hosts = [f"h{k}.example.com" for k in range(150)] + ["example.com", "com", "net"]
+    rules = [(f"{h}/{p}", ("block", "allow")[(k + len(p)) % 2]) for k, h in enumerate(hosts) for p in ("", "en/", "en/7")]
+    found = [f"http://{a}{h}/{p}" for a in ("", "x.", "not") for h in (*hosts, "example.org", "Example.COM") for p in ("", "en/", "en/71", "de")] + URLS
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(found)] + [(0, found[0])], "page_id long, url string")
+    assert len(rules) > urls.EXPRESSION_RULES
+    joined = sorted(tuple(r) for r in urls.judge(pages, model, rules).collect())
+    urls_limit, urls.EXPRESSION_RULES = urls.EXPRESSION_RULES, len(rules)
+    try:
+        assert joined == sorted(tuple(r) for r in urls.judge(pages, model, rules).collect())
+    finally:
+        urls.EXPRESSION_RULES = urls_limit
+
+
+@pytest.mark.parametrize(("labelled", "verdict"), [([], "allow"), ([("http://a/b", None)], "allow"), ([("http://a/b", 0.0)], "allow"), ([("http://a/b", 1.0), (None, 1.0)], "block")])
+def test_no_label_and_one_class(spark, labelled, verdict):
+    one = urls.train(spark.createDataFrame(labelled, "url string, label double"))
+    pages = spark.createDataFrame([(1, "http://x/y"), (2, None)], "page_id long, url string")
+    assert [r.verdict for r in urls.judge(pages, one, []).collect()] == [verdict] * 2
