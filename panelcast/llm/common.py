@@ -111,6 +111,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for later back: workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 class RollingHash:
     """Hashes of any byte range of one buffer, modulo 2**64, from prefix sums."""
 

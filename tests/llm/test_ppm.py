@@ -50,7 +50,7 @@ def texts():
 def test_scores_match_a_plain_trie(spark, block):
     docs = texts()
     table = spark.createDataFrame([(k, t, 1, "g") for k, t in docs], "doc_id long, text string, block int, gram string")
-    rows = ppm.ppm_scores(table, ppm.crc_fold(), block_bytes=block).collect()
+    rows = ppm.ppm_scores(table, ppm.crc_fold(), block_bytes=block, unit_bytes=2 * block).collect()
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in docs}
     train = [(t or "").encode() for k, t in docs if not held[k]]
     trie = brute_trie(train, ppm.ORDER)
@@ -71,10 +71,10 @@ def test_probabilities_of_all_next_symbols_sum_to_one():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 103, 400).astype(np.uint8)
     keys, counts = np.unique(ppm.keys_of(data, np.array([0, 150, 400]))[0], return_counts=True)
-    low = ppm._sum_by(ppm._shorten(keys, 1), counts)
+    low = ppm.shared_levels(keys, counts, ppm.ORDER)
     for ctx in (b"aabca", b"zzzab", b"zzzza", b"zzzzz", bytes(5)):
         c = int.from_bytes(ctx, "big")
-        pair = (keys // 512) & 65535 == c & 65535
+        pair = (keys // 512) & 0xFFFFFF == c & 0xFFFFFF
         trie = ppm.Trie(keys[pair], counts[pair], low)
         p = 10 ** trie.log10(c * 512 + np.arange(257, dtype=np.int64))
         assert p.sum() == pytest.approx(1)
@@ -89,6 +89,24 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     assert ppm.ppm_scores(table.limit(0), F.lit(False)).count() == 0
 
 
+def test_packed_lists_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1000):
+        keys = np.unique(np.concatenate([rng.integers(0, 1 << 49, n), [ppm.END_WORD][:n], rng.integers(-(1 << 63), 0, n)]))
+        assert np.array_equal(ppm.unpacked(ppm.packed(keys), len(keys)), keys)
+
+
+def test_tally_adds_up_whatever_its_parts_are():
+    rng = np.random.default_rng(3)
+    tally, want = ppm.Tally(wait=50), Counter()
+    for _ in range(40):
+        keys, counts = np.unique(rng.integers(0, 300, rng.integers(0, 60)), return_counts=True)
+        tally.add(keys, counts)
+        want.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+    keys, counts = tally.merge()
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and (np.diff(keys) > 0).all()
+
+
 def test_lookup_table():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 41, 5000))
     asked = np.random.default_rng(1).choice(keys, 20000)
