@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import RollingHash, buffers, text_slices, words
+from panelcast.llm.common import RollingHash, buffers, materialize, text_slices, words
 
-#: Labelled documents that the model is fitted on, at most; the smallest hashes of their ids.
+#: Labelled documents that the model is fitted on, at most; the smallest hashes of their ids and texts.
 MAX_LABELLED = 5000
-#: Words in fewer of those documents are no features.
+#: Words in fewer of those documents are no features; of the others the most frequent ones are, at most so many.
 MIN_DOCS = 3
+MAX_FEATURES = 1 << 17
 GRADES = 3
 PREFIXES = (4, 5)
 REJECT_AT = 0.1
@@ -113,36 +114,52 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         h, at = _features(batch)
         sets = [np.unique(h[a:b].view(np.int64)) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("grade")), pa.array(sets, pa.list_(pa.int64()))], ["grade", "words"])
+        own = [batch.column(batch.schema.get_field_index(c)) for c in ("row", "grade")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.list_(pa.int64()))], ["row", "grade", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_docs: int = MIN_DOCS, n_grades: int = GRADES) -> OrdinalModel:
-    """Fit on at most max_labelled of the documents that `labels` (doc_id, grade) covers.
+def labelled_sets(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """(row, grade, words) of at most max_labelled labelled documents, a set of hashed words and word beginnings each.
 
-    Labels without a grade or a document are left out. Without any labels the
-    model has no words and gives every text the same low severity.
+    The bound holds for the rows that are learned from, after the join: of rows
+    that repeat id and text one counts, and rows that share an id but no text are
+    documents of their own.
     """
-    sample = labels.filter("grade is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "grade").limit(max_labelled)
+    known = labels.filter("grade is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "grade").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the sample has max_labelled rows of two numbers at most
-    table = texts.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(_word_sets, "grade int, words array<long>")
-    got = table.toArrow()
-    grades = np.asarray(got.column("grade"), dtype=np.int64)
-    lists = got.column("words")
-    flat = np.concatenate([np.asarray(x.flatten()) for x in lists.chunks] or [np.zeros(0, np.int64)]).view(np.uint64)
-    sizes = np.concatenate([np.diff(np.asarray(x.offsets)) for x in lists.chunks] or [np.zeros(0, np.int64)])
-    del got, lists
-    if not len(flat):
+    rows = texts.join(F.broadcast(sample), "doc_id").withColumn("row", F.xxhash64("doc_id", "text", "grade"))
+    sets = materialize(rows.select("row", "grade", "text").mapInArrow(_word_sets, "row long, grade int, words array<long>"), "labelled")
+    chosen = sets.select("row").distinct().orderBy("row").limit(max_labelled)
+    return sets.join(F.broadcast(chosen), "row", "left_semi").dropDuplicates(["row"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_docs: int = MIN_DOCS, n_grades: int = GRADES, max_features: int = MAX_FEATURES) -> OrdinalModel:
+    """Fit on at most max_labelled of the documents that `labels` (doc_id, grade) covers.
+
+    Labels without a grade or a document are left out; null texts are empty ones;
+    repeated rows count once. Rare words are left out before anything reaches
+    the driver, which sees at most max_features words of max_labelled documents.
+    Without any labels the model has no words and gives every text the same low
+    severity.
+    """
+    sets = materialize(labelled_sets(docs, labels, max_labelled), "labelled-sets")
+    rows = sets.select("row", "grade").orderBy("row").toArrow()
+    ids, grades = np.asarray(rows.column("row"), dtype=np.int64), np.asarray(rows.column("grade"), dtype=np.int64)
+    pairs = sets.select("row", F.explode("words").alias("word"))
+    frequent = pairs.groupBy("word").count().filter(F.col("count") >= min_docs).orderBy(F.desc("count"), "word").limit(max_features).select("word")
+    # at most max_features numbers
+    got = pairs.join(F.broadcast(frequent), "word").select("row", "word").toArrow()
+    words_of = np.asarray(got.column("word"), dtype=np.int64).view(np.uint64)
+    if not len(words_of):
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), 3.0 + np.arange(n_grades - 1))
-    # rare words go before anything is numbered: they are most of the list
-    order = np.sort(flat)
-    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-    vocab = order[first][np.diff(np.concatenate([first, [len(order)]])) >= min_docs]
-    del order, first
-    c = np.searchsorted(vocab, flat).astype(np.int32)
-    keep = vocab[np.minimum(c, len(vocab) - 1)] == flat if len(vocab) else np.zeros(len(flat), bool)
-    r, c = np.repeat(np.arange(len(grades), dtype=np.int32), sizes)[keep], c[keep]
-    del flat, keep
+    vocab, c = np.unique(words_of, return_inverse=True)
+    r = np.searchsorted(ids, np.asarray(got.column("row"), dtype=np.int64)).astype(np.int32)
+    c = c.astype(np.int32)
+    del got, words_of
+    order = np.lexsort((c, r))  # the same sums in every run, in whichever order the rows came
+    r, c = r[order], c[order]
     w, _ = fit_ordinal(r, c, grades, len(vocab), n_grades, steps=SCREEN_STEPS)
     # the penalty has shrunk what it left: fit those words anew with a tenth of it
     live = np.flatnonzero(w)
@@ -166,6 +183,8 @@ def score(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) ->
     """Per document: expected severity, the likeliest side of each threshold as a grade, whether it is rejected.
 
     Null and empty texts have no words and get the severity of the thresholds alone.
+    Whole texts are scored, however long; rows that repeat are scored one by one;
+    an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

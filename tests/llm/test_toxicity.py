@@ -1,9 +1,12 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 
 from panelcast.llm import toxicity
+from panelcast.llm.common import RollingHash
 
 BAD = ["grub", "slud", "vark"]
 
@@ -62,3 +65,39 @@ def test_few_labels_nulls_and_empties(spark, labelled):
     rows = toxicity.score(table, model).collect()
     assert len(rows) == 5 and not any(r.rejected for r in rows)
     assert toxicity.score(table.limit(0), model).count() == 0
+
+
+def test_the_sample_is_bounded_after_the_join(spark):
+    same = spark.range(20_000).selectExpr("1L AS doc_id", "concat('word', id % 7000, ' bad') AS text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, grade int")
+    sets = toxicity.labelled_sets(same, labels, 2).collect()
+    assert len(sets) == 2 and all(r.grade == 1 for r in sets)
+    again = toxicity.labelled_sets(same.unionByName(same), labels, 20_000)
+    assert again.count() == 7000
+
+
+def plain_severity(model, text):
+    """Score and expected grade of one text, word by word."""
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+    known = set()
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", low):
+        known |= {hash_of(w), *(hash_of(w[:n]) ^ n for n in toxicity.PREFIXES)}
+    score = sum(weight.get(h, 0.0) for h in known)
+    return sum(1 / (1 + math.exp(-(score - t))) for t in model.thresholds)
+
+
+def hash_of(word):
+    data = np.frombuffer(word, np.uint8)
+    return int(RollingHash(data).of(np.array([0]), np.array([len(data)]))[0])
+
+
+def test_scores_match_a_plain_sum(spark):
+    docs = [*corpus(200, 5), (900, None, 0), (901, "", 0), (902, "Grub GRUBLING slud-ding é grub " * 2000, 0), (3, "vark again", 0)]
+    table = spark.createDataFrame([(k, t, 7) for k, t, _ in docs], "doc_id long, text string, severity int")
+    model = toxicity.fit(table, spark.createDataFrame([(k, g) for k, _, g in docs[:200]], "doc_id long, grade int"))
+    want = sorted((k, plain_severity(model, t)) for k, t, _ in docs)
+    rows = sorted((r.doc_id, r.severity, r.grade, r.rejected) for r in toxicity.score(table, model).collect())
+    assert [r[0] for r in rows] == [w[0] for w in want]
+    assert [r[1] for r in rows] == pytest.approx([w[1] for w in want])
+    assert all(g == math.floor(s + 0.5) and x == (s >= toxicity.REJECT_AT) for _, s, g, x in rows)
