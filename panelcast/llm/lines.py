@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.common import materialize
+
 #: A chunk ends where the rolling hash starts with one of these hex digits: a quarter of the lines.
 END_BELOW = "4"
 
@@ -54,24 +56,52 @@ def chunks(text: Column, min_lines: int) -> Column:
     )
 
 
+#: A key that more than one in HOT_SHARE repeated chunks bear is hot: at most HOT_SHARE keys are. Their rows are dealt to SALTS groups.
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def _salt(hot: Column) -> Column:
+    return F.when(hot, F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(F.lit(0))
+
+
+def _salted(hot: Column) -> Column:
+    """All salts of a hot key, as rows; one of any other."""
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+
+
+def _mark(s: Column) -> Column:
+    """A chunk's place and key as one string: sets of strings are compared by hash, sets of structs pair by pair."""
+    return F.concat_ws(":", s["start"], s["size"], s["key"])
+
+
 def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(doc_id, drop): for each document with something to remove, structs (start, size, key) of those chunks.
+    """(doc_id, drop): for each document with something to remove, marks (start:size:key) of those chunks.
 
     Only numbers are shuffled to find the repeated hashes; the bytes of chunks
-    whose hash repeats follow for the comparison.
+    whose hash repeats follow for the comparison. Chunks that a large share of
+    all documents hold are dealt to several tasks wherever they are joined.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.explode(chunks(F.col("text"), min_lines)).alias("c")).select("doc_id", "c.start", "c.size", "c.key")
     # counts and bounds combine before the shuffle: a chunk that a third of all documents hold is one row a task
     place = F.struct("doc_id", "start")
-    again = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("key")
-    suspects = found.join(again, "key").groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "key")).alias("suspects"))
+    again = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("key", "n")
+    again = materialize(again, "repeated-chunks")
+    least = (again.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(again.filter(F.col("n") > least).select("key", F.lit(True).alias("hot")))  # at most HOT_SHARE rows
+    is_hot = F.coalesce("hot", F.lit(False))
+    asked = found.join(hot, "key", "left").withColumn("hot", is_hot).withColumn("salt", _salt(F.col("hot")))
+    known = again.select("key", _salted(F.col("n") > least).alias("salt"))
+    suspects = asked.join(known, ["key", "salt"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "key", "hot")).alias("suspects"))
     lines = F.split("text", "\n")
-    bytes_of = texts.join(suspects.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.explode(_let(lines, lambda x: F.transform("suspects", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), s["key"].alias("key"), _chunk(x, s).alias("chunk"))))).alias("c")).select("doc_id", "c.*")
+    fields = ("start", "size", "key", "hot")
+    bytes_of = texts.join(suspects.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.explode(_let(lines, lambda x: F.transform("suspects", lambda s: F.struct(*[s[f].alias(f) for f in fields], _chunk(x, s).alias("chunk"))))).alias("c")).select("doc_id", "c.*")
     bytes_of = bytes_of.filter(F.xxhash64("chunk") == F.col("key"))  # rows that share an id but not a text
-    first = bytes_of.groupBy("key", "chunk").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("key", "chunk", "lo")
-    later = bytes_of.join(first, ["key", "chunk"]).filter(~place.eqNullSafe(F.col("lo")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "key")).alias("drop"))
+    first = bytes_of.groupBy("key", "chunk", "hot").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi")))
+    first = first.select("key", "chunk", "lo", _salted(F.col("hot")).alias("salt"))
+    later = bytes_of.withColumn("salt", _salt(F.col("hot"))).join(first, ["key", "salt", "chunk"]).filter(~place.eqNullSafe(F.col("lo")))
+    return later.groupBy("doc_id").agg(F.collect_set(_mark(F.struct("start", "size", "key"))).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -80,15 +110,22 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     A null text stays null, with no lines; a text without a line break is one
     line and never changes. Rows that repeat both id and text count as one
     document and all get its result; a null id is an id like others. Columns of
-    docs that bear the names of the new ones are replaced.
+    docs that bear the names of the new ones are replaced. Very long texts are
+    handled whole, in time linear in their lines; an empty table gives no rows.
     """
     drop = repeated_chunks(docs, min_lines).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
     lines = F.split("text", "\n")
-    own = F.transform(chunks(F.col("text"), min_lines), lambda c: c)
-    gone = F.when(F.col("__drop").isNotNull(), F.array_intersect(F.col("__drop"), own))
+    own = F.transform(chunks(F.col("text"), min_lines), _mark)
+
+    def span(mark: Column) -> Column:
+        parts = F.split(mark, ":")
+        return F.struct(parts[0].cast("int").alias("start"), parts[1].cast("int").alias("size"))
+
+    gone = F.when(F.col("__drop").isNotNull(), F.transform(F.array_intersect("__drop", own), span))
 
     def kept(x: Column) -> Column:
-        return F.filter(x, lambda _, i: ~F.exists("__gone", lambda g: (g["start"] <= i + 1) & (i + 1 < g["start"] + g["size"])))
+        dropped = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["size"] - 1)))
+        return F.transform(F.array_except(F.sequence(F.lit(1), F.size(x)), dropped), lambda i: F.get(x, i - 1))
 
     joined = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left").withColumn("__gone", gone)
     out = joined.withColumns(

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from panelcast.llm.lines import dedup_lines
 
@@ -68,3 +69,23 @@ def test_no_python_in_the_plan_and_empty_table(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_chunk_that_most_documents_hold_is_dealt_out(spark):
+    rng = random.Random(7)
+    hot = [f"everyone has line {k}" for k in range(30)]
+    docs = [(k, "\n".join([f"own {k} {j}" for j in range(rng.randrange(3))] + hot + [f"end {k}"])) for k in range(300)]
+    docs += [(1000 + k, "\n".join([f"rare {k // 2} line {j}" for j in range(20)])) for k in range(3000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed, r.n_removed_chunks) for r in dedup_lines(table).collect()), key=str)
+    assert got == brute(docs)
+
+
+def test_long_texts_of_short_lines_take_linear_time(spark):
+    lines = [f"l{k}" for k in range(20_000)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(["x", *lines])), (3, "\n".join(lines[5000:]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    began = time.time()
+    rows = dedup_lines(table).collect()
+    assert time.time() - began < 12
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed, r.n_removed_chunks) for r in rows), key=str) == brute(docs)
