@@ -13,13 +13,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import RollingHash, buffers, text_slices
+from panelcast.llm.common import RollingHash, buffers, materialize, release, table_bytes, text_slices
 
 WINDOW = 16
 #: A feature's window is the rarest of those that start at most so many bytes from it.
@@ -29,9 +27,10 @@ FILTER_BYTES = 256
 FEATURES = 160
 BITS = 5
 SPREADS = 2.5
-#: Rows of the driver's list of range bounds, at most; a range is a task's share of documents.
+#: Text bytes of a range, about, and how many ranges there are at most. A range is read in order, slice by slice: its size costs time, not memory.
+RANGE_BYTES = 16 << 20
 MAX_RANGES = 100_000
-RANGE_BYTES = 8 << 20
+SLICE = 1 << 20
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
@@ -150,14 +149,60 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def range_bounds(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> list[int]:
-    """Ids at which ranges of about range_bytes of text begin, from one approximate quantile query."""
-    known = docs.filter("doc_id is not null")
-    row = known.agg(F.sum(F.octet_length("text")).alias("bytes")).first()
-    n = min(MAX_RANGES, int((row["bytes"] or 0) // range_bytes) + 1)
-    if n < 2:
-        return []
-    return sorted({int(x) for x in known.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)})
+RESULT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+
+def _rows(docs: list[tuple], after: list[tuple], rarity: np.ndarray) -> pa.RecordBatch:
+    """The result rows of (id, text, digest) documents, each with the one after it."""
+    edited = [edit(d[1], n[1]) for d, n in zip(docs, after, strict=True)]
+    changed = _digests([e.encode() for e in edited], rarity)
+    out = [(d[0], len(d[1]), hashlib.sha256(e.encode()).hexdigest(), d[2].tobytes().hex(), c.tobytes().hex(), likeness(d[2], c), likeness(d[2], n[2])) for d, n, e, c in zip(docs, after, edited, changed, strict=True)]
+    cols = list(zip(*out, strict=True)) or [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], _COLUMNS)
+
+
+def _known(ids: list, texts: list[str], rarity: np.ndarray) -> list[tuple]:
+    return list(zip(ids, texts, _digests([t.encode() for t in texts], rarity), strict=True))
+
+
+FIRST, LAST = 0, 1
+
+
+def _range_rows(rarity: np.ndarray):
+    """Rows of a sorted range, one slice after another: all results but the last document's, and the texts of its first and last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last = None, None
+        for part in text_slices(batches, "text", SLICE):
+            seq = [*([last] if last else []), *_known(part.column(0).to_pylist(), part.column(1).to_pylist(), rarity)]
+            yield _with_edges(_rows(seq[:-1], seq[1:], rarity), [])
+            first, last = first or seq[0][:2], seq[-1]
+        if last:
+            yield _with_edges(_rows([], [], rarity), [(FIRST, *first), (LAST, *last[:2])])
+        release()
+
+    return run
+
+
+def _with_edges(rows: pa.RecordBatch, edges: list[tuple]) -> pa.RecordBatch:
+    from pyspark import TaskContext
+
+    part, blank = TaskContext.get().partitionId(), [None] * rows.num_rows
+    cols = [pa.concat_arrays([c, pa.nulls(len(edges), c.type)]) for c in rows.columns]
+    cols[0] = pa.concat_arrays([rows.column(0), pa.array([e[1] for e in edges], pa.int64())])
+    cols += [pa.array([*blank, *[e[0] for e in edges]], pa.int32()), pa.array([*blank, *[part] * len(edges)], pa.int32()), pa.array([*blank, *[e[2] for e in edges]], pa.string())]
+    return pa.RecordBatch.from_arrays(cols, [*_COLUMNS, "edge", "part", "text"])
+
+
+def _edge_rows(rarity: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, after = (batch.column(k).to_pylist() for k in range(3))
+            yield _rows(_known(ids, texts, rarity), _known(ids, after, rarity), rarity)
+
+    return run
 
 
 def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -165,61 +210,28 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
     Documents follow each other by id, then text; null ids come first, null
     texts are empty. After the last document comes the first; a single one
-    follows itself. Texts go once to the range of their id, and each range also
-    gets a copy of the first document of the next one. Empty table: no rows.
+    follows itself. Rows that repeat an id, and even its text, are documents of
+    their own, and are dealt out like others. Empty table: no rows.
+
+    Texts are shuffled once, by ranges of that order, and read in order: a task
+    holds a slice of its range. What spans two ranges is added from the first
+    and last text of each.
     """
     rarity = rarity_table(pair_counts(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = range_bounds(rows, range_bytes)
-    rows = rows.withColumn("part", _range_of(bounds)(F.col("doc_id")) if bounds else F.lit(0))
-    # the first document of each range: one row a range
-    heads = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.md5("text").alias("mark"))).alias("head")).collect()
-    parts = sorted(r["part"] for r in heads)
-    before = {p: parts[k - 1] for k, p in enumerate(parts)}
-    spark = docs.sparkSession
-    # ids and hashes of one document a range; their texts stay in Spark
-    firsts = spark.createDataFrame([(r["part"], r["head"]["doc_id"], r["head"]["mark"], before[r["part"]]) for r in heads] or [], "own int, id long, mark string, goes int")
-    copies = rows.join(F.broadcast(firsts), (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.md5("text") == F.col("mark")))
-    copies = copies.groupBy("goes", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("goes").alias("part"), F.lit(True).alias("head"))
-    both = rows.withColumn("head", F.lit(False)).unionByName(copies)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return both.groupBy("part").applyInArrow(_range_digests(rarity), schema)
-
-
-def _range_of(bounds: list[int]):
-    """Number of the bounds that an id has reached; 0 for a null id."""
-
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(np.asarray(bounds), ids.fillna(bounds[0] - 1).astype("int64"), "right")
-        return pd.Series(found.astype(np.int32))
-
-    return number
-
-
-def _range_digests(rarity: np.ndarray):
-    def run(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.invert(table.column("head")))
-        head = table.filter(table.column("head")).column("text").to_pylist()
-        ids, texts = own.column("doc_id").to_pylist(), own.column("text").to_pylist()
-        # texts of equal ids follow each other by their hash, as in the choice of the first one
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, hashlib.md5(texts[k].encode()).hexdigest()))
-        ids, texts = [ids[k] for k in order], [texts[k] for k in order]
-        out: list[list] = [[] for _ in range(7)]
-        step = 256
-        for a in range(0, len(ids), step):
-            group = texts[a : a + step]
-            after = [*texts[a + 1 : a + step + 1], *head][: len(group)]
-            edited = [edit(t, f) for t, f in zip(group, after, strict=True)]
-            raw = [t.encode() for t in (*group, after[-1])]
-            plain = _digests(raw, rarity)
-            changed = _digests([e.encode() for e in edited], rarity)
-            for k, t in enumerate(group):
-                row = (ids[a + k], len(t), hashlib.sha256(edited[k].encode()).hexdigest(), plain[k].tobytes().hex(), changed[k].tobytes().hex(), likeness(plain[k], changed[k]), likeness(plain[k], plain[k + 1]))
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-        names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, out, kinds, strict=True)})
-
-    return run
+    n = min(MAX_RANGES, table_bytes(rows) // range_bytes + 1)
+    # rows that repeat id and text may come in any order: their number only lets them be split
+    order = [F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("mark"), F.col("copy")]
+    marked = rows.withColumns({"mark": F.md5("text"), "copy": F.monotonically_increasing_id()})
+    ranged = marked.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    done = materialize(ranged.mapInArrow(_range_rows(rarity), f"{RESULT_SCHEMA}, edge int, part int, text string"), "fingerprints")
+    inner = done.filter("edge IS NULL").select(*_COLUMNS)
+    # two rows a range from here on
+    edges = done.filter("edge IS NOT NULL").select("edge", "part", "doc_id", "text")
+    number = F.row_number().over(Window.orderBy("part"))
+    parts = edges.filter(F.col("edge") == FIRST).select("part").withColumn("k", number)
+    goes = parts.crossJoin(F.broadcast(parts.agg(F.count("*").alias("m")))).select("part", "k", (F.when(F.col("k") == 1, F.col("m")).otherwise(F.col("k") - 1)).alias("before"))
+    firsts = edges.filter(F.col("edge") == FIRST).join(goes, "part").select(F.col("before").alias("k"), F.col("text").alias("after"))
+    lasts = edges.filter(F.col("edge") == LAST).join(parts, "part")
+    outer = lasts.join(firsts, "k").select("doc_id", "text", "after").mapInArrow(_edge_rows(rarity), RESULT_SCHEMA)
+    return inner.unionByName(outer)
