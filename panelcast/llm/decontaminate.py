@@ -3,7 +3,9 @@
 A shard is a slice of the documents of one task. Its suffix array holds the word
 suffixes that begin like some test suffix (the others cannot match a window),
 sorted by their words; every test suffix is looked up by binary search, which
-gives its longest verbatim match and all places where a whole window occurs.
+gives all places where a whole window of it occurs. Windows that follow each other
+in a document and in an item are one verbatim match: `matches` returns the longest
+ones with their places, and the verdict on a document follows from the same hits.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class Suffixes:
         hashes = RollingHash(low).of(s, e) if len(s) else np.zeros(0, np.uint64)
         self.by_hash = dict(zip(hashes.tolist(), ids.tolist(), strict=True))
         self.words = [b"", *sorted(self.names)]
-        rows, needs, owners = [], [], []
+        rows, needs, owners, starts = [], [], [], []
         for k in range(len(items)):
             own = ids[at[k] : at[k + 1]]
             need = min(window, len(own))
@@ -54,8 +56,9 @@ class Suffixes:
                 rows.append(row)
                 needs.append(need if len(own) - j >= need else 0)  # 0: too short to hold a window
                 owners.append(k)
+                starts.append(j)
         self.rows = np.asarray(rows, dtype=np.int64).reshape(-1, window)
-        self.needs, self.owners = np.asarray(needs, dtype=np.int64), np.asarray(owners, dtype=np.int64)
+        self.needs, self.owners, self.starts = (np.asarray(x, dtype=np.int64) for x in (needs, owners, starts))
         self.known = np.zeros(1 << _BITS, dtype=bool)
         self.known[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         # the first words of each window: a place whose words don't start so is in no suffix array
@@ -88,15 +91,15 @@ def _number(sfx: Suffixes, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.
     return out
 
 
-def search(sfx: Suffixes, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(sfx: Suffixes, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Look all test suffixes up in the suffix array of one shard.
 
-    Returns (place, words matched, item) of each occurrence of a whole window.
+    Returns (place, words matched, item, place in the item) of each occurrence of a whole window.
     """
     w, n = sfx.window, len(ids)
     none = np.zeros(0, np.int64)
     if not n or not len(sfx.rows):
-        return none, none, none
+        return none, none, none, none
     padded = np.concatenate([ids, np.zeros(w, np.int64)])
     doc_end = np.repeat(at[1:], np.diff(at))
     heads = np.column_stack([padded[k : k + n] for k in range(HEAD)])
@@ -110,7 +113,7 @@ def search(sfx: Suffixes, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
             keep[live[np.isin(_heads(heads[live], k), sfx.heads[k - 1])]] = True
     places = np.flatnonzero(keep)
     if not len(places):
-        return none, none, none
+        return none, none, none, none
     span = places[:, None] + np.arange(w)[None, :]
     table = np.where(span < doc_end[places][:, None], padded[np.minimum(span, n + w - 1)], 0)
     order = np.lexsort(table.T[::-1])
@@ -118,9 +121,9 @@ def search(sfx: Suffixes, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     # binary search: the suffix array narrows word by word, as long as something is left
     live = np.flatnonzero(sfx.needs > 0)
     lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(places), np.int64)
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    got: list[tuple[np.ndarray, ...]] = []
     groups = np.zeros(len(places), np.int64)  # number of the distinct prefix of k words
-    rows, needs, owners = sfx.rows[live], sfx.needs[live], sfx.owners[live]
+    rows, needs, owners, starts = sfx.rows[live], sfx.needs[live], sfx.owners[live], sfx.starts[live]
     width = np.int64(len(sfx.words) + 1)
     for k in range(w):
         key = groups * width + table[:, k]
@@ -132,18 +135,31 @@ def search(sfx: Suffixes, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
             size = (hi - lo)[full]
             which = np.repeat(np.flatnonzero(full), size)
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            got.append((places[lo[which] + inner], np.full(len(which), k + 1), owners[which]))
+            got.append((places[lo[which] + inner], np.full(len(which), k + 1), owners[which], starts[which]))
         go = ok & (needs > k + 1)
-        lo, hi, rows, needs, owners = lo[go], hi[go], rows[go], needs[go], owners[go]
+        lo, hi, rows, needs, owners, starts = lo[go], hi[go], rows[go], needs[go], owners[go], starts[go]
         if not len(lo):
             break
         groups = np.concatenate([[0], np.cumsum(np.diff(key) != 0)]) if len(key) else key
     if not got:
-        return none, none, none
+        return none, none, none, none
     return tuple(np.concatenate(x) for x in zip(*got, strict=True))  # type: ignore[return-value]
 
 
-HIT_SCHEMA = "doc_id long, n_words long, hits array<long>, items array<string>"
+def longest(place: np.ndarray, size: np.ndarray, owner: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Grow the windows of a shard to maximal matches: (text, item, place in the text, place in the item, words).
+
+    Windows one word apart in a text and in an item are on one diagonal and
+    overlap or touch; a run of them is one match, which no word on either side extends.
+    """
+    row = np.searchsorted(at, place, "right") - 1
+    order = np.lexsort((place, place - start, owner, row))
+    row, place, size, owner, start = (v[order] for v in (row, place, size, owner, start))
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(owner) != 0) | (np.diff(place - start) != 0) | (np.diff(place) != 1)
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(place)]]).astype(np.int64) - 1 if len(first) else first
+    return row[first], owner[first], (place - at[row])[first], start[first], place[last] + size[last] - place[first]
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
@@ -167,7 +183,7 @@ def _scan(items: list[tuple], window: int, judge):
         sfx = Suffixes(items, window)
         for batch in text_slices(batches):
             low, s, e, at = words(*buffers(batch.column(batch.schema.get_field_index("text"))))
-            place, size, owner = search(sfx, _number(sfx, low, s, e), at)
+            place, size, owner, start = search(sfx, _number(sfx, low, s, e), at)
             row = np.searchsorted(at, place, "right") - 1
             cover = np.zeros(len(s) + 1, np.int64)
             np.add.at(cover, place, 1)
@@ -183,6 +199,37 @@ def _scan(items: list[tuple], window: int, judge):
     return run
 
 
+MATCH_SCHEMA = "doc_id long, item_id string, place long, item_place long, n_words long"
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The longest verbatim matches: one row for each maximal run of words that a document and an item share.
+
+    Only runs of `window` words or more, or of a whole shorter item; places count
+    words from 0. Null texts have no words and items without words no matches;
+    repeated rows are searched one by one, equal (item, text) rows once, and a
+    null item_id is an empty one.
+    """
+
+    def scan(items: list[tuple]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sfx = Suffixes(items, window)
+            for batch in text_slices(batches):
+                low, s, e, at = words(*buffers(batch.column(1)))
+                row, owner, *rest = longest(*search(sfx, _number(sfx, low, s, e), at), at)
+                names = pa.array([items[k][0] for k in owner.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names, *[pa.array(x, pa.int64()) for x in rest]], ["doc_id", "item_id", "place", "item_place", "n_words"])
+
+        return run
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = base.mapInArrow(scan([]), MATCH_SCHEMA)
+    for k, block in enumerate(_blocks(benchmark, block_bytes)):
+        found = base.mapInArrow(scan(block), MATCH_SCHEMA)
+        out = out.unionByName(found) if k else found
+    return out
+
+
 def digest(items: set[str] | list[str]) -> str:
     return hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest()
 
@@ -195,7 +242,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
 
     A document is contaminated if it has a hit and ratio * hits >= words. Null
     texts have no words, and no item is found in them; items without words have
-    no window; a short item is one window. Repeated rows are judged one by one.
+    no window; a short item is one window; a null item_id is an empty one. Repeated
+    rows are judged one by one, whole texts however long; empty tables have no rows.
     The test set goes to the tasks in blocks of at most block_bytes (+ one
     item); with more than one block the partial hits are merged by document.
     """

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from panelcast.llm.decontaminate import contamination, drop_contaminated
+from panelcast.llm.decontaminate import contamination, drop_contaminated, matches
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -69,3 +69,31 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, block):
     b = spark.createDataFrame([(1, "same item"), (2, "never met")], "item_id long, text string")
     kept = sorted((tuple(r) for r in drop_contaminated(d, b, block_bytes=block).collect()), key=str)
     assert kept == sorted((r for r in rows if r[1] != "same item"), key=str)
+
+
+def brute_matches(docs, items):
+    out = []
+    for doc_id, text in docs:
+        w = words(text)
+        for item, t in items:
+            v = words(t)
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    if w[i] == v[j] and not (i and j and w[i - 1] == v[j - 1]):
+                        n = 0
+                        while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                            n += 1
+                        if n >= min(13, len(v)):
+                            out.append((doc_id, str(item), i, j, n))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 60])
+def test_longest_matches_and_their_places(spark, block):
+    docs, items = cases()
+    d = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, place int")
+    b = spark.createDataFrame([(k, t) for k, t in items], "item_id long, text string")
+    got = sorted((tuple(r) for r in matches(d, b, block_bytes=block).collect()), key=str)
+    assert got == brute_matches(docs, items)
+    assert max(r[4] for r in got) > 13
+    assert matches(d.limit(0), b).count() == 0 and matches(d, b.limit(0)).count() == 0
