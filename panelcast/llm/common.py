@@ -27,9 +27,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -43,6 +45,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that more than one in HOT_SHARE rows bear is hot: fewer than HOT_SHARE keys are. Rows of hot keys are dealt to SALTS groups.
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def salt(hot: Column, *row: str) -> Column:
+    """The group of a row of a hot key, by what tells its rows apart; 0 for other keys."""
+    return F.when(hot, F.pmod(F.xxhash64(*row), F.lit(SALTS))).otherwise(F.lit(0))
+
+
+def all_salts(hot: Column) -> Column:
+    """As rows: all groups of a hot key, one of any other."""
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, apart: list[str]) -> DataFrame:
+    """Inner join of left with right, which has one row a key and in `rows` how many rows of left bear it, of `total` in all.
+
+    Rows of hot keys are dealt to several tasks by the columns `apart`. The list
+    of hot keys is broadcast: it has fewer than HOT_SHARE rows.
+    """
+    is_hot = F.col(rows) * HOT_SHARE > F.lit(total)
+    hot = right.filter(is_hot).select(*[F.col(k).alias(f"__hot_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__hot_{k}"))
+    flagged = left.join(F.broadcast(hot), same, "left").withColumn("__salt", salt(F.col(f"__hot_{keys[0]}").isNotNull(), *apart)).drop(*[f"__hot_{k}" for k in keys])
+    return flagged.join(right.withColumn("__salt", all_salts(is_hot)), [*keys, "__salt"]).drop("__salt")
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialize
+from panelcast.llm.common import HOT_SHARE, all_salts, join_spread, materialize, salt
 
 #: A chunk ends where the rolling hash starts with one of these hex digits: a quarter of the lines.
 END_BELOW = "4"
@@ -56,20 +56,6 @@ def chunks(text: Column, min_lines: int) -> Column:
     )
 
 
-#: A key that more than one in HOT_SHARE repeated chunks bear is hot: at most HOT_SHARE keys are. Their rows are dealt to SALTS groups.
-HOT_SHARE = 1000
-SALTS = 64
-
-
-def _salt(hot: Column) -> Column:
-    return F.when(hot, F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(F.lit(0))
-
-
-def _salted(hot: Column) -> Column:
-    """All salts of a hot key, as rows; one of any other."""
-    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-
-
 def _mark(s: Column) -> Column:
     """A chunk's place and key as one string: sets of strings are compared by hash, sets of structs pair by pair."""
     return F.concat_ws(":", s["start"], s["size"], s["key"])
@@ -88,19 +74,16 @@ def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     place = F.struct("doc_id", "start")
     again = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("key", "n")
     again = materialize(again, "repeated-chunks")
-    least = (again.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
-    hot = F.broadcast(again.filter(F.col("n") > least).select("key", F.lit(True).alias("hot")))  # at most HOT_SHARE rows
-    is_hot = F.coalesce("hot", F.lit(False))
-    asked = found.join(hot, "key", "left").withColumn("hot", is_hot).withColumn("salt", _salt(F.col("hot")))
-    known = again.select("key", _salted(F.col("n") > least).alias("salt"))
-    suspects = asked.join(known, ["key", "salt"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "key", "hot")).alias("suspects"))
+    total = again.agg(F.sum("n")).first()[0] or 0
+    known = again.withColumn("hot", F.col("n") * HOT_SHARE > F.lit(total))
+    suspects = join_spread(found, known, ["key"], "n", total, ["doc_id", "start"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "key", "hot")).alias("suspects"))
     lines = F.split("text", "\n")
     fields = ("start", "size", "key", "hot")
     bytes_of = texts.join(suspects.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.explode(_let(lines, lambda x: F.transform("suspects", lambda s: F.struct(*[s[f].alias(f) for f in fields], _chunk(x, s).alias("chunk"))))).alias("c")).select("doc_id", "c.*")
     bytes_of = bytes_of.filter(F.xxhash64("chunk") == F.col("key"))  # rows that share an id but not a text
     first = bytes_of.groupBy("key", "chunk", "hot").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi")))
-    first = first.select("key", "chunk", "lo", _salted(F.col("hot")).alias("salt"))
-    later = bytes_of.withColumn("salt", _salt(F.col("hot"))).join(first, ["key", "salt", "chunk"]).filter(~place.eqNullSafe(F.col("lo")))
+    first = first.select("key", "chunk", "lo", all_salts(F.col("hot")).alias("salt"))
+    later = bytes_of.withColumn("salt", salt(F.col("hot"), "doc_id", "start")).join(first, ["key", "salt", "chunk"]).filter(~place.eqNullSafe(F.col("lo")))
     return later.groupBy("doc_id").agg(F.collect_set(_mark(F.struct("start", "size", "key"))).alias("drop"))
 
 

@@ -69,6 +69,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return where[new], starts[new], starts[end], h[where[new]], text[new]
 
 
+#: The key of a whole text.
 _KEY = ("c1", "c2")
 
 
