@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import RollingHash, buffers, materialize, mix64, text_slices
+from panelcast.llm.common import RollingHash, buffers, join_spread, materialize, mix64, text_slices
 
 LENGTH = 200
 GRAM = 32
@@ -69,14 +69,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return where[new], starts[new], starts[end], h[where[new]], text[new]
 
 
-#: The key of a whole text.
+#: The key of a whole text: 60 and 32 bits of its SHA-256.
 _KEY = ("c1", "c2")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, its bytes and a key of the text: 64 and 32 bits of two unrelated hashes."""
+    """doc_id, text, its bytes, its digest and its key."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("c1"), F.crc32(text).alias("c2"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own_sha"))
+    bits = lambda at, digits: F.conv(F.substring("own_sha", at, digits), 16, 10).cast("long")
+    return rows.withColumns({"c1": bits(1, 15), "c2": bits(17, 8)})
 
 
 def _sample(length: int, gram: int):
@@ -281,7 +283,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     Every byte goes that a string of `length` bytes covers which also starts
     elsewhere, in the same document or another; all copies go, judged on the
-    input. Null texts are empty. Rows that repeat an id and a text are different
+    input. Null texts are empty; very long ones are searched whole. Rows that repeat an id and a text are different
     documents, so both lose it; null ids are kept. Empty table: no rows.
     """
     base = _keyed(docs)
@@ -289,10 +291,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     # anchors are found twice rather than written: they would be a fifth of the disk
     sampled = long.select(*_KEY, "text").mapInArrow(_sample(length, gram), "h long, c1 long, place long")
     spot = F.xxhash64("c1", "place")
-    again = materialize(sampled.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y"), F.count("*").alias("n")).filter("x <> y").select("h", (F.col("n") > hot).alias("hot")), "repeated-grams")
+    again = materialize(sampled.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y"), F.count("*").alias("n")).filter("x <> y").select("h", "n", (F.col("n") > hot).alias("hot")), "repeated-grams")
     some_hot = not again.filter("hot").isEmpty()
     p = F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    marks = sampled.join(again, "h").groupBy("c1", F.shiftright("place", 31).alias("c2")).agg(F.collect_set(F.when(F.col("hot"), -1 - p).otherwise(p)).alias("marks"))
+    n_again = again.agg(F.sum("n")).first()[0] or 0
+    marks = join_spread(sampled, again, ["h"], "n", n_again, ["c1", "place"]).groupBy("c1", F.shiftright("place", 31).alias("c2")).agg(F.collect_set(F.when(F.col("hot"), -1 - p).otherwise(p)).alias("marks"))
     classes = base.groupBy(*_KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "text-classes")
     heads = marks.join(classes, list(_KEY)).select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep", "marks")
@@ -307,17 +310,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         busy = contexts.filter("hot")
         spot = F.xxhash64(*_KEY, "lo")
         first = F.min(F.struct(*_KEY, "lo", "starts"))
-        classes_of = busy.groupBy("unit", "anchor", "bytes").agg(first.alias("f"), (F.min(spot) != F.max(spot)).alias("twice"))
+        classes_of = busy.groupBy("unit", "anchor", "bytes").agg(first.alias("f"), (F.min(spot) != F.max(spot)).alias("twice"), F.count("*").alias("n"))
+        classes_of = materialize(classes_of, "hot-contexts")
         sort = contexts.filter("NOT hot").unionByName(classes_of.select("unit", "f.c1", "f.c2", "f.lo", "f.starts", "anchor", F.lit(True).alias("hot"), "bytes"))
-        twice = classes_of.filter("twice").select("unit", "anchor", "bytes")
-        whole_contexts = busy.join(twice, ["unit", "anchor", "bytes"]).select(*_KEY, F.col("lo").alias("a"), (F.col("lo") + F.col("starts") - 1 + length).alias("b"))
+        twice = classes_of.filter("twice").select("unit", "anchor", "bytes", "n")
+        n_twice = twice.agg(F.sum("n")).first()[0] or 0
+        dealt = join_spread(busy, twice, ["unit", "anchor", "bytes"], "n", n_twice, [*_KEY, "lo"])
+        whole_contexts = dealt.select(*_KEY, F.col("lo").alias("a"), (F.col("lo") + F.col("starts") - 1 + length).alias("b"))
     spans = sort.drop("hot").groupBy("unit").applyInArrow(_match(length), "c1 long, c2 long, a long, b long")
     if some_hot:
         spans = spans.unionByName(whole_contexts)
     spans = spans.groupBy(*_KEY).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     done = live.select(*_KEY, "text").join(spans, list(_KEY)).mapInArrow(_cut(keep_bytes), "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(list(_KEY))
     facts = classes.join(done, list(_KEY), "left").select(*_KEY, "copies", F.col("n_removed").alias("r"), F.col("n_spans").alias("s"), F.col("kept_sha256").alias("k"), F.col("kept").alias("kb"))
-    own = base.select("doc_id", *_KEY, "n_bytes", F.sha2("text", 256).alias("own_sha"), *([F.col("text").cast("binary").alias("raw")] if keep_bytes else []))
+    own = base.select("doc_id", *_KEY, "n_bytes", "own_sha", *([F.col("text").cast("binary").alias("raw")] if keep_bytes else []))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     out = own.join(facts, list(_KEY)).select(
         "doc_id",
