@@ -8,13 +8,17 @@ down to what a match of `length` bytes can touch:
    the least hash is its anchor, so equal strings have anchors at equal offsets,
    and about one position in a hundred is sampled. Only strings whose anchor's
    gram is an anchor elsewhere can repeat; they go on.
-2. Sort of the samples. Strings meet by their anchor's gram. The bytes right of
-   the anchors are sorted as triples of machine words; each triple gets its rank
-   as a name, and the sort recurses on the names.
-3. Merge of the remaining suffixes. The suffixes that start 1, 2, ... bytes
+2. Sort of the sampled triples. The first three machine words right of each anchor
+   are sorted over all shards: Spark deals them out by ranges and sorts each range,
+   so ranges and the rows in them are in the order of the suffixes. Strings that are
+   equal share a triple and so a range.
+3. Recursion on names. A range is read in order; where triples are equal the bytes
+   behind them decide: they are sorted as triples of words, each triple gets its
+   rank as a name, and the sort recurses on the names.
+4. Merge of the remaining suffixes. The suffixes that start 1, 2, ... bytes
    left of the anchors follow from that order by a stable sort on one byte each:
    (byte, rank of the next suffix), as when non-sampled suffixes are merged.
-4. Adjacent prefixes. Neighbours in each order are compared over `length`
+5. Adjacent prefixes. Neighbours in each order are compared over `length`
    bytes; equal ones repeat.
 
 Texts that occur more than once as a whole are sorted once, and so are the
@@ -33,11 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import RollingHash, buffers, join_spread, materialize, mix64, text_slices
+from panelcast.llm.common import RollingHash, buffers, join_spread, materialize, mix64, release, text_slices
 
 LENGTH = 200
 GRAM = 32
-#: Context bytes that one task sorts together.
+#: Context bytes that a task sorts at once; a range has about four times as many.
 UNIT_BYTES = 4 << 20
 #: Grams with more anchors than this are dealt out further, by what lies beside the anchor.
 HOT = 50_000
@@ -152,21 +156,43 @@ def _survivors(length: int, gram: int):
     return run
 
 
-def _contexts(length: int, n_units: int):
+def _words_at(buf: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place of a buffer as a big-endian number; the buffer goes on for 8 bytes at least."""
+    rows = np.lib.stride_tricks.as_strided(buf, shape=(len(buf) - 7, 8), strides=(1, 1))
+    return np.ascontiguousarray(rows[places]).view(">u8").reshape(-1).astype(np.uint64)
+
+
+_TRIPLE = ("k0", "k1", "k2", "part")
+CONTEXT_SCHEMA = "k0 long, k1 long, k2 long, part long, c1 long, c2 long, lo long, starts int, anchor int, hot boolean, bytes binary"
+
+
+def _triple(buf: np.ndarray, places: np.ndarray, gram: int) -> list[np.ndarray]:
+    """Three words from each place on, of the gram there at most: what strings with this anchor surely share."""
+    out = []
+    for k in range(3):
+        drop = np.uint64(8 * min(max(8 * (k + 1) - gram, 0), 7))
+        word = _words_at(buf, places + 8 * k) >> drop << drop if 8 * k < gram else np.zeros(len(places), np.uint64)
+        # the sign bit is turned, so that signed numbers have the order of the bytes
+        out.append((word ^ np.uint64(1 << 63)).view(np.int64))
+    return out
+
+
+def _contexts(length: int, gram: int):
+    """The bytes around each anchor with the triple right of it, in the order of the bytes; `part` deals hot anchors out further."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=1 << 20):
             data, offsets = buffers(batch.column(2))
             raw = data.tobytes()
             lo, hi, p, h = (np.asarray(batch.column(k).flatten()) for k in range(3, 7))
+            hot = np.asarray(batch.column(7).flatten())
             owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(3))))
             base = offsets[owner]
             cut = [raw[a:b] for a, b in zip((base + lo).tolist(), (base + hi + length).tolist(), strict=True)]
+            padded = np.concatenate([data, np.zeros(24, np.uint8)])
             take = pa.array(owner)
-            unit = (h.view(np.uint64) % np.uint64(n_units)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(unit), batch.column(0).take(take), batch.column(1).take(take), pa.array(lo), pa.array((hi - lo + 1).astype(np.int32)), pa.array((p - lo).astype(np.int32)), batch.column(7).flatten(), pa.array(cut, pa.binary())],
-                ["unit", "c1", "c2", "lo", "starts", "anchor", "hot", "bytes"],
-            )
+            cols = [*(pa.array(x) for x in (*_triple(padded, base + p, gram), np.where(hot, h, 0))), batch.column(0).take(take), batch.column(1).take(take), pa.array(lo), pa.array((hi - lo + 1).astype(np.int32)), pa.array((p - lo).astype(np.int32)), pa.array(hot), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [*_TRIPLE, "c1", "c2", "lo", "starts", "anchor", "hot", "bytes"])
 
     return run
 
@@ -203,11 +229,9 @@ def repeated_starts(buf: np.ndarray, at: np.ndarray, starts: np.ndarray, anchor:
         return flags
     width = -(-length // 8)
     padded = np.concatenate([buf, np.zeros(8 * width + 8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded[:-8].view(), shape=(len(padded) - 8, 8), strides=(1, 1))
 
     def word(places: np.ndarray) -> np.ndarray:
-        """The 8 bytes at each place as a big-endian number."""
-        return np.ascontiguousarray(words[places]).view(">u8").reshape(-1).astype(np.uint64)
+        return _words_at(padded, places)
 
     # order of the bytes right of the anchors; what lies past a context counts as zeros
     right = at + anchor
@@ -238,21 +262,46 @@ def repeated_starts(buf: np.ndarray, at: np.ndarray, starts: np.ndarray, anchor:
     return flags
 
 
-def _match(length: int):
-    def run(table: pa.Table) -> pa.Table:
-        c1, c2, lo, starts, anchor = (np.asarray(table.column(c)).astype(np.int64) for c in ("c1", "c2", "lo", "starts", "anchor"))
-        # a row that repeats id and text has brought its contexts twice
-        _, one = np.unique(np.column_stack([c1, c2, lo, anchor]), axis=0, return_index=True)
-        data, offsets = buffers(table.column("bytes").combine_chunks())
-        c1, c2, lo, starts, anchor = (v[one] for v in (c1, c2, lo, starts, anchor))
-        flags = repeated_starts(data, offsets[:-1][one], starts, anchor, length)
-        owner = np.repeat(np.arange(len(one)), starts)
-        begin = np.arange(len(flags)) - np.repeat(np.concatenate([[0], np.cumsum(starts)[:-1]]), starts) + lo[owner] if len(one) else flags.astype(np.int64)
-        hit = np.flatnonzero(flags)
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)])) if len(hit) else hit
-        end = np.concatenate([new[1:], [len(hit)]]).astype(np.int64) - 1 if len(hit) else hit
-        a, b, o = begin[hit[new]], begin[hit[end]] + length, owner[hit[new]]
-        return pa.table({"c1": pa.array(c1[o]), "c2": pa.array(c2[o]), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _spans(table: pa.Table, length: int) -> pa.RecordBatch:
+    """The spans that repeated strings cover, of the contexts of whole triples."""
+    c1, c2, lo, starts, anchor = (np.asarray(table.column(c)).astype(np.int64) for c in ("c1", "c2", "lo", "starts", "anchor"))
+    # a row that repeats id and text has brought its contexts twice
+    _, one = np.unique(np.column_stack([c1, c2, lo, anchor]), axis=0, return_index=True)
+    data, offsets = buffers(table.column("bytes").combine_chunks())
+    c1, c2, lo, starts, anchor = (v[one] for v in (c1, c2, lo, starts, anchor))
+    flags = repeated_starts(data, offsets[:-1][one], starts, anchor, length)
+    owner = np.repeat(np.arange(len(one)), starts)
+    begin = np.arange(len(flags)) - np.repeat(np.concatenate([[0], np.cumsum(starts)[:-1]]), starts) + lo[owner] if len(one) else flags.astype(np.int64)
+    hit = np.flatnonzero(flags)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)])) if len(hit) else hit
+    end = np.concatenate([new[1:], [len(hit)]]).astype(np.int64) - 1 if len(hit) else hit
+    a, b, o = begin[hit[new]], begin[hit[end]] + length, owner[hit[new]]
+    return pa.RecordBatch.from_arrays([pa.array(c1[o]), pa.array(c2[o]), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["c1", "c2", "a", "b"])
+
+
+def _match(length: int, unit_bytes: int):
+    """Rows of a range come in the order of their triples; so many of them are handled at once as a unit holds, equal triples together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, limit = [], 0, unit_bytes
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.column(batch.schema.get_field_index("bytes")).nbytes
+            if size < limit:
+                continue
+            table = pa.Table.from_batches(waiting)
+            keys = [np.asarray(table.column(k)) for k in _TRIPLE]
+            step = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            if not len(step):  # one triple so far
+                limit = 2 * size
+                continue
+            cut = int(step[-1]) + 1
+            yield _spans(table.slice(0, cut), length)
+            waiting = table.slice(cut).combine_chunks().to_batches()
+            size, limit = sum(b.column(b.schema.get_field_index("bytes")).nbytes for b in waiting), unit_bytes
+        if waiting:
+            yield _spans(pa.Table.from_batches(waiting), length)
+        release()
 
     return run
 
@@ -302,22 +351,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     # one row of each text: its copies have other ids, so a text that many share is spread over them
     chosen = long.join(heads, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select(*_KEY, "text", "marks")
     live = materialize(chosen.mapInArrow(_survivors(length, gram), "c1 long, c2 long, text string, lo array<long>, hi array<long>, p array<long>, h array<long>, hot array<boolean>, context_bytes long"), "candidates")
-    n_units = max(1, math.ceil((live.agg(F.sum("context_bytes")).first()[0] or 0) / unit_bytes))
-    contexts = live.select(*_KEY, "text", "lo", "hi", "p", "h", "hot").mapInArrow(_contexts(length, n_units), "unit long, c1 long, c2 long, lo long, starts int, anchor int, hot boolean, bytes binary")
+    n_ranges = max(1, math.ceil((live.agg(F.sum("context_bytes")).first()[0] or 0) / (4 * unit_bytes)))
+    contexts = live.select(*_KEY, "text", "lo", "hi", "p", "h", "hot").mapInArrow(_contexts(length, gram), CONTEXT_SCHEMA)
     sort = contexts
     if some_hot:
         # a context that occurs again as a whole repeats: all its places are known by a count, and one of them is sorted
         busy = contexts.filter("hot")
         spot = F.xxhash64(*_KEY, "lo")
         first = F.min(F.struct(*_KEY, "lo", "starts"))
-        classes_of = busy.groupBy("unit", "anchor", "bytes").agg(first.alias("f"), (F.min(spot) != F.max(spot)).alias("twice"), F.count("*").alias("n"))
-        classes_of = materialize(classes_of, "hot-contexts")
-        sort = contexts.filter("NOT hot").unionByName(classes_of.select("unit", "f.c1", "f.c2", "f.lo", "f.starts", "anchor", F.lit(True).alias("hot"), "bytes"))
-        twice = classes_of.filter("twice").select("unit", "anchor", "bytes", "n")
+        whole = [*_TRIPLE, "anchor", "bytes"]
+        classes_of = materialize(busy.groupBy(*whole).agg(first.alias("f"), (F.min(spot) != F.max(spot)).alias("twice"), F.count("*").alias("n")), "hot-contexts")
+        sort = contexts.filter("NOT hot").unionByName(classes_of.select(*_TRIPLE, "f.c1", "f.c2", "f.lo", "f.starts", "anchor", F.lit(True).alias("hot"), "bytes"))
+        twice = classes_of.filter("twice").select("part", "anchor", "bytes", "n")
         n_twice = twice.agg(F.sum("n")).first()[0] or 0
-        dealt = join_spread(busy, twice, ["unit", "anchor", "bytes"], "n", n_twice, [*_KEY, "lo"])
+        dealt = join_spread(busy, twice, ["part", "anchor", "bytes"], "n", n_twice, [*_KEY, "lo"])
         whole_contexts = dealt.select(*_KEY, F.col("lo").alias("a"), (F.col("lo") + F.col("starts") - 1 + length).alias("b"))
-    spans = sort.drop("hot").groupBy("unit").applyInArrow(_match(length), "c1 long, c2 long, a long, b long")
+    ranges = sort.drop("hot").repartitionByRange(n_ranges, *_TRIPLE).sortWithinPartitions(*_TRIPLE)
+    spans = ranges.mapInArrow(_match(length, unit_bytes), "c1 long, c2 long, a long, b long")
     if some_hot:
         spans = spans.unionByName(whole_contexts)
     spans = spans.groupBy(*_KEY).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
