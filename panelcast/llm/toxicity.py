@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,16 +151,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, mi
     pairs = sets.select("row", F.explode("words").alias("word"))
     frequent = pairs.groupBy("word").count().filter(F.col("count") >= min_docs).orderBy(F.desc("count"), "word").limit(max_features).select("word")
     # at most max_features numbers
-    got = pairs.join(F.broadcast(frequent), "word").select("row", "word").toArrow()
-    words_of = np.asarray(got.column("word"), dtype=np.int64).view(np.uint64)
+    got = pairs.join(F.broadcast(frequent), "word").groupBy("row").agg(F.sort_array(F.collect_list("word")).alias("words")).orderBy("row").toArrow()
+    row = np.asarray(got.column("row"), dtype=np.int64)
+    lists = got.column("words").combine_chunks()
+    words_of, sizes = np.asarray(lists.flatten()).view(np.uint64), np.asarray(pc.list_value_length(lists))
     if not len(words_of):
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), 3.0 + np.arange(n_grades - 1))
-    vocab, c = np.unique(words_of, return_inverse=True)
-    r = np.searchsorted(ids, np.asarray(got.column("row"), dtype=np.int64)).astype(np.int32)
-    c = c.astype(np.int32)
-    del got, words_of
-    order = np.lexsort((c, r))  # the same sums in every run, in whichever order the rows came
-    r, c = r[order], c[order]
+    vocab = np.unique(words_of)
+    c = np.searchsorted(vocab, words_of).astype(np.int32)
+    r = np.repeat(np.searchsorted(ids, row).astype(np.int32), sizes)
+    del got, lists, words_of
     w, _ = fit_ordinal(r, c, grades, len(vocab), n_grades, steps=SCREEN_STEPS)
     # the penalty has shrunk what it left: fit those words anew with a tenth of it
     live = np.flatnonzero(w)
