@@ -8,11 +8,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What stands for an amount too small to measure; the shape of a number that a text begins with.
+TRACE = "T"
+LEADING_NUMBER = r"^-?[0-9]+(?:[.][0-9]+)?"
+
+
 def measure(c: Column | str, trace: float | None = None) -> Column:
-    """A number out of a messy text: its leading number (a suffix such as `s` is dropped), `T` as `trace`; else null."""
-    raw = F.trim(c)
-    value = F.regexp_extract(raw, r"^-?\d+(\.\d+)?", 0).try_cast("double")
-    return value if trace is None else F.when(raw == "T", F.lit(trace)).otherwise(value)
+    """The number that a messy text begins with, whatever follows it; `trace`, if given, for the trace mark; null for other texts."""
+    text = F.trim(c)
+    marks = {} if trace is None else {TRACE: trace}
+    number = F.regexp_substr(text, F.lit(LEADING_NUMBER)).try_cast("double")
+    return F.coalesce(*[F.when(text == mark, F.lit(value)) for mark, value in marks.items()], number)
+
+
+def timestamp_of(c: Column | str) -> Column:
+    """Wall-clock time out of a text such as 2024-01-10T00:51:00; null where it is none."""
+    return (F.col(c) if isinstance(c, str) else c).try_cast("timestamp_ntz")
+
+
+def month_of(year: str, month: str) -> Column:
+    """The first day of a month given by its numbers; null where there is no such month."""
+    return F.expr(f"try_make_timestamp_ntz({year}, {month}, 1, 0, 0, 0)").cast("date")
 
 
 def hour_of(c: str) -> Column:
@@ -59,7 +75,3 @@ def repaired_quantiles(*quantiles: Column, scale: Column | None = None) -> Colum
 
 def one_hot(c: str, values: list[str], prefix: str) -> dict[str, Column]:
     return {f"{prefix}_{v}": (F.col(c) == v).cast("double") for v in values}
-
-
-def metric_name(c: Column | str) -> Column:
-    return F.replace(c if isinstance(c, Column) else F.col(c), F.lit(" "), F.lit("_"))

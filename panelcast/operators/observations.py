@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions import scalars
+from panelcast.sources.ingest import column_like
+
 
 def latest_by(df: DataFrame, keys: list[str], tie_break: list[str]) -> DataFrame:
     """One row a key, the first by all of tie_break: unlike an arbitrary row, the same one in every run."""
@@ -17,6 +20,23 @@ def hourly(reports: DataFrame, hour: Column, means: list[str], maxima: list[str]
     return reports.groupBy(hour.alias("hour_ts")).agg(*[F.avg(c).alias(c) for c in means], *[F.max(c).alias(c) for c in maxima])
 
 
+def clean_reports(raw: DataFrame, report: str, measures: dict[str, tuple[str, float | None]], maxima: list[str] = (), zone: str = "America/New_York", type_prefix: str = "REPORT_TYPE", time: str = "DATE") -> DataFrame:
+    """Hourly observations by wall clock out of raw text reports in local standard time.
+
+    Reports of one type count; each time once, by the first of its texts in
+    order, so every run keeps the same one. `measures` names each result, its raw
+    column and the value of a trace. A report informs the first full hour after
+    it; hours that autumn repeats collapse to means, or maxima for `maxima`.
+    Texts that are no number and times that are none become null; reports
+    without a time go.
+    """
+    kind = column_like(raw, type_prefix)
+    texts = [source for source, _ in measures.values()]
+    timed = raw.filter(F.trim(kind) == report).select(scalars.timestamp_of(time).alias("obs_ts"), *texts).filter("obs_ts IS NOT NULL")
+    parsed = latest_by(timed, ["obs_ts"], texts).select("obs_ts", *[scalars.measure(source, trace).alias(name) for name, (source, trace) in measures.items()])
+    return hourly(parsed, scalars.standard_to_wall_hour("obs_ts", zone), [m for m in measures if m not in maxima], list(maxima))
+
+
 def hour_spine(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """Every hour in [start, end) for each row of df; no join, rows stream out."""
     return df.withColumn("hour_ts", F.explode(F.sequence(start, end - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,29 @@ from panelcast.config import Limits
 
 Rules = list[tuple[str, Column]]
 
-#: Reasons to drop an event, in the order in which they are tried.
-REASONS = ("missing_timestamp", "pickup_outside_file_month", "unknown_pickup_zone", "impossible_duration", "bad_distance", "bad_fare")
+
+@dataclass(frozen=True)
+class Bound:
+    """What values a measure may have. `low` and `high` may be columns; whether a limit itself is valid is said by the brackets, `[` and `]` or `(` and `)`."""
+
+    reason: str
+    measure: Column
+    low: object = None
+    high: object = None
+    brackets: str = "[]"
+    required: bool = True
+    banned: tuple = ()
+
+    def broken(self) -> Column:
+        """Whether a value lies outside; a missing one does if the measure is required."""
+        ends = []
+        if self.low is not None:
+            ends.append(self.measure < self.low if self.brackets[0] == "[" else self.measure <= self.low)
+        if self.high is not None:
+            ends.append(self.measure > self.high if self.brackets[1] == "]" else self.measure >= self.high)
+        if self.banned:
+            ends.append(self.measure.isin(*self.banned))
+        return reduce(Column.__or__, ends, self.measure.isNull() if self.required else F.lit(False))
 
 
 def minutes_between(start: str, end: str) -> Column:
@@ -18,24 +42,27 @@ def minutes_between(start: str, end: str) -> Column:
     return F.expr(f"(unix_timestamp({end}) - unix_timestamp({start})) / 60.0D")
 
 
-def event_rules(limits: Limits = Limits()) -> Rules:
-    """A condition for each of REASONS; a null condition does not fire.
+def event_bounds(limits: Limits = Limits()) -> list[Bound]:
+    """The bounds of an event, in the order in which they are tried. Reasons are fixed values; a reason may have several bounds.
 
     Needs pickup_ts, dropoff_ts, zone, distance, fare, total, file_month (its first day).
     """
-    zone, distance, fare = F.col("zone"), F.col("distance"), F.col("fare")
-    minutes = minutes_between("pickup_ts", "dropoff_ts")
-    month = F.col("file_month").cast("timestamp_ntz")
-    next_month = F.add_months("file_month", 1).cast("timestamp_ntz")
-    fires = (
-        F.col("pickup_ts").isNull() | F.col("dropoff_ts").isNull(),
-        ~F.col("pickup_ts").between(month, next_month) | (F.col("pickup_ts") == next_month),
-        zone.isNull() | ~zone.between(1, limits.max_zone) | zone.isin(*limits.unknown_zones),
-        ~minutes.between(limits.min_minutes, limits.max_minutes),
-        distance.isNull() | (distance <= 0) | (distance > limits.max_distance),
-        fare.isNull() | ~fare.between(0, limits.max_fare) | (F.col("total") < 0),
-    )
-    return list(zip(REASONS, fires, strict=True))
+    month = F.col("file_month")
+    return [
+        Bound("missing_timestamp", F.col("pickup_ts")),
+        Bound("missing_timestamp", F.col("dropoff_ts")),
+        Bound("pickup_outside_file_month", F.col("pickup_ts"), month.cast("timestamp_ntz"), F.add_months(month, 1).cast("timestamp_ntz"), "[)", required=False),
+        Bound("unknown_pickup_zone", F.col("zone"), 1, limits.max_zone, banned=limits.unknown_zones),
+        Bound("impossible_duration", minutes_between("pickup_ts", "dropoff_ts"), limits.min_minutes, limits.max_minutes, required=False),
+        Bound("bad_distance", F.col("distance"), 0, limits.max_distance, "(]"),
+        Bound("bad_fare", F.col("fare"), 0, limits.max_fare),
+        Bound("bad_fare", F.col("total"), 0, required=False),
+    ]
+
+
+def event_rules(limits: Limits = Limits()) -> Rules:
+    """(reason, condition) of each bound; a null condition does not fire."""
+    return [(bound.reason, bound.broken()) for bound in event_bounds(limits)]
 
 
 def first_failing(rules: Rules) -> Column:
