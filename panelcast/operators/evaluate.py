@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -82,14 +82,16 @@ def day_kinds(forecasts: DataFrame, holidays: DataFrame) -> DataFrame:
 def rank_buckets(forecasts: DataFrame, edges: tuple[int, ...]) -> DataFrame:
     """wape and share of volume by the rank of a key's volume; ranks up to each edge, then the rest.
 
-    Ranks need one row a key: a volume table sorted once, not the forecasts.
+    Only the keys up to the last edge are ranked; they are so few that their
+    ranks are one small table. All other keys fall into the rest.
     """
     volume = forecasts.groupBy("key").agg(F.sum("y").alias("volume"))
-    ranked = volume.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("volume"), "key")))
-    bucket = F.lit(f"over {edges[-1]}")
-    for lo, hi in reversed(list(zip((0, *edges), edges))):
-        bucket = F.when(F.col("rank") <= hi, f"{lo + 1}-{hi}").otherwise(bucket)
-    joined = forecasts.join(ranked.select("key", bucket.alias("bucket")), "key")
+    top = volume.orderBy(F.desc("volume"), "key").limit(edges[-1])
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("volume"), "key")))
+    spans = list(zip((0, *edges), edges, strict=False))
+    bucket = F.coalesce(*[F.when(F.col("rank") <= hi, F.lit(f"{lo + 1}-{hi}")) for lo, hi in spans])
+    named = F.coalesce(F.col("bucket"), F.lit(f"over {edges[-1]}"))
+    joined = forecasts.join(F.broadcast(ranked.select("key", bucket.alias("bucket"))), "key", "left").withColumn("bucket", named)
     out = joined.groupBy("model", "bucket").agg(F.try_divide(F.sum(F.abs(_error())), F.sum("y")).alias("wape"), F.sum("y").alias("volume"))
     return out.withColumn("share", F.try_divide(F.col("volume"), F.sum("volume").over(Window.partitionBy("model"))))
 
@@ -110,3 +112,23 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: rows in common and the largest difference between two sets of predictions."""
     both = a.select("key", "hour_ts", F.col("prediction").alias("pa")).join(b.select("key", "hour_ts", F.col("prediction").alias("pb")), ["key", "hour_ts"])
     return both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("pa") - F.col("pb"))).alias("max_diff"))
+
+
+def reconcile_or_fail(a: DataFrame, b: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """`reconcile`, failing at run time when no row is in common or predictions differ by the tolerance or more."""
+    out = reconcile(a, b)
+    wrong = F.when(F.col("n") == 0, "no rows in common").when(F.col("max_diff") >= tolerance, F.concat(F.lit("predictions differ by "), F.col("max_diff").cast("string")))
+    return out.withColumn("n", F.when(wrong.isNull(), F.col("n")).otherwise(F.raise_error(wrong).cast("long")))
+
+
+def only_models(forecasts: DataFrame, models: list[str]) -> DataFrame:
+    """Forecasts of the models that may be shown; an empty list shows none."""
+    return forecasts.filter(F.col("model").isin(*models)) if models else forecasts.limit(0)
+
+
+def stored_results(spark: SparkSession, path: str, model: str, keys: DataFrame, group: str) -> DataFrame:
+    """Test metrics of a model's stored forecasts as (metric, value) rows, with the band's coverage where any row has a band."""
+    rows = spark.read.parquet(path).filter(F.col("model") == model).join(keys, "key")
+    names = metrics_long(metrics_with_total(rows, group), "test", group).select("metric", "value")
+    band = coverage(rows).select(F.lit("test_coverage_p10_p90").alias("metric"), F.col("coverage").alias("value")).filter("value IS NOT NULL")
+    return names.unionByName(band)

@@ -28,7 +28,7 @@ def add_history(panel: DataFrame, lags: dict[str, int] = LAGS, rolling: dict[str
     """
     w = Window.partitionBy("key").orderBy("hour_ts")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    with_sums = panel.withColumns({"__sum": F.coalesce(F.sum(F.col(y).cast("long")).over(so_far), F.lit(0)), "__n": F.row_number().over(w) - 1})
+    with_sums = panel.withColumns({"__sum": F.coalesce(F.sum(F.col(y).cast("long")).over(so_far), F.lit(0)), "__n": F.count("*").over(so_far)}) if rolling else panel
     means = {name: F.try_divide(F.col("__sum") - F.lag("__sum", k, 0).over(w), F.least(F.col("__n"), F.lit(k))) for name, k in rolling.items()}
     return with_sums.withColumns({name: F.lag(y, k).over(w) for name, k in lags.items()} | means).drop("__sum", "__n")
 

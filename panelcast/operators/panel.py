@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import hour_of
+from panelcast.operators.features import between
 from panelcast.operators.observations import hour_spine
 
 
@@ -21,21 +22,24 @@ def panel(events: DataFrame, keys: DataFrame, start: datetime, end: datetime, ca
     """One row for every key and every hour in [start, end), zeros included.
 
     Events of keys that `keys` lacks, or outside the range, are not counted;
-    the range prunes the scan. The grid is exploded key by key.
+    the range prunes the scan. The grid is exploded key by key, as rows of zeros
+    that are added up with the counts: one shuffle by key, which windows over a
+    key's hours use too. A key has as many rows as there are hours, so none is large.
     """
     inside = events.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    names = ["y", *(categories or {})]
     grid = hour_spine(keys.select("key").distinct(), F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
-    found = counts(inside, categories)
-    columns = ["y", *(categories or {})]
-    out = grid.join(found, ["key", "hour_ts"], "left")
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in columns})
+    zeros = grid.select("key", "hour_ts", *[F.lit(0).cast("long").alias(c) for c in names], F.lit(1).alias("__in_grid"))
+    both = zeros.unionByName(counts(inside, categories).withColumn("__in_grid", F.lit(0)))
+    out = both.repartition("key").groupBy("key", "hour_ts").agg(*[F.sum(c).cast("int").alias(c) for c in names], F.max("__in_grid").alias("__in_grid"))
+    return out.filter("__in_grid = 1").drop("__in_grid")
 
 
 def active_keys(panel_: DataFrame, start: datetime, end: datetime, min_daily: float) -> DataFrame:
     """Keys with at least min_daily events a day on average in [start, end), the training window only."""
-    days = (end - start).days
-    window = panel_.filter((F.col("hour_ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("hour_ts") < F.lit(end).cast("timestamp_ntz")))
-    return window.groupBy("key").agg((F.sum("y") / F.lit(days)).alias("avg_daily")).filter(F.col("avg_daily") >= min_daily)
+    days = (end - start) / timedelta(days=1)
+    totals = between(panel_, start, end).groupBy("key").agg(F.sum("y").alias("total"))
+    return totals.filter(F.col("total") >= F.lit(min_daily * days)).select("key", (F.col("total") / days).alias("avg_daily"))
 
 
 def restrict(panel_: DataFrame, keys: DataFrame) -> DataFrame:

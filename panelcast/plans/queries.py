@@ -90,7 +90,7 @@ named AS (
   SELECT DISTINCT user_id AS key, c_name AS key_name, r_name AS group_name
   FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
-FORECAST_SQL = f"""{PANEL_B},{HISTORY_SQL},{HOLIDAY_SQL},
+FORECAST_SQL = f"""{PANEL_A},{HISTORY_SQL},{HOLIDAY_SQL},
 bands AS (
   SELECT key, hour_ts, y, quantile_cont(CAST(y AS DOUBLE), 0.1) OVER c AS p10, quantile_cont(CAST(y AS DOUBLE), 0.5) OVER c AS p50, quantile_cont(CAST(y AS DOUBLE), 0.9) OVER c AS p90
   FROM panel WINDOW c AS (PARTITION BY key ORDER BY hour_ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)),
@@ -99,7 +99,7 @@ forecasts AS (
   FROM history WHERE hour_ts >= TIMESTAMP '2024-01-25'
   UNION ALL SELECT 'quantile', key, hour_ts, y, p50, p10, p90 FROM bands WHERE hour_ts >= TIMESTAMP '2024-01-25')"""
 
-NAIVE_A_SQL = f"""{PANEL_A},{HISTORY_SQL},{KEYS_SQL},
+NAIVE_NAMED_SQL = f"""{PANEL_A},{HISTORY_SQL},{KEYS_SQL},
 scored AS (
   SELECT h.key, key_name, group_name, hour_ts, y, CAST(lag_168h AS DOUBLE) AS prediction FROM history h JOIN named USING (key)
   WHERE hour_ts >= TIMESTAMP '2024-01-25')"""
@@ -119,28 +119,28 @@ def _holidays(spark: SparkSession) -> DataFrame:
     return ingest.holidays(spark, 2024, 2024)
 
 
-def _features_b(spark: SparkSession, d: str) -> DataFrame:
-    return features.build(_panel(spark, d, "event_type"), _holidays(spark))
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return features.build(_panel(spark, d), _holidays(spark))
 
 
 def _split(df: DataFrame, name: str) -> DataFrame:
     return features.between(df, *SPLITS.bounds(name))
 
 
-def _naive_b(spark: SparkSession, d: str) -> DataFrame:
+def _naive(spark: SparkSession, d: str) -> DataFrame:
     lo, hi = SPLITS.bounds("test")
-    return models.seasonal_naive(features.build(_panel(spark, d, "event_type"), _holidays(spark), start=lo, end=hi))
+    return models.seasonal_naive(features.build(_panel(spark, d), _holidays(spark), start=lo, end=hi))
 
 
-def _quantile_b(spark: SparkSession, d: str) -> DataFrame:
-    return models.context_quantiles(_panel(spark, d, "event_type"), *SPLITS.bounds("test"), quantiles=QUANTILES)
+def _quantile(spark: SparkSession, d: str) -> DataFrame:
+    return models.context_quantiles(_panel(spark, d), *SPLITS.bounds("test"), quantiles=QUANTILES)
 
 
 def _forecasts(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.forecast_rows(_naive_b(spark, d), "naive").unionByName(sinks.forecast_rows(_quantile_b(spark, d), "quantile"))
+    return sinks.forecast_rows(_naive(spark, d), "naive").unionByName(sinks.forecast_rows(_quantile(spark, d), "quantile"))
 
 
-def _naive_a(spark: SparkSession, d: str) -> DataFrame:
+def _naive_named(spark: SparkSession, d: str) -> DataFrame:
     """Naive test forecasts per user, with name and group."""
     lo, hi = SPLITS.bounds("test")
     history = features.add_history(_panel(spark, d), {"lag_168h": 168}, {})
@@ -336,17 +336,17 @@ def train_scales(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.key_scales(_split(_panel(spark, d), "train")), "scale")
 
 
-ENCODED_SQL = f"""{REPORT_SQL}, {PANEL_B}, scales AS (SELECT key, greatest(avg(y), 0.1) AS scale FROM panel WHERE hour_ts < TIMESTAMP '2024-01-20' GROUP BY 1),
+ENCODED_SQL = f"""{REPORT_SQL}, {PANEL_A}, {KEYS_SQL}, scales AS (SELECT key, greatest(avg(y), 0.1) AS scale FROM panel WHERE hour_ts < TIMESTAMP '2024-01-20' GROUP BY 1),
   obs AS (SELECT avg(temp) AS m, CASE WHEN coalesce(stddev_samp(temp), 0) = 0 THEN 1 ELSE stddev_samp(temp) END AS s FROM panel LEFT JOIN hourly USING (hour_ts) WHERE hour_ts < TIMESTAMP '2024-01-20')"""
 
 
 @query(f"""WITH {ENCODED_SQL} SELECT key, hour_ts, y, round(y / scale, 6) AS y_scaled, round(sin(2 * pi() * hour(hour_ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * (isodow(hour_ts) - 1) / 7), 6) AS dow_cos,
-  CAST((isodow(hour_ts) - 1) * 24 + hour(hour_ts) AS INT) AS hour_of_week, round((temp - m) / s, 6) AS temp_z, CAST(key = 'click' AS DOUBLE) AS group_click FROM panel JOIN scales USING (key) LEFT JOIN hourly USING (hour_ts), obs""")
+  CAST((isodow(hour_ts) - 1) * 24 + hour(hour_ts) AS INT) AS hour_of_week, round((temp - m) / s, 6) AS temp_z, CAST(group_name = 'ASIA' AS DOUBLE) AS "group_ASIA" FROM panel JOIN scales USING (key) LEFT JOIN named USING (key) LEFT JOIN hourly USING (hour_ts), obs""")
 def encoded_features(spark: SparkSession, d: str) -> DataFrame:
-    feats = features.build(_panel(spark, d, "event_type"), _holidays(spark), _hourly(spark, d)).withColumn("group_name", F.col("key"))
+    feats = features.build(_panel(spark, d), _holidays(spark), _hourly(spark, d), adapters.keys(spark, d))
     train = _split(feats, "train")
-    out = features.encode(feats, features.key_scales(train), features.column_scales(train, ["temp"]), ["temp"], ["click"])
-    return rounded(out, "y_scaled", "hour_sin", "dow_cos", "temp_z").select("key", "hour_ts", "y", "y_scaled", "hour_sin", "dow_cos", "hour_of_week", "temp_z", "group_click")
+    out = features.encode(feats, features.key_scales(train), features.column_scales(train, ["temp"]), ["temp"], ["ASIA"])
+    return rounded(out, "y_scaled", "hour_sin", "dow_cos", "temp_z").select("key", "hour_ts", "y", "y_scaled", "hour_sin", "dow_cos", "hour_of_week", "temp_z", "group_ASIA")
 
 
 # -------------------------------------------------------------------- forecasts
@@ -354,17 +354,17 @@ def encoded_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FORECAST_SQL} SELECT key, hour_ts, y, prediction FROM forecasts WHERE model = 'naive'")
 def naive_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return _naive_b(spark, d).select("key", "hour_ts", "y", "prediction")
+    return _naive(spark, d).select("key", "hour_ts", "y", "prediction")
 
 
 @query(f"WITH {FORECAST_SQL} SELECT key, {ROUNDED_METRICS} FROM forecasts WHERE model = 'naive' GROUP BY key")
 def naive_metrics_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.metrics(_naive_b(spark, d), "key"), "mae", "rmse", "wape")
+    return rounded(evaluate.metrics(_naive(spark, d), "key"), "mae", "rmse", "wape")
 
 
 @query(f"WITH {FORECAST_SQL} SELECT key, hour_ts, y, {r('p10')}, {r('prediction')}, {r('p90')} FROM forecasts WHERE model = 'quantile'")
 def grouped_quantile_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_quantile_b(spark, d), "p10", "prediction", "p90")
+    return rounded(_quantile(spark, d), "p10", "prediction", "p90")
 
 
 def trailing_quantiles(pdf):
@@ -375,19 +375,27 @@ def trailing_quantiles(pdf):
 
 @query(f"WITH {FORECAST_SQL} SELECT key, hour_ts, y, {r('p10')}, {r('prediction')}, {r('p90')} FROM forecasts WHERE model = 'quantile'")
 def pluggable_backtest(spark: SparkSession, d: str) -> DataFrame:
-    out = models.rolling_backtest(_panel(spark, d, "event_type"), trailing_quantiles, *SPLITS.bounds("test"), context=168, chunk_hours=48)
+    out = models.rolling_backtest(_panel(spark, d), trailing_quantiles, *SPLITS.bounds("test"), context=168, chunk_hours=48)
     return rounded(out, "p10", "prediction", "p90")
 
 
-@query(f"WITH {PANEL_B}, c AS (SELECT key, hour_ts, y, list(y) OVER (PARTITION BY key ORDER BY hour_ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS c FROM panel) SELECT key, hour_ts, y, CAST(list_sum(c) AS BIGINT) AS total, c[1] AS oldest, c[24] AS newest FROM c WHERE hour_ts >= TIMESTAMP '2024-01-25'")
+@query(f"WITH {PANEL_A}, c AS (SELECT key, hour_ts, y, list(y) OVER (PARTITION BY key ORDER BY hour_ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS c FROM panel) SELECT key, hour_ts, y, CAST(list_sum(c) AS BIGINT) AS total, c[1] AS oldest, c[24] AS newest FROM c WHERE hour_ts >= TIMESTAMP '2024-01-25'")
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
-    out = models.contexts(_panel(spark, d, "event_type"), *SPLITS.bounds("test"), context=24)
+    out = models.contexts(_panel(spark, d), *SPLITS.bounds("test"), context=24)
     return out.select("key", "hour_ts", "y", F.aggregate("context", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.get("context", 0).alias("oldest"), F.get("context", 23).alias("newest"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: it is used several times, and an executor may be lost."""
+    path = sinks.shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _glm_scored(spark: SparkSession, d: str) -> DataFrame:
-    feats = features.with_history(_features_b(spark, d))
-    return models.predict_poisson(models.fit_poisson(_split(feats, "train")), _split(feats, "test"))
+    observed = observations.fill_gaps(_hourly(spark, d), _spine(spark, d), ["temp", "precip"], "precip")
+    feats = _written(features.with_history(features.build(_panel(spark, d), _holidays(spark), observed)))
+    return models.predict_poisson(models.fit_poisson(_split(feats, "train"), ("temp", "is_raining")), _split(feats, "test"))
 
 
 @query()
@@ -395,18 +403,48 @@ def poisson_glm(spark: SparkSession, d: str) -> DataFrame:
     return _glm_scored(spark, d).select("key", "hour_ts", "y", "prediction")
 
 
+@query(f"WITH {PANEL_A} SELECT count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS total, true AS all_positive, true AS total_within_a_quarter, true AS better_than_last_week FROM panel WHERE hour_ts >= TIMESTAMP '2024-01-25'")
+def poisson_glm_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the GLM's test forecasts: every row is there, none is below zero, the total is about right, and squared errors are smaller than last week's."""
+    both = _glm_scored(spark, d)
+    square = lambda c: F.sum((F.col(c) - F.col("y")) ** 2)
+    return both.agg(
+        F.count("*").alias("n_rows"),
+        F.sum("y").alias("total"),
+        (F.min("prediction") > 0).alias("all_positive"),
+        (F.abs(F.sum("prediction") - F.sum("y")) < 0.25 * F.sum("y")).alias("total_within_a_quarter"),
+        (square("prediction") < square("lag_168h")).alias("better_than_last_week"),
+    )
+
+
 def _boosted(spark: SparkSession, d: str):
-    feats = features.with_history(_features_b(spark, d)).cache()
-    scales = features.key_scales(_split(feats, "train"))
+    feats = _written(features.with_history(_features(spark, d)))
+    scales = _written(features.key_scales(_split(feats, "train")))
     return feats, scales, models.fit_boosted(_split(feats, "train"), scales)
 
 
-@query()
-def global_quantile(spark: SparkSession, d: str) -> DataFrame:
+def _boosted_scored(spark: SparkSession, d: str) -> DataFrame:
     feats, scales, model = _boosted(spark, d)
     return models.predict_boosted(model, _split(feats, "test"), scales, models.residual_bands(model, _split(feats, "validation"), scales))
 
 
+@query()
+def global_quantile(spark: SparkSession, d: str) -> DataFrame:
+    return _boosted_scored(spark, d)
+
+
+@query(f"WITH {PANEL_A} SELECT count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS total, true AS ordered, true AS not_negative, true AS band_covers FROM panel WHERE hour_ts >= TIMESTAMP '2024-01-25'")
+def global_quantile_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the boosted model's bands: every row is there, quantiles are in order and not below zero, and the band covers most rows."""
+    return _boosted_scored(spark, d).agg(
+        F.count("*").alias("n_rows"),
+        F.sum("y").alias("total"),
+        F.bool_and((F.col("p10") <= F.col("prediction")) & (F.col("prediction") <= F.col("p90"))).alias("ordered"),
+        (F.min("p10") >= 0).alias("not_negative"),
+        (F.avg(evaluate.inside_band().cast("double")) >= 0.6).alias("band_covers"),
+    )
+
+
 @query()
 def importance(spark: SparkSession, d: str) -> DataFrame:
     rows = models.importances(_boosted(spark, d)[2])
@@ -417,15 +455,15 @@ def importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(f"WITH {NAIVE_A_SQL} SELECT coalesce(group_name, 'overall') AS group_name, {ROUNDED_METRICS} FROM scored GROUP BY GROUPING SETS ((), (group_name))")
+@query(f"WITH {NAIVE_NAMED_SQL} SELECT coalesce(group_name, 'overall') AS group_name, {ROUNDED_METRICS} FROM scored GROUP BY GROUPING SETS ((), (group_name))")
 def metrics_overall_and_group(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.metrics_with_total(_naive_a(spark, d), "group_name"), "mae", "rmse", "wape")
+    return rounded(evaluate.metrics_with_total(_naive_named(spark, d), "group_name"), "mae", "rmse", "wape")
 
 
-@query(f"""WITH {NAIVE_A_SQL}, m AS (SELECT CASE WHEN group_name IS NULL THEN '' ELSE '_' || replace(group_name, ' ', '_') END AS g, {ROUNDED_METRICS} FROM scored GROUP BY GROUPING SETS ((), (group_name)))
+@query(f"""WITH {NAIVE_NAMED_SQL}, m AS (SELECT CASE WHEN group_name IS NULL THEN '' ELSE '_' || replace(group_name, ' ', '_') END AS g, {ROUNDED_METRICS} FROM scored GROUP BY GROUPING SETS ((), (group_name)))
   SELECT 'test_mae' || g AS metric, mae AS value FROM m UNION ALL SELECT 'test_rmse' || g, rmse FROM m UNION ALL SELECT 'test_wape' || g, wape FROM m""")
 def metrics_long(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.metrics_long(evaluate.metrics_with_total(_naive_a(spark, d), "group_name"), "test", "group_name"), "value")
+    return rounded(evaluate.metrics_long(evaluate.metrics_with_total(_naive_named(spark, d), "group_name"), "test", "group_name"), "value")
 
 
 @query(f"WITH {FORECAST_SQL} SELECT model, key, round(avg(CAST(y >= p10 AND y <= p90 AS DOUBLE)), 6) AS coverage FROM forecasts GROUP BY 1, 2")
@@ -458,19 +496,19 @@ def error_by_hour(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.by_hour(_forecasts(spark, d)), "wape")
 
 
-@query(f"""WITH {PANEL_B},{HISTORY_SQL},{HOLIDAY_SQL}, s AS (SELECT key, hour_ts, y, CAST(lag_168h AS DOUBLE) AS prediction,
+@query(f"""WITH {PANEL_A},{HISTORY_SQL},{HOLIDAY_SQL}, s AS (SELECT key, hour_ts, y, CAST(lag_168h AS DOUBLE) AS prediction,
     CASE WHEN CAST(hour_ts AS DATE) IN (SELECT date FROM holidays) THEN 'holiday' WHEN CAST(hour_ts AS DATE) - 7 IN (SELECT date FROM holidays) THEN 'week_after' ELSE 'other' END AS day_kind
     FROM history WHERE lag_168h IS NOT NULL) SELECT day_kind, round(sum(abs(prediction - y)) / nullif(sum(y), 0), 6) AS wape, count(*) AS n FROM s GROUP BY 1""")
 def holiday_effect(spark: SparkSession, d: str) -> DataFrame:
-    scored = models.seasonal_naive(features.with_history(_features_b(spark, d)))
+    scored = models.seasonal_naive(features.with_history(_features(spark, d)))
     return rounded(evaluate.metrics(evaluate.day_kinds(scored, _holidays(spark)), "day_kind").select("day_kind", "wape", "n"), "wape")
 
 
-@query(f"""WITH {NAIVE_A_SQL}, v AS (SELECT key, sum(y) AS volume FROM scored GROUP BY 1), k AS (SELECT key, row_number() OVER (ORDER BY volume DESC, key) AS rank FROM v),
+@query(f"""WITH {NAIVE_NAMED_SQL}, v AS (SELECT key, sum(y) AS volume FROM scored GROUP BY 1), k AS (SELECT key, row_number() OVER (ORDER BY volume DESC, key) AS rank FROM v),
   b AS (SELECT *, CASE WHEN rank <= 20 THEN '1-20' WHEN rank <= 60 THEN '21-60' WHEN rank <= 120 THEN '61-120' ELSE 'over 120' END AS bucket FROM scored JOIN k USING (key))
   SELECT 'naive' AS model, bucket, round(sum(abs(prediction - y)) / nullif(sum(y), 0), 6) AS wape, CAST(sum(y) AS BIGINT) AS volume, round(sum(y) / (SELECT sum(y) FROM scored), 6) AS share FROM b GROUP BY 2""")
 def rank_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.rank_buckets(_naive_a(spark, d).withColumn("model", F.lit("naive")), (20, 60, 120)), "wape", "share")
+    return rounded(evaluate.rank_buckets(_naive_named(spark, d).withColumn("model", F.lit("naive")), (20, 60, 120)), "wape", "share")
 
 
 @query(f"WITH {FORECAST_SQL} SELECT model, round(sum(prediction) / sum(y) - 1, 6) AS bias FROM forecasts GROUP BY 1")
@@ -504,15 +542,15 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------------- reports
 
 
-@query(f"WITH {NAIVE_A_SQL}, v AS (SELECT group_name, sum(y) AS volume FROM scored WHERE y > 0 GROUP BY 1), g AS (SELECT r_name AS group_name, CAST(coalesce(volume, 0) AS BIGINT) AS volume FROM region LEFT JOIN v ON r_name = group_name) SELECT group_name, volume, round(volume / sum(volume) OVER (), 6) AS share FROM g")
+@query(f"WITH {NAIVE_NAMED_SQL}, v AS (SELECT group_name, sum(y) AS volume FROM scored WHERE y > 0 GROUP BY 1), g AS (SELECT r_name AS group_name, CAST(coalesce(volume, 0) AS BIGINT) AS volume FROM region LEFT JOIN v ON r_name = group_name) SELECT group_name, volume, round(volume / sum(volume) OVER (), 6) AS share FROM g")
 def group_share(spark: SparkSession, d: str) -> DataFrame:
     groups = table(spark, d, "region").select(F.col("r_name").alias("group_name"))
-    return rounded(reports.group_share(_naive_a(spark, d).filter("y > 0"), groups), "share")
+    return rounded(reports.group_share(_naive_named(spark, d).filter("y > 0"), groups), "share")
 
 
-@query(f"WITH {NAIVE_A_SQL}, v AS (SELECT key, key_name, group_name, CAST(sum(y) AS BIGINT) AS total FROM scored GROUP BY 1, 2, 3) SELECT * FROM v ORDER BY total DESC, key LIMIT 15")
+@query(f"WITH {NAIVE_NAMED_SQL}, v AS (SELECT key, key_name, group_name, CAST(sum(y) AS BIGINT) AS total FROM scored GROUP BY 1, 2, 3) SELECT * FROM v ORDER BY total DESC, key LIMIT 15")
 def busiest(spark: SparkSession, d: str) -> DataFrame:
-    return reports.top(_naive_a(spark, d).groupBy("key", "key_name", "group_name").agg(F.sum("y").alias("total")), "total", 15)
+    return reports.top(_naive_named(spark, d).groupBy("key", "key_name", "group_name").agg(F.sum("y").alias("total")), "total", 15)
 
 
 @query(f"""WITH {FORECAST_SQL} SELECT model, key, hour_ts, CASE WHEN p10 IS NOT NULL THEN CASE WHEN y > p90 THEN 'Above' WHEN y < p10 THEN 'Below' ELSE 'In range' END
@@ -529,9 +567,9 @@ def nearest_hour(spark: SparkSession, d: str) -> DataFrame:
     return reports.nearest_hour(_hourly(spark, d).select("hour_ts"), wanted)
 
 
-@query(f"WITH {PANEL_B} SELECT key, hour_ts, y FROM panel WHERE hour_ts >= TIMESTAMP '2024-01-24' AND hour_ts < TIMESTAMP '2024-01-31'")
+@query(f"WITH {PANEL_A} SELECT key, hour_ts, y FROM panel WHERE hour_ts >= TIMESTAMP '2024-01-24' AND hour_ts < TIMESTAMP '2024-01-31'")
 def week_slice(spark: SparkSession, d: str) -> DataFrame:
-    return reports.week_around(_panel(spark, d, "event_type"), "2024-01-29 12:00:00")
+    return reports.week_around(_panel(spark, d), "2024-01-29 12:00:00")
 
 
 @query(f"WITH {FORECAST_SQL} SELECT model, key, hour_ts, y, round(round(prediction * 10) / 10, 1) AS prediction, round(ceil(p10 * 10) / 10, 1) AS p10, round(floor(p90 * 10) / 10, 1) AS p90 FROM forecasts")
@@ -540,20 +578,12 @@ def export_projection(spark: SparkSession, d: str) -> DataFrame:
     return sinks.compact(_forecasts(spark, d)).withColumns({c: F.round(F.col(c).cast("double"), 1) for c in ("prediction", "p10", "p90")} | {"y": F.col("y").cast("int")})
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-panel-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {FORECAST_SQL} SELECT model, count(*) AS n, round(sum(prediction), 4) AS total FROM forecasts GROUP BY 1")
 def replace_slice(spark: SparkSession, d: str) -> DataFrame:
-    path, f = _scratch(spark, "forecasts"), _forecasts(spark, d)
-    sinks.replace_slice(f.withColumn("prediction", F.lit(0.0)), path, "model")
+    path, f = sinks.shared_folder(spark), _forecasts(spark, d)
+    sinks.replace_slice(f.withColumn("prediction", F.lit(0.0)), path, "model", ("key",))
     for m in ("naive", "quantile", "naive"):
-        sinks.replace_slice(f.filter(F.col("model") == m), path, "model")
+        sinks.replace_slice(f.filter(F.col("model") == m), path, "model", ("key",))
     return spark.read.parquet(path).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("prediction"), 4).alias("total"))
 
 
@@ -587,14 +617,14 @@ def champion(spark: SparkSession, d: str) -> DataFrame:
     return rounded(runs.champion(_runs(spark, d), "naive", "test"), "wape")
 
 
-WINDOW_SQL = f"""{PANEL_B},{HOLIDAY_SQL}, win AS (
+WINDOW_SQL = f"""{PANEL_A},{HOLIDAY_SQL}, win AS (
   SELECT key, hour_ts, y FROM panel WHERE hour_ts >= TIMESTAMP '2024-01-29' UNION ALL SELECT DISTINCT key, TIMESTAMP '2024-01-31', NULL FROM panel)"""
 
 
 @query(f"""WITH {WINDOW_SQL} SELECT key, hour_ts, CAST(y AS DOUBLE) AS y, CAST(hour(hour_ts) AS INT) AS hour, CAST(isodow(hour_ts) - 1 AS INT) AS day_of_week, CAST(month(hour_ts) AS INT) AS month, CAST(isodow(hour_ts) >= 6 AS INT) AS is_weekend,
   CAST(CAST(hour_ts AS DATE) IN (SELECT date FROM holidays) AS INT) AS is_holiday FROM win""")
 def scoring_window(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.scoring_window(_features_b(spark, d), _holidays(spark), SPLITS.end, 48).withColumn("y", F.col("y").cast("double"))
+    return scoring.scoring_window(_features(spark, d), _holidays(spark), SPLITS.end, 48).withColumn("y", F.col("y").cast("double"))
 
 
 def mean_of_window(pdf):
@@ -606,6 +636,6 @@ def mean_of_window(pdf):
 
 @query(f"WITH {WINDOW_SQL} SELECT key, max(hour_ts) AS hour_ts, round(avg(y), 6) AS prediction, round(quantile_cont(CAST(y AS DOUBLE), 0.1), 6) AS p10, round(quantile_cont(CAST(y AS DOUBLE), 0.9), 6) AS p90, 'mean' AS model, '1' AS model_version, TIMESTAMP '2024-01-31' AS scored_at FROM win GROUP BY 1")
 def next_hour(spark: SparkSession, d: str) -> DataFrame:
-    window = scoring.scoring_window(_features_b(spark, d), _holidays(spark), SPLITS.end, 48)
-    out = scoring.score(window, mean_of_window, n_groups=8)
+    window = scoring.scoring_window(_features(spark, d), _holidays(spark), SPLITS.end, 48)
+    out = scoring.score(window, mean_of_window)
     return rounded(scoring.stamped(out, "mean", "1", datetime(2024, 1, 31)), "prediction", "p10", "p90")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +29,23 @@ def normalize(df: DataFrame, spec: Spec, lineage: dict[str, Column | object] | N
     return df.select(*[pick(n, t, c) for n, (t, c) in spec.items()], *extra)
 
 
+#: Files whose footers are asked for at a time.
+FOOTERS = 16
+
+
 def read_normalized(spark: SparkSession, paths: list[str], spec: Spec) -> DataFrame:
     """Parquet files whose schemas differ, as one plan: one scan for each distinct schema, then a union by name.
 
-    Only footers are read on the driver. `source_file` is each row's file.
+    Only footers are read before, by Spark's own small jobs, FOOTERS at a time.
+    `source_file` is each row's file.
     """
+    with ThreadPool(max(1, min(FOOTERS, len(paths)))) as pool:
+        schemas = pool.map(lambda path: spark.read.parquet(path).schema, paths)
     groups: dict[str, list[str]] = {}
-    for path in paths:
-        groups.setdefault(spark.read.parquet(path).schema.simpleString(), []).append(path)
+    for path, schema in zip(paths, schemas, strict=True):
+        groups.setdefault(schema.simpleString(), []).append(path)
     parts = [normalize(spark.read.parquet(*same), spec, {"source_file": F.col("_metadata.file_path")}) for same in groups.values()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_text_table(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -85,13 +91,25 @@ MOVING = ((1, 0, 3, "Martin Luther King Jr. Day"), (2, 0, 3, "Washington's Birth
 FIXED = ((1, 1, "New Year's Day"), (6, 19, "Juneteenth National Independence Day"), (7, 4, "Independence Day"), (11, 11, "Veterans Day"), (12, 25, "Christmas Day"))
 
 
-def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """(date, holiday_name) by rules, for callers without a table of their own."""
-    days = spark.range(1).select(F.explode(F.expr(f"sequence(date'{first_year}-01-01', date'{last_year}-12-31', INTERVAL 1 DAY)")).alias("date"))
-    name = F.lit(None).cast("string")
-    for m, d, n in FIXED:
-        name = F.when((F.month("date") == m) & (F.dayofmonth("date") == d), n).otherwise(name)
-    for m, w, nth, n in MOVING:
-        place = F.dayofmonth("date") > F.dayofmonth(F.last_day("date")) - 7 if nth < 0 else F.ceil(F.dayofmonth("date") / 7) == nth
-        name = F.when((F.month("date") == m) & (F.weekday("date") == w) & place, n).otherwise(name)
-    return days.withColumn("holiday_name", name).filter("holiday_name IS NOT NULL")
+def holidays(spark: SparkSession, first_year: int, last_year: int, observed: bool = False, extra: DataFrame | None = None) -> DataFrame:
+    """(date, holiday_name) by rules; with `observed`, the weekday on which a fixed day at a weekend is kept too.
+
+    A fixed day on a Saturday is kept on the Friday before, on a Sunday on the
+    Monday after. `extra` is a table of the caller's, such as state days; of
+    several names of a date the first in order stays.
+    """
+    days = spark.range(1).select(F.explode(F.expr(f"sequence(date'{first_year - 1}-12-01', date'{last_year + 1}-01-31', INTERVAL 1 DAY)")).alias("date"))
+    month, day, weekday = F.month("date"), F.dayofmonth("date"), F.weekday("date")
+    fixed = F.coalesce(*[F.when((month == m) & (day == d), F.lit(n)) for m, d, n in FIXED])
+    nth = F.ceil(day / 7)
+    last = day > F.dayofmonth(F.last_day("date")) - 7
+    moving = F.coalesce(*[F.when((month == m) & (weekday == w) & (last if k < 0 else nth == k), F.lit(n)) for m, w, k, n in MOVING])
+    found = days.select("date", F.coalesce(fixed, moving).alias("holiday_name"))
+    if observed:
+        shift = F.when(weekday == 5, -1).when(weekday == 6, 1)
+        moved = days.filter(shift.isNotNull()).select(F.date_add("date", shift).alias("date"), F.concat(fixed, F.lit(" (observed)")).alias("holiday_name"))
+        found = found.unionByName(moved)
+    if extra is not None:
+        found = found.unionByName(extra.select("date", "holiday_name"))
+    named = found.filter("holiday_name IS NOT NULL").filter((F.year("date") >= first_year) & (F.year("date") <= last_year))
+    return named.groupBy("date").agg(F.min("holiday_name").alias("holiday_name"))

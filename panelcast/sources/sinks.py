@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORECAST_COLUMNS = ("model", "key", "hour_ts", "y", "prediction", "p10", "p90")
+#: The shared forecast table; a column that a model does not give is null in the type named here.
+FORECAST_COLUMNS = {"model": "string", "key": "string", "hour_ts": "timestamp_ntz", "y": "int", "prediction": "double", "p10": "double", "p90": "double"}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -13,6 +17,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where driver and executors share spark.checkpoint.dir; where that is unset, on one machine only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spark-panel-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -22,12 +34,15 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def replace_slice(df: DataFrame, path: str, by: str) -> None:
+def replace_slice(df: DataFrame, path: str, by: str, within: tuple[str, ...] = ()) -> None:
     """Replace the partitions of `by` that df has rows for and leave the others: writing twice changes nothing.
 
-    df must not read from path: a slice is deleted before its rows are moved in.
+    Rows are dealt out by ranges of `by` and the columns `within`, so that a large
+    slice is written by several tasks. df must not read from path: a slice is
+    deleted before its rows are moved in.
     """
-    df.repartition(F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    dealt = df.repartitionByRange(by, *within) if within else df.repartition(F.col(by))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def delete_slice(spark: SparkSession, path: str, by: str, value: object) -> bool:
@@ -42,11 +57,9 @@ def drop_table(spark: SparkSession, path: str) -> bool:
 
 
 def forecast_rows(scored: DataFrame, model: str) -> DataFrame:
-    """The shared forecast schema; a model without a band has null p10 and p90."""
-    for c in ("p10", "p90"):
-        if c not in scored.columns:
-            scored = scored.withColumn(c, F.lit(None).cast("double"))
-    return scored.withColumn("model", F.lit(model)).select(*FORECAST_COLUMNS)
+    """Rows of the shared forecast table; a model without a band has null p10 and p90."""
+    given = {c: F.col(c) for c in scored.columns} | {"model": F.lit(model)}
+    return scored.select([given.get(name, F.lit(None).cast(kind)).alias(name) for name, kind in FORECAST_COLUMNS.items()])
 
 
 def compact(forecasts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ def test_entry_and_registry(spark, data_dir):
     out = entry_module.entry(spark)
     assert {"key", "wape"} <= set(out.columns) and out.count() > 0
     names, sql = entry_module.queries(), entry_module.oracle_sql()
-    assert set(sql) <= set(names) and len(names) >= 50
+    assert set(sql) <= set(names) and len(names) >= 70
 
 
 def test_queries_match_their_sql(spark, data_dir):
@@ -25,7 +25,7 @@ def test_queries_match_their_sql(spark, data_dir):
 
         return sorted(tuple(one(r[i]) for i in order) for r in rows)
 
-    for name in ("rule_audit", "clean", "dst_collapse", "forward_fill", "feature_table", "pruned_features", "grouped_quantile_forecast", "interval_status", "rank_buckets", "next_hour", "champion"):
+    for name in ("rule_audit", "clean", "dst_collapse", "forward_fill", "feature_table", "pruned_features", "grouped_quantile_forecast", "interval_status", "rank_buckets", "next_hour", "champion", "drifted_files", "clean_reports", "month_of", "holiday_orders", "append_and_overwrite", "delete_and_drop", "hourly_feed", "carried_window", "reconciled", "stored_results", "next_hour_job"):
         df = names[name](spark, data_dir)
         cur = con.execute(sql[name])
         cols = [d[0] for d in cur.description]

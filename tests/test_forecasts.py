@@ -196,3 +196,56 @@ def test_runs_and_champion(spark):
     assert [r.model for r in runs.leaderboard(table).collect()] == ["other", "naive"]
     assert tuple(runs.champion(table, "naive", "test").first()) == ("other", 0.2, True)
     assert tuple(runs.champion(table.filter("model = 'naive'").unionByName(runs.run_rows(board.filter("model = 'other'"), {"window": "dev"}, F.lit(hours(2)).cast("timestamp_ntz"))), "other", "test").first()) == ("naive", 0.3, True)
+
+
+def test_reconciliation_fails_on_a_difference_or_no_rows(spark):
+    a = scored(spark, [(1, 1.0, None, None), (2, 2.0, None, None)])
+    near, far = (a.withColumn("prediction", F.col("prediction") + d) for d in (0.009, 0.02))
+    assert evaluate.reconcile_or_fail(a, near).first().n == 2
+    with pytest.raises(Exception, match="predictions differ by"):
+        evaluate.reconcile_or_fail(a, far).collect()
+    with pytest.raises(Exception, match="no rows in common"):
+        evaluate.reconcile_or_fail(a, a.limit(0)).collect()
+
+
+def test_allowed_models_and_stored_results(spark, tmp_path):
+    rows = scored(spark, [(10, 12.0, 9.0, 13.0), (10, 8.0, 9.0, 9.5)])
+    assert evaluate.only_models(rows, ["m"]).count() == 2 and evaluate.only_models(rows, []).count() == 0
+    path = f"file://{tmp_path}/stored"
+    sinks.replace_slice(rows, path, "model", ("key",))
+    sinks.replace_slice(rows.withColumn("model", F.lit("plain")).withColumn("p10", F.lit(None).cast("double")), path, "model", ("key",))
+    keys = spark.createDataFrame([(1, "Old Town")], "key long, area string")
+    got = {m: {r.metric: r.value for r in evaluate.stored_results(spark, path, m, keys, "area").collect()} for m in ("m", "plain")}
+    assert got["m"]["test_wape_Old_Town"] == pytest.approx(0.2) and got["m"]["test_coverage_p10_p90"] == 0.5
+    assert "test_coverage_p10_p90" not in got["plain"]
+
+
+def test_the_hour_job_replaces_its_own_slice(spark, feats, tmp_path):
+    path, days = f"file://{tmp_path}/hours", ingest.holidays(spark, 2024, 2024)
+    for version in ("1", "2"):
+        assert scoring.score_next_hour(feats, days, mean_of_window, "mean", version, path, 24, START) == hours(24 * 24)
+    earlier = features.between(feats, START, hours(24 * 23))
+    assert scoring.score_next_hour(earlier, days, mean_of_window, "mean", "3", path, 24, START) == hours(24 * 23)
+    got = sorted((r.key, r.model_version) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "2"), (1, "3"), (3, "2"), (3, "3")]
+
+
+def test_a_key_without_the_last_hours_is_left_out_of_the_window(spark, feats):
+    late = feats.filter((F.col("key") == 1) | (F.col("hour_ts") < F.lit(hours(24 * 22)).cast("timestamp_ntz")))
+    window = scoring.scoring_window(late, ingest.holidays(spark, 2024, 2024), hours(24 * 24), 24)
+    assert [r.key for r in window.filter("y IS NULL").collect()] == [1]
+
+
+def test_poisson_takes_more_keys_than_a_solver_takes_columns(spark):
+    rows = spark.range(5000).selectExpr("id AS key", "explode(sequence(169, 180)) AS h")
+    rows = rows.selectExpr("key", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, h) AS hour_ts", "cast(key % 7 + h % 3 AS int) AS y")
+    feats = features.add_calendar(rows, ingest.holidays(spark, 2024, 2024)).withColumns({c: F.col("y").cast("double") for c in features.HISTORY})
+    model = models.fit_poisson(feats, max_iter=3)
+    out = models.predict_poisson(model, feats.filter("key < 10").unionByName(feats.filter("key = 1").withColumn("key", F.lit(-1).cast("long"))))
+    assert out.count() == 132 and out.filter("prediction <= 0 OR prediction IS NULL").isEmpty()
+
+
+def test_stored_rows_have_the_shared_columns(spark):
+    plain = scored(spark, [(1, 1.0, None, None)]).select("key", "hour_ts", "y", "prediction")
+    out = sinks.forecast_rows(plain, "n")
+    assert out.columns == list(sinks.FORECAST_COLUMNS) and out.first().p10 is None and out.first().model == "n"

@@ -106,3 +106,48 @@ def test_lenient_numbers(spark):
     rows = spark.createDataFrame([("81s",), ("T",), ("M",), ("*",), ("",), (None,), ("-1.50",), (" 3 ",), (".5",), ("1e",)], "x string")
     got = [(r.a, r.b) for r in rows.select(scalars.measure("x", 0.001).alias("a"), scalars.measure("x").alias("b")).collect()]
     assert got == [(81.0, 81.0), (0.001, None), (None, None), (None, None), (None, None), (None, None), (-1.5, -1.5), (3.0, 3.0), (None, None), (1.0, 1.0)]
+
+
+def test_bounds_say_whether_a_limit_is_valid(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(None,), (0.0,), (1.0,), (5.0,), (9.0,), (10.0,)], "v double")
+    hit = lambda **k: [r.b for r in df.select(quality.Bound("r", F.col("v"), **k).broken().alias("b")).collect()]
+    assert hit(low=0, high=10) == [True, False, False, False, False, False]
+    assert hit(low=0, high=10, brackets="()") == [True, True, False, False, False, True]
+    assert [bool(x) for x in hit(low=1, high=9, brackets="[)", required=False, banned=(5.0,))] == [False, True, False, True, True, True]
+
+
+def test_months_and_times_out_of_parts_and_texts(spark):
+    rows = spark.createDataFrame([(2024, 2, "2024-02-03T04:05:06"), (2024, 13, "x"), (None, 1, None)], "y int, m int, t string")
+    got = [tuple(r) for r in rows.select(scalars.month_of("y", "m"), scalars.timestamp_of("t")).collect()]
+    assert got == [(date(2024, 2, 1), datetime(2024, 2, 3, 4, 5, 6)), (None, None), (None, None)]
+
+
+def test_observed_holidays_and_a_table_of_the_callers(spark):
+    extra = spark.createDataFrame([(date(2021, 4, 19), "Patriots' Day"), (date(2021, 7, 4), "A later name")], "date date, holiday_name string")
+    days = {r.date: r.holiday_name for r in ingest.holidays(spark, 2021, 2022, observed=True, extra=extra).collect()}
+    assert days[date(2021, 7, 5)] == "Independence Day (observed)" and days[date(2021, 12, 24)] == "Christmas Day (observed)"
+    assert days[date(2021, 12, 31)] == "New Year's Day (observed)" and days[date(2021, 4, 19)] == "Patriots' Day"
+    assert days[date(2021, 7, 4)] == "A later name" and min(days).year == 2021 and max(days).year == 2022
+
+
+REPORTS = [
+    ("2024-01-10T00:51:00", "FM-15", "81s", "T", "60"),
+    ("2024-01-10T00:51:00", "FM-15", "81s", "T", "60"),
+    ("2024-07-10T00:51:00", " FM-15 ", "70", "0.10", "M"),
+    ("2024-07-10T00:40:00", "FM-16", "99", "9", "1"),
+    ("2024-11-03T00:51:00", "FM-15", "40", "0.2", "50"),
+    ("2024-11-02T23:51:00", "FM-15", "50", "0.4", "*"),
+    ("no time", "FM-15", "1", "1", "1"),
+    (None, "FM-15", "1", "1", "1"),
+]
+
+
+def test_raw_reports_become_hours(spark):
+    from panelcast.operators import observations
+
+    raw = spark.createDataFrame(REPORTS, "DATE string, REPORT_TYPE5 string, Temp string, Rain string, Damp string")
+    measures = {"temp": ("Temp", None), "rain": ("Rain", 0.001), "damp": ("Damp", None)}
+    got = {r.hour_ts: (r.temp, r.rain, r.damp) for r in observations.clean_reports(raw, "FM-15", measures, ["rain"]).collect()}
+    assert got == {datetime(2024, 1, 10, 1): (81.0, 0.001, 60.0), datetime(2024, 7, 10, 2): (70.0, 0.1, None), datetime(2024, 11, 3, 1): (45.0, 0.4, 50.0)}
