@@ -21,11 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less their repeated chunks, n_chars counted anew; a document of which nothing is left goes."""
-    out = dedup_lines(docs)
+    """Texts less their repeated chunks, n_chars (if there is one) counted anew; a document of which nothing is left goes.
+
+    Columns that bear the names of the counts of `dedup_lines` stay as they were.
+    """
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_removed", "n_removed_chunks") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(own))
     changed = F.col("n_removed") > 0
-    out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.filter(~(changed & (F.col("n_removed") == F.col("n_lines")))).select(*docs.columns)
+    out = out.filter(~(changed & (F.col("n_removed") == F.col("n_lines"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
