@@ -47,3 +47,12 @@ def test_every_stage_against_brute_force_on_its_own_input(spark, data_dir):
 
     final = corpus_pipeline.run(spark, data_dir)
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in final.collect()) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed.collect())
+
+
+def test_line_dedup_stage_keeps_other_columns_and_needs_no_counts(spark):
+    text = "\n".join(f"a line of its own {k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, 7), (2, "first\n" + text, 8), (3, text, 9), (4, None, 1), (5, "", 2)], "doc_id long, text string, n_lines int")
+    out = {r.doc_id: r for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    want = {k: t for k, t, n, gone, _ in lines([(r.doc_id, r.text) for r in docs.collect()]) if not (gone and gone == n)}
+    assert {k: r.text for k, r in out.items()} == want and len(out[2].text) < len(text)
+    assert all(out[r.doc_id].n_lines == r.n_lines for r in docs.collect() if r.doc_id in out)
