@@ -22,7 +22,9 @@ down to what a match of `length` bytes can touch:
    bytes; equal ones repeat.
 
 Texts that occur more than once as a whole are sorted once, and so are the
-contexts of an anchor whose gram is very frequent.
+contexts of an anchor whose gram is very frequent. Very many contexts that still
+share what lies beside their anchor are compared by their strings' digests, so no
+task holds all documents of a passage.
 """
 
 from __future__ import annotations
@@ -43,8 +45,11 @@ LENGTH = 200
 GRAM = 32
 #: Context bytes that a task sorts at once; a range has about four times as many.
 UNIT_BYTES = 4 << 20
+SLICE_STRINGS = 1 << 18
 #: Grams with more anchors than this are dealt out further, by what lies beside the anchor.
 HOT = 50_000
+#: Hot contexts that share a triple and what lies beside the anchor, if there are more of them than this, are told apart string by string.
+WIDE = 20_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -306,6 +311,45 @@ def _match(length: int, unit_bytes: int):
     return run
 
 
+def _strings(length: int):
+    """Every string of each context: 128 bits of its digest, its text and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "bytes", SLICE_STRINGS):
+            c1, c2, lo, starts = (np.asarray(batch.column(k)).astype(np.int64) for k in range(4))
+            digests = b"".join(hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for raw, n in zip(batch.column(4).to_pylist(), starts.tolist(), strict=True) for k in range(n))
+            s = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+            owner = np.repeat(np.arange(len(starts)), starts)
+            at = lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (s[:, 0], s[:, 1], c1[owner], c2[owner], at)], ["s1", "s2", "c1", "c2", "a"])
+
+    return run
+
+
+def _wide_spans(classes_of: DataFrame, wide: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """(contexts to sort, spans): contexts of which very many share a triple and a part are compared string by string.
+
+    Such are the edges of a passage that a large share of all documents has:
+    their outer bytes differ, so each document has contexts of its own. Strings
+    are counted by their digests, which combine before the shuffle.
+    """
+    group = ["k0", "k1", "k2", "part"]
+    sizes = materialize(classes_of.groupBy(*group).agg(F.count("*").alias("in_group")).filter(F.col("in_group") > wide), "wide-groups")
+    total = sizes.agg(F.sum("in_group")).first()[0] or 0
+    if not total:
+        return classes_of, classes_of.limit(0).select("c1", "c2", F.col("lo").alias("a"), F.col("lo").alias("b"))
+    same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in group]
+    named = sizes.select(*[F.col(c).alias(f"w_{c}") for c in group])
+    narrow = classes_of.join(named, same, "left_anti")
+    strings = join_spread(classes_of, sizes, group, "in_group", total, ["c1", "c2", "lo"]).select("c1", "c2", "lo", "starts", "bytes").mapInArrow(_strings(length), "s1 long, s2 long, c1 long, c2 long, a long")
+    strings = materialize(strings, "wide-strings")
+    place = F.struct("c1", "c2", "a")
+    again = materialize(strings.groupBy("s1", "s2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).filter("x <> y").select("s1", "s2", "n"), "wide-repeated")
+    n_again = again.agg(F.sum("n")).first()[0] or 0
+    found = join_spread(strings, again, ["s1", "s2"], "n", n_again, ["c1", "a"])
+    return narrow, found.select("c1", "c2", "a", (F.col("a") + length).alias("b"))
+
+
 def _cut(keep_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -327,7 +371,7 @@ def _cut(keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False, unit_bytes: int = UNIT_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False, unit_bytes: int = UNIT_BYTES, hot: int = HOT, wide: int = WIDE) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes the `kept` bytes.
 
     Every byte goes that a string of `length` bytes covers which also starts
@@ -361,7 +405,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         first = F.min(F.struct(*_KEY, "lo", "starts"))
         whole = [*_TRIPLE, "anchor", "bytes"]
         classes_of = materialize(busy.groupBy(*whole).agg(first.alias("f"), (F.min(spot) != F.max(spot)).alias("twice"), F.count("*").alias("n")), "hot-contexts")
-        sort = contexts.filter("NOT hot").unionByName(classes_of.select(*_TRIPLE, "f.c1", "f.c2", "f.lo", "f.starts", "anchor", F.lit(True).alias("hot"), "bytes"))
+        narrow, wide_spans = _wide_spans(classes_of.select(*_TRIPLE, "f.c1", "f.c2", "f.lo", "f.starts", "anchor", F.lit(True).alias("hot"), "bytes"), wide, length)
+        sort = contexts.filter("NOT hot").unionByName(narrow)
         twice = classes_of.filter("twice").select("part", "anchor", "bytes", "n")
         n_twice = twice.agg(F.sum("n")).first()[0] or 0
         dealt = join_spread(busy, twice, ["part", "anchor", "bytes"], "n", n_twice, [*_KEY, "lo"])
@@ -369,7 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     ranges = sort.drop("hot").repartitionByRange(n_ranges, *_TRIPLE).sortWithinPartitions(*_TRIPLE)
     spans = ranges.mapInArrow(_match(length, unit_bytes), "c1 long, c2 long, a long, b long")
     if some_hot:
-        spans = spans.unionByName(whole_contexts)
+        spans = spans.unionByName(whole_contexts).unionByName(wide_spans)
     spans = spans.groupBy(*_KEY).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     done = live.select(*_KEY, "text").join(spans, list(_KEY)).mapInArrow(_cut(keep_bytes), "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(list(_KEY))
     facts = classes.join(done, list(_KEY), "left").select(*_KEY, "copies", F.col("n_removed").alias("r"), F.col("n_spans").alias("s"), F.col("kept_sha256").alias("k"), F.col("kept").alias("kb"))

@@ -44,11 +44,11 @@ def corpus(seed):
     return list(enumerate(docs)) + [(3, docs[3]), (None, "null id " * 20)]
 
 
-@pytest.mark.parametrize(("seed", "length", "gram", "unit", "hot"), [(1, 40, 8, 8 << 20, 1 << 20), (2, 40, 8, 900, 2), (3, 33, 5, 2000, 4), (4, 64, 16, 8 << 20, 1)])
-def test_matches_brute_force(spark, seed, length, gram, unit, hot):
+@pytest.mark.parametrize(("seed", "length", "gram", "unit", "hot", "wide"), [(1, 40, 8, 8 << 20, 1 << 20, 1 << 20), (2, 40, 8, 900, 2, 1 << 20), (3, 33, 5, 2000, 4, 1), (4, 64, 16, 8 << 20, 1, 2), (5, 40, 8, 900, 1, 0)])
+def test_matches_brute_force(spark, seed, length, gram, unit, hot, wide):
     docs = corpus(seed)
     table = spark.createDataFrame([(k, t, 1, "h") for k, t in docs], "doc_id long, text string, n_bytes int, h string").repartition(3)
-    rows = suffixes.remove_repeats(table, length, gram, keep_bytes=True, unit_bytes=unit, hot=hot).collect()
+    rows = suffixes.remove_repeats(table, length, gram, keep_bytes=True, unit_bytes=unit, hot=hot, wide=wide).collect()
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in rows), key=str)
     assert got == brute(docs, length)
     assert any(0 < r[2] < r[1] for r in got)
@@ -69,3 +69,13 @@ def test_ranks():
 
 def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_triples_are_in_the_order_of_the_bytes_that_strings_share():
+    rng = np.random.default_rng(2)
+    buf = np.concatenate([rng.integers(0, 256, 3000).astype(np.uint8), np.zeros(24, np.uint8)])
+    places = np.arange(2900)
+    for gram in (5, 16, 32):
+        keys = np.column_stack(suffixes._triple(buf, places, gram))
+        want = sorted(places.tolist(), key=lambda p: (bytes(buf[p : p + min(gram, 24)]), p))
+        assert np.lexsort((places, *keys.T[::-1])).tolist() == want
