@@ -164,7 +164,7 @@ def reconciled(spark: SparkSession, d: str) -> DataFrame:
     """A model's stored forecasts against the same forecasts made anew by the pluggable backtest."""
     path = sinks.shared_folder(spark)
     sinks.replace_slice(sinks.forecast_rows(q._quantile(spark, d), "quantile"), path, "model", ("key",))
-    again = models.rolling_backtest(q._panel(spark, d), q.trailing_quantiles, *SPLITS.bounds("test"), context=168, chunk_hours=48)
+    again = models.rolling_backtest(q._panel(spark, d), q.trailing_quantiles, *SPLITS.bounds("test"), context=168)
     return rounded(evaluate.reconcile_or_fail(spark.read.parquet(path), again), "max_diff")
 
 

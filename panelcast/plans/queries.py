@@ -375,7 +375,7 @@ def trailing_quantiles(pdf):
 
 @query(f"WITH {FORECAST_SQL} SELECT key, hour_ts, y, {r('p10')}, {r('prediction')}, {r('p90')} FROM forecasts WHERE model = 'quantile'")
 def pluggable_backtest(spark: SparkSession, d: str) -> DataFrame:
-    out = models.rolling_backtest(_panel(spark, d), trailing_quantiles, *SPLITS.bounds("test"), context=168, chunk_hours=48)
+    out = models.rolling_backtest(_panel(spark, d), trailing_quantiles, *SPLITS.bounds("test"), context=168)
     return rounded(out, "p10", "prediction", "p90")
 
 
