@@ -35,6 +35,8 @@ BLOCK_BYTES = 16 << 20
 SLICE = 1 << 19
 #: Text bytes of the corpus for each unit of keys.
 UNIT_BYTES = 8 << 20
+#: Blocks and units are not made smaller than this to keep all cores busy.
+LEAST_BYTES = 2 << 20
 #: Distinct keys after which a counting task hands its counts on; count rows that are packed together.
 FLUSH_KEYS = 1_500_000
 PACK_ROWS = 500_000
@@ -412,7 +414,9 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = ORDER, block_byte
         raise ValueError("order must be from 2 to 6: a context and a symbol share one long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = table_bytes(rows)
-    n_blocks, n_units = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(size / unit_bytes))
+    # a small corpus has as many blocks as there are cores, a large one as its size asks for
+    cores = min(docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES)
+    n_blocks, n_units = (max(1, cores, math.ceil(size / each)) for each in (block_bytes, unit_bytes))
     learned = rows.filter(~F.col("held_out")).select("text").mapInArrow(_count(order, FLUSH_KEYS), "key long, n long")
     counts = materialize(learned.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     # the orders up to SHARED: a table of bounded size

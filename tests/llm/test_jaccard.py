@@ -73,6 +73,13 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 1 for k in range(1, 61)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_large_star_and_many_pairs(spark):
+    edges = [(k, 5) for k in range(100, 3100)] + [(5, 2)] + [(10_000 + 2 * k, 10_001 + 2 * k) for k in range(2000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {k: 2 for k in (2, 5, *range(100, 3100))} | {10_000 + k: 10_000 + k - k % 2 for k in range(4000)}
+    assert got == want
+
+
 def test_bands_reach_the_target_recall():
     b, r = bands_and_rows(0.8, 1e-5)
     assert (1 - 0.8**r) ** b <= 1e-5
