@@ -16,6 +16,7 @@ from panelcast.llm.lines import dedup_lines
 from panelcast.llm.packing import best_fit_packing
 from panelcast.llm.ppm import crc_fold, ppm_scores
 from panelcast.llm.suffixes import remove_repeats
+from panelcast.llm.windows import dedup_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,6 +152,22 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_windows(load(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS later
+  FROM doc, unnest(range(1, greatest(len(w) - 18, 1))) AS t(i)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM win WHERE later) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(gone, p))), lambda p: w[p]) END, ' '), '')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -162,6 +179,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op13_substring_dedup": OP13_SQL}
