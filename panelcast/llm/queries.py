@@ -13,8 +13,10 @@ from panelcast.llm.decontaminate import contamination
 from panelcast.llm.fingerprints import fingerprints
 from panelcast.llm.jaccard import jaccard_join
 from panelcast.llm.lines import dedup_lines
+from panelcast.llm.negatives import hard_negatives
 from panelcast.llm.packing import best_fit_packing
 from panelcast.llm.ppm import crc_fold, ppm_scores
+from panelcast.llm.prefix_trie import conversation_trie
 from panelcast.llm.suffixes import remove_repeats
 from panelcast.llm.windows import dedup_windows
 
@@ -152,6 +154,60 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(load(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END), 4294967295) % 9 AS h
+  FROM t GROUP BY conv_id),
+c AS (SELECT crc.*, least(crc.h, coalesce(b.n, 0)) AS m FROM crc LEFT JOIN crc b ON b.conv_id = crc.base),
+r AS (
+  SELECT c.conv_id, pos AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT conv_id, m + pos - h, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+seq AS (SELECT c.conv_id, coalesce(list(length(role) || ':' || role || length(text) || ':' || text ORDER BY depth) FILTER (WHERE depth IS NOT NULL), []) AS l FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+p AS (
+  SELECT x.conv_id, d AS depth, sha256(array_to_string(l[:d], '|')) AS k, sha256(array_to_string(l[:d - 1], '|')) AS pk, d = len(l) AS ends, coalesce(octet_length(encode(text)), 0) AS bytes
+  FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM seq) x LEFT JOIN r ON r.conv_id = x.conv_id AND r.depth = d),
+n AS (
+  SELECT depth, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) * (count(*) - 1) AS saved, bool_and(ends) AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM p GROUP BY 1, 2),
+named AS (SELECT p.conv_id, depth, n.conv_id AS node FROM p JOIN n USING (depth, k)),
+pairs AS (SELECT DISTINCT a.node, a.depth, b.node AS low, b.depth AS low_depth FROM named a JOIN named b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT node, pairs.depth, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved FROM pairs JOIN n ON n.conv_id = low AND n.depth = low_depth GROUP BY 1, 2),
+kids AS (SELECT pk, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, CASE WHEN n.depth > 0 THEN up.conv_id END AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN sums ON n.conv_id = node AND n.depth = sums.depth LEFT JOIN n up ON up.depth = n.depth - 1 AND up.k = n.pk LEFT JOIN kids ON kids.pk = n.k AND kids.depth = n.depth
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP12_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 5
+"""
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(load(spark, sf_dir, "documents"))
 
@@ -179,7 +235,9 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op13_substring_dedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op11_conversation_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_substring_dedup": OP13_SQL}
