@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.config import QUANTILES
-from panelcast.functions.scalars import compressed, cyclical, hour_of_week, repaired_quantiles
-from panelcast.operators.features import HISTORY, between, key_scales
+from panelcast.functions.scalars import compressed, cyclical, repaired_quantiles
+from panelcast.operators.features import HISTORY, between
+from panelcast.operators.poisson import PoissonModel, fit_poisson, predict_poisson  # noqa: F401  (one place for all models)
 
 Forecaster = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -76,44 +76,6 @@ def contexts(panel: DataFrame, start: datetime, end: datetime, context: int) ->
     return out.withColumn("context", F.when(F.size("context") == context, F.col("context")).otherwise(F.raise_error(F.lit("history is too short")).cast("array<int>")))
 
 
-@dataclass
-class PoissonModel:
-    """A fitted pipeline, the level of each key that it was fitted with, and its further inputs."""
-
-    pipeline: PipelineModel
-    levels: DataFrame
-    extra: tuple[str, ...]
-
-
-def glm_inputs(features: DataFrame, levels: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Hour of week, numeric inputs with history as log1p, and the key's level as an offset; unknown keys have the mean level."""
-    numeric = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("is_holiday", *extra)}
-    new = {"hour_of_week": hour_of_week(), **{f"log_{c}": F.log1p(F.col(c).cast("double")) for c in HISTORY}} | numeric
-    overall = levels.agg(F.log(F.avg("scale")).alias("__overall"))  # one row
-    known = levels.select("key", F.log("scale").alias("__level"))
-    return features.withColumns(new).join(known, "key", "left").crossJoin(F.broadcast(overall)).withColumn("level", F.coalesce("__level", "__overall", F.lit(0.0))).drop("__level", "__overall")
-
-
-def fit_poisson(train: DataFrame, extra: tuple[str, ...] = (), max_iter: int = 25, ridge: float = 1e-4) -> PoissonModel:
-    """Poisson regression with a log link.
-
-    A key's mean is its offset, so the model is as wide as the hours of a week and
-    its numeric inputs, however many keys there are.
-    """
-    levels = key_scales(train)
-    stages = [
-        OneHotEncoder(inputCols=["hour_of_week"], outputCols=["how_vec"], handleInvalid="keep"),
-        VectorAssembler(inputCols=["how_vec", "is_holiday", *extra, *[f"log_{c}" for c in HISTORY]], outputCol="x"),
-        GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", featuresCol="x", offsetCol="level", maxIter=max_iter, regParam=ridge),
-    ]
-    return PoissonModel(Pipeline(stages=stages).fit(glm_inputs(train, levels, tuple(extra))), levels, tuple(extra))
-
-
-def predict_poisson(model: PoissonModel, features: DataFrame) -> DataFrame:
-    out = model.pipeline.transform(glm_inputs(features, model.levels, model.extra))
-    return out.drop("level", "how_vec", "x", *[f"log_{c}" for c in HISTORY])
-
-
 BOOST_INPUTS = {
     "past": [f"scaled_{c}" for c in HISTORY],
     "future": ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "is_weekend", "is_holiday"],

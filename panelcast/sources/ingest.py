@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from datetime import date
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import PySparkTypeError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import DecimalType, IntegerType, LongType, ShortType, StructField, StructType, TimestampType
 
 Spec = dict[str, tuple[str, tuple[str, ...]]]
 
@@ -29,22 +38,101 @@ def normalize(df: DataFrame, spec: Spec, lineage: dict[str, Column | object] | N
     return df.select(*[pick(n, t, c) for n, (t, c) in spec.items()], *extra)
 
 
-#: Files whose footers are asked for at a time.
-FOOTERS = 16
+#: Files that the driver lists by itself for a scan; for more, Spark runs a listing job for each distinct schema.
+LISTED = 4096
+#: Paths at a time whose schemas Spark's own reader is asked for, where workers cannot open the store.
+ASKED = 16
+
+
+def file_schemas(spark: SparkSession, paths: list[str]) -> list[tuple[StructType, list[str]]]:
+    """(schema, files) of Parquet files and folders of them, one entry for each distinct schema; files that lie in stores that workers cannot open are asked for by path.
+
+    Workers list the folders and read the footers, one job for all of them; each
+    task tells a schema once, with its files. Columns of types that Spark has
+    not are left out.
+    """
+    if not paths:
+        raise ValueError("no paths")
+    found = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string").mapInArrow(_footers, "schema string, files array<string>").collect()
+    groups: dict[str, list[str]] = {}
+    for row in found:
+        groups.setdefault(row["schema"], []).extend(row["files"])
+    closed = sorted(groups.pop("", []))
+    out = [(StructType.fromJson(json.loads(k)), sorted(v)) for k, v in sorted(groups.items())]
+    if closed:
+        with ThreadPool(min(ASKED, len(closed))) as pool:
+            schemas = pool.map(lambda path: spark.read.parquet(path).schema, closed)
+        same: dict[str, list[str]] = {}
+        for path, schema in zip(closed, schemas, strict=True):
+            same.setdefault(schema.json(), []).append(path)
+        out += [(StructType.fromJson(json.loads(k)), v) for k, v in sorted(same.items())]
+    if not out:
+        raise ValueError(f"no Parquet files in {paths[0]}" + " ..." * (len(paths) > 1))
+    return out
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct schemas of the files of some paths; "" where the path's file system is not known here."""
+    groups: dict[str, list[str]] = {}
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            try:
+                store, inner = fs.FileSystem.from_uri(path)
+            except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+                groups.setdefault("", []).append(path)
+                continue
+            path = path.rstrip("/")
+            before = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+            for file in _data_files(store, inner):
+                with store.open_input_file(file) as f:
+                    groups.setdefault(_spark_schema(pq.ParquetFile(f)).json(), []).append(f"{before}{file}")
+    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(groups.values(), pa.list_(pa.string()))], ["schema", "files"])
+
+
+def _data_files(store: fs.FileSystem, path: str) -> list[str]:
+    info = store.get_file_info(path)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        return [path]
+    hidden = re.compile(r"(^|/)[_.]")
+    inside = store.get_file_info(fs.FileSelector(path, recursive=True))
+    return sorted(x.path for x in inside if x.type == fs.FileType.File and not hidden.search(x.path[len(path) :].lstrip("/")))
+
+
+#: Spark's types of unsigned numbers.
+UNSIGNED = {pa.uint8(): ShortType(), pa.uint16(): IntegerType(), pa.uint32(): LongType(), pa.uint64(): DecimalType(20, 0)}
+
+
+def _spark_schema(file: pq.ParquetFile) -> StructType:
+    """The schema that Spark reads a file with. Old 96-bit times have a time zone, times without one have none."""
+    old = {file.schema.column(i).path for i in range(len(file.schema)) if file.schema.column(i).physical_type == "INT96"}
+    out = []
+    for field in file.schema_arrow:
+        kind = field.type.value_type if pa.types.is_dictionary(field.type) else field.type
+        try:
+            known = TimestampType() if field.name in old else UNSIGNED.get(kind) or from_arrow_type(kind, prefer_timestamp_ntz=True)
+        except PySparkTypeError:
+            continue
+        out.append(StructField(field.name, known))
+    return StructType(out)
 
 
 def read_normalized(spark: SparkSession, paths: list[str], spec: Spec) -> DataFrame:
     """Parquet files whose schemas differ, as one plan: one scan for each distinct schema, then a union by name.
 
-    Only footers are read before, by Spark's own small jobs, FOOTERS at a time.
-    `source_file` is each row's file.
+    Schemas are read by workers before (`file_schemas`); the driver gets distinct
+    ones alone, so the number of jobs does not grow with the files. `source_file`
+    is each row's file.
     """
-    with ThreadPool(max(1, min(FOOTERS, len(paths)))) as pool:
-        schemas = pool.map(lambda path: spark.read.parquet(path).schema, paths)
-    groups: dict[str, list[str]] = {}
-    for path, schema in zip(paths, schemas, strict=True):
-        groups.setdefault(schema.simpleString(), []).append(path)
-    parts = [normalize(spark.read.parquet(*same), spec, {"source_file": F.col("_metadata.file_path")}) for same in groups.values()]
+    schemas = file_schemas(spark, paths)
+    option = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before = spark.conf.get(option, None)
+    try:
+        spark.conf.set(option, str(max(LISTED, int(before or 0))))
+        parts = [normalize(spark.read.schema(schema).parquet(*files), spec, {"source_file": F.col("_metadata.file_path")}) for schema, files in schemas]
+    finally:
+        spark.conf.unset(option) if before is None else spark.conf.set(option, before)
     return reduce(DataFrame.unionByName, parts)
 
 
