@@ -1,4 +1,4 @@
-"""Forecasters: seasonal naive, empirical quantiles, a pluggable grouped backtest, Poisson GLM, a global boosted model with calibrated bands."""
+"""Forecasters: seasonal naive, empirical quantiles, a pluggable grouped backtest. The Poisson and the boosted model have modules of their own."""
 
 from __future__ import annotations
 
@@ -6,15 +6,11 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.config import QUANTILES
-from panelcast.functions.scalars import compressed, cyclical, repaired_quantiles
-from panelcast.operators.features import HISTORY, between
+from panelcast.operators.features import between
 from panelcast.operators.poisson import PoissonModel, fit_poisson, predict_poisson  # noqa: F401  (one place for all models)
 
 Forecaster = Callable[[pd.DataFrame], pd.DataFrame]
@@ -74,41 +70,3 @@ def contexts(panel: DataFrame, start: datetime, end: datetime, context: int) ->
     rows = between(panel.select("key", "hour_ts", "y"), start - timedelta(hours=context), end)
     out = between(rows.withColumn("context", F.collect_list("y").over(w)), start, end)
     return out.withColumn("context", F.when(F.size("context") == context, F.col("context")).otherwise(F.raise_error(F.lit("history is too short")).cast("array<int>")))
-
-
-BOOST_INPUTS = {
-    "past": [f"scaled_{c}" for c in HISTORY],
-    "future": ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "is_weekend", "is_holiday"],
-    "static": ["log_scale"],
-}
-
-
-def boost_inputs(features: DataFrame, scales: DataFrame) -> DataFrame:
-    """History in units of the key's own scale, cyclical calendar, the scale itself."""
-    out = features.join(scales, "key")
-    new = {f"scaled_{c}": F.col(c) / F.col("scale") for c in HISTORY} | cyclical("hour", 24, "hour") | cyclical("day_of_week", 7, "day_of_week")
-    return out.withColumns(new | {"log_scale": compressed("scale"), "target": F.col("y") / F.col("scale")}).withColumns({c: F.col(c).cast("double") for c in ("is_weekend", "is_holiday")})
-
-
-def fit_boosted(train: DataFrame, scales: DataFrame, trees: int = 20, depth: int = 4, seed: int = 7) -> PipelineModel:
-    inputs = [c for g in BOOST_INPUTS.values() for c in g]
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="x"), GBTRegressor(featuresCol="x", labelCol="target", predictionCol="raw", maxIter=trees, maxDepth=depth, seed=seed)]).fit(boost_inputs(train, scales))
-
-
-def residual_bands(model: PipelineModel, validation: DataFrame, scales: DataFrame, quantiles: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
-    """Per key, quantiles of actual less predicted (scaled) on rows that training has not seen."""
-    r = model.transform(boost_inputs(validation, scales)).select("key", (F.col("target") - F.col("raw")).alias("r"))
-    return r.groupBy("key").agg(*[F.percentile("r", q).alias(n) for n, q in zip(("lo", "hi"), quantiles)])
-
-
-def predict_boosted(model: PipelineModel, features: DataFrame, scales: DataFrame, bands: DataFrame) -> DataFrame:
-    """Median with a band: rescaled, in order, not below zero."""
-    raw = model.transform(boost_inputs(features, scales)).join(bands, "key")
-    q = repaired_quantiles(F.col("raw") + F.col("lo"), F.col("raw"), F.col("raw") + F.col("hi"), scale=F.col("scale"))
-    return raw.withColumn("q", q).select("key", "hour_ts", "y", F.get("q", 0).alias("p10"), F.get("q", 1).alias("prediction"), F.get("q", 2).alias("p90"))
-
-
-def importances(model: PipelineModel) -> list[tuple[str, str, float]]:
-    """(group, input, importance) of a boosted model; one row an input."""
-    names = [(g, c) for g, cols in BOOST_INPUTS.items() for c in cols]
-    return [(g, c, float(v)) for (g, c), v in zip(names, model.stages[-1].featureImportances.toArray(), strict=True)]

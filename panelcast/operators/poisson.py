@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import hour_of_week
 from panelcast.operators.features import HISTORY
+from panelcast.operators.sums import array_sum
 from panelcast.sources.sinks import shared_folder
 
 HOURS = 168
-#: Panel rows of a run of keys; tasks beyond which what they add up is added up once more before the driver.
+#: Panel rows of a run of keys.
 RUN_ROWS = 32_768
-TASKS = 64
 #: Weight of an hour of the week in which nothing was ever counted; its best one is minus infinity.
 NEVER = -30.0
 
@@ -143,34 +143,6 @@ class Run:
         return out - by_key[some].T @ (by_key[some] / self.seen[some][:, None])
 
 
-_SUMS = "sums binary"
-
-
-def _sums(weights: np.ndarray):
-    """One row a task: likelihood, score and information of its runs."""
-    p = len(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 + p + p * p)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = Run(batch, i, weights)
-                total += np.concatenate([[r.likelihood()], r.score(), r.information().ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    return run
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: np.ndarray | None = None
-    for batch in batches:
-        for x in batch.column(0):
-            part = np.frombuffer(x.as_py())
-            total = part.copy() if total is None else total + part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-
 def _levels(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,10 +193,11 @@ def _newton(runs: DataFrame, weights: np.ndarray, max_iter: int, tolerance: floa
     p, free = len(weights), weights != NEVER
 
     def at(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        parts = runs.mapInArrow(_sums(weights), _SUMS)
-        if runs.rdd.getNumPartitions() > TASKS:
-            parts = parts.repartition(TASKS).mapInArrow(_add, _SUMS)
-        total = sum((np.frombuffer(r["sums"]) for r in parts.collect()), np.zeros(1 + p + p * p))
+        def of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+            r = Run(batch, i, weights)
+            return np.concatenate([[r.likelihood()], r.score(), r.information().ravel()])
+
+        total = array_sum(runs, 1 + p + p * p, of)
         return float(total[0]), total[1 : 1 + p] * free, total[1 + p :].reshape(p, p) * np.outer(free, free)
 
     value, score, information = at(weights)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.config import LAGS, QUANTILES
 from panelcast.functions import scalars
-from panelcast.operators import evaluate, features, models, observations, panel, quality, reports, runs, scoring
+from panelcast.operators import boosting, evaluate, features, models, observations, panel, quality, reports, runs, scoring
 from panelcast.sources import adapters, ingest, sinks
 from panelcast.sources.adapters import CATEGORIES, EVENT_SPEC, SPLITS, table
 
@@ -417,15 +418,47 @@ def poisson_glm_checks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+GLM_TRAIN_SQL = f"""{PANEL_A},{HISTORY_SQL},{HOLIDAY_SQL}, train AS (
+  SELECT *, CAST(CAST(hour_ts AS DATE) IN (SELECT date FROM holidays) AS INT) AS is_holiday FROM history WHERE lag_168h IS NOT NULL AND hour_ts < TIMESTAMP '2024-01-20')"""
+
+
+def _glm_train(spark: SparkSession, d: str) -> DataFrame:
+    feats = _split(_written(features.with_history(_features(spark, d))), "train")
+    return models.predict_poisson(models.fit_poisson(feats), feats)
+
+
+@query(f"WITH {GLM_TRAIN_SQL} SELECT key, CAST(sum(y) AS BIGINT) AS total, round(CAST(sum(y) AS DOUBLE), 5) AS predicted FROM train GROUP BY 1")
+def poisson_key_totals(spark: SparkSession, d: str) -> DataFrame:
+    """On the training rows the joint fit's forecasts of each key add up to what was counted."""
+    return _glm_train(spark, d).groupBy("key").agg(F.sum("y").alias("total"), F.round(F.sum("prediction"), 5).alias("predicted"))
+
+
+@query(
+    f"WITH {GLM_TRAIN_SQL}, sums AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS input, sum(y * ln(1 + CAST({c} AS DOUBLE))) AS s FROM train" for c in features.HISTORY)
+    + " UNION ALL SELECT 'is_holiday', sum(CAST(y * is_holiday AS DOUBLE)) FROM train"
+    + " UNION ALL SELECT 'hour_of_week ' || ((isodow(hour_ts) - 1) * 24 + hour(hour_ts)), CAST(sum(y) AS DOUBLE) FROM train GROUP BY 1) SELECT input, round(s, 3) AS counted, round(s, 3) AS predicted FROM sums"
+)
+def poisson_score_equations(spark: SparkSession, d: str) -> DataFrame:
+    """At the maximum of the likelihood the sums of each input over counts and over forecasts are the same, and so are those of each hour of the week."""
+    scored = _written(_glm_train(spark, d))
+    both = lambda x: (F.round(F.sum(F.col("y") * x), 3).alias("counted"), F.round(F.sum(F.col("prediction") * x), 3).alias("predicted"))
+    parts = [scored.agg(*both(F.log1p(F.col(c).cast("double")))).select(F.lit(c).alias("input"), "counted", "predicted") for c in features.HISTORY]
+    parts.append(scored.agg(*both(F.col("is_holiday").cast("double"))).select(F.lit("is_holiday").alias("input"), "counted", "predicted"))
+    parts.append(scored.groupBy(F.concat(F.lit("hour_of_week "), scalars.hour_of_week().cast("string")).alias("input")).agg(*both(F.lit(1.0))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _boosted(spark: SparkSession, d: str):
+    """Features, scales of the training rows, and the boosted model with bands calibrated on validation rows."""
     feats = _written(features.with_history(_features(spark, d)))
     scales = _written(features.key_scales(_split(feats, "train")))
-    return feats, scales, models.fit_boosted(_split(feats, "train"), scales)
+    return feats, scales, boosting.calibrate(boosting.fit_quantiles(_split(feats, "train"), scales), _split(feats, "validation"), scales)
 
 
 def _boosted_scored(spark: SparkSession, d: str) -> DataFrame:
     feats, scales, model = _boosted(spark, d)
-    return models.predict_boosted(model, _split(feats, "test"), scales, models.residual_bands(model, _split(feats, "validation"), scales))
+    return boosting.predict_quantiles(model, boosting.boost_inputs(_split(feats, "test"), scales))
 
 
 @query()
@@ -445,9 +478,21 @@ def global_quantile_checks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"WITH {PANEL_A} SELECT q.quantile, count(*) AS n_rows, CAST(0 AS DOUBLE) AS max_diff FROM panel, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) q(quantile) WHERE hour_ts >= TIMESTAMP '2024-01-25' GROUP BY 1")
+def quantile_trees(spark: SparkSession, d: str) -> DataFrame:
+    """The boosted model exported as a table of nodes, and its test forecasts computed by joins with that table, held against the model's own."""
+    feats, scales, model = _boosted(spark, d)
+    path = sinks.shared_folder(spark)
+    sinks.overwrite(boosting.trees_table(spark, model), path)
+    rows = boosting.boost_inputs(_split(feats, "test"), scales)
+    own = rows.select("key", "hour_ts", F.posexplode(boosting.raw_quantiles(model)).alias("k", "own")).withColumn("quantile", F.element_at(F.array(*[F.lit(q) for q in model.quantiles]), F.col("k") + 1))
+    both = boosting.scored_by_table(spark.read.parquet(path), rows, 4).join(own, ["key", "hour_ts", "quantile"])
+    return both.groupBy("quantile").agg(F.count("*").alias("n_rows"), F.round(F.max(F.abs(F.col("raw") - F.col("own"))), DIGITS).alias("max_diff"))
+
+
 @query()
 def importance(spark: SparkSession, d: str) -> DataFrame:
-    rows = models.importances(_boosted(spark, d)[2])
+    rows = boosting.gains(_boosted(spark, d)[2])
     return spark.createDataFrame(rows, "group string, input string, importance double")
 
 

@@ -119,17 +119,6 @@ def test_poisson_fits_a_daily_pattern(feats):
     assert evaluate.metrics(out).first().wape < 0.05 and out.agg(F.min("prediction")).first()[0] > 0
 
 
-def test_boosted_band_is_ordered_and_better_than_nothing(feats):
-    lo, mid, hi = hours(24 * 16), hours(24 * 20), hours(24 * 24)
-    scales = features.key_scales(features.between(feats, START, lo))
-    model = models.fit_boosted(features.between(feats, START, lo), scales, trees=8, depth=3)
-    out = models.predict_boosted(model, features.between(feats, mid, hi), scales, models.residual_bands(model, features.between(feats, lo, mid), scales))
-    assert out.filter("p10 > prediction OR prediction > p90 OR p10 < 0").isEmpty()
-    assert evaluate.metrics(out).first().wape < 0.2
-    total = models.importances(model)
-    assert sum(v for *_, v in total) == pytest.approx(1) and {g for g, *_ in total} == {"past", "future", "static"}
-
-
 def test_rolling_backtest_in_chunks_equals_the_frame(series):
     lo, hi = hours(24 * 18), hours(24 * 24)
     frame = {(r.key, r.hour_ts): r for r in models.context_quantiles(series, lo, hi).collect()}
