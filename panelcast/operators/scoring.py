@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.features import CALENDAR, add_calendar, between
+from panelcast.operators.features import CALENDAR, add_calendar, between, build
 from panelcast.operators.models import Forecaster
+from panelcast.operators.packaged import Artifact, score_batches
 from panelcast.sources.sinks import replace_slice
 
 
-def latest_hour(features: DataFrame) -> datetime:
-    return features.agg(F.max("hour_ts")).first()[0]
+def latest_hour(panel: DataFrame) -> datetime:
+    return panel.agg(F.max("hour_ts")).first()[0]
 
 
 def scoring_window(features: DataFrame, holidays: DataFrame, target: datetime, input_hours: int, carried: list[str] = ()) -> DataFrame:
@@ -36,14 +37,26 @@ def scoring_window(features: DataFrame, holidays: DataFrame, target: datetime, i
     return seen.filter(F.col("hour_ts") < hour).unionByName(row)
 
 
-def score_next_hour(features: DataFrame, holidays: DataFrame, forecaster: Forecaster, model: str, version: str, path: str, input_hours: int, at: datetime, carried: list[str] = ()) -> datetime:
-    """The job of the hour: forecast the hour after the last one that features have, and replace that hour's slice of the table at path.
+def next_window(panel: DataFrame, holidays: DataFrame, input_hours: int, hour: datetime | None = None, carried: list[str] = ()) -> tuple[datetime, DataFrame]:
+    """The hour to forecast and its window, out of a panel: `hour`, or the one after the panel's last.
 
-    Returns the hour. Running it again writes the same slice anew.
+    Only the hours of the window and the longest lag before them are read; the
+    last hour comes from the panel itself, without features.
     """
-    target = latest_hour(features) + timedelta(hours=1)
-    scored = stamped(score(scoring_window(features, holidays, target, input_hours, carried), forecaster), model, version, at)
-    replace_slice(scored, path, "hour_ts", ("key",))
+    target = hour or latest_hour(panel) + timedelta(hours=1)
+    feats = build(panel, holidays, start=target - timedelta(hours=input_hours), end=target + timedelta(hours=1))
+    return target, scoring_window(feats, holidays, target, input_hours, carried)
+
+
+def score_next_hour(panel: DataFrame, holidays: DataFrame, model: Forecaster | Artifact, name: str, version: str, path: str, input_hours: int, at: datetime, carried: list[str] = ()) -> datetime:
+    """The job of the hour: forecast the hour after the last one of the panel, and replace that hour's slice of the table at path.
+
+    The model is a packaged one, or a function of one key's rows. Returns the
+    hour. Running it again writes the same slice anew.
+    """
+    target, window = next_window(panel, holidays, input_hours, carried=carried)
+    scored = score_batches(window, model) if isinstance(model, Artifact) else score(window, model)
+    replace_slice(stamped(scored, name, version, at), path, "hour_ts", ("key",))
     return target
 
 

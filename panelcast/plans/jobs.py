@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.functions import scalars
 from panelcast.operators import evaluate, features, models, observations, panel, scoring
 from panelcast.plans import queries as q
-from panelcast.plans.queries import FORECAST_SQL, HISTORY_SQL, NAIVE_NAMED_SQL, PANEL_A, REPORT_SQL, WINDOW_SQL, mean_of_window, query, r, rounded
+from panelcast.plans.queries import FORECAST_SQL, HISTORY_SQL, NAIVE_NAMED_SQL, PANEL_A, REPORT_SQL, WINDOW_SQL, query, r, rounded
 from panelcast.sources import adapters, ingest, sinks
 from panelcast.sources.adapters import SPLITS, table
 from panelcast.streaming import counts
@@ -150,8 +150,9 @@ def compressed_inputs(spark: SparkSession, d: str) -> DataFrame:
   SELECT key, hour_ts, y, CAST(hour(hour_ts) + 0.5 AS DOUBLE) AS level FROM w UNION ALL SELECT DISTINCT key, TIMESTAMP '2024-01-31', CAST(NULL AS DOUBLE), CAST(23.5 AS DOUBLE) FROM w""")
 def carried_window(spark: SparkSession, d: str) -> DataFrame:
     """The window of the hour after the data: the columns that are carried keep the last hour's values."""
-    feats = q._features(spark, d).withColumn("level", F.col("hour") + F.lit(0.5))
-    target = scoring.latest_hour(feats) + timedelta(hours=1)
+    rows = q._panel(spark, d)
+    target = scoring.latest_hour(rows) + timedelta(hours=1)
+    feats = features.build(rows, q._holidays(spark), start=target - timedelta(hours=48), end=target).withColumn("level", F.col("hour") + F.lit(0.5))
     out = scoring.scoring_window(feats, q._holidays(spark), target, 48, ["level"])
     return out.select("key", "hour_ts", F.col("y").cast("double").alias("y"), F.col("level").cast("double").alias("level"))
 
@@ -185,8 +186,8 @@ def stored_results(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {WINDOW_SQL} SELECT key, max(hour_ts) AS hour_ts, round(avg(y), 6) AS prediction, round(quantile_cont(CAST(y AS DOUBLE), 0.1), 6) AS p10, round(quantile_cont(CAST(y AS DOUBLE), 0.9), 6) AS p90, 'mean' AS model, '1' AS model_version FROM win GROUP BY 1")
 def next_hour_job(spark: SparkSession, d: str) -> DataFrame:
     """The scoring job end to end, run twice: the last hour is looked up, and the slice of the next one is replaced."""
-    path, feats = sinks.shared_folder(spark), q._features(spark, d)
+    path, rows = sinks.shared_folder(spark), q._panel(spark, d)
     for version in ("0", "1"):
-        scoring.score_next_hour(feats, q._holidays(spark), mean_of_window, "mean", version, path, 48, datetime(2024, 1, 31))
+        scoring.score_next_hour(rows, q._holidays(spark), q.packaged_mean(spark), "mean", version, path, 48, datetime(2024, 1, 31))
     out = spark.read.parquet(path).select("key", F.col("hour_ts").cast("timestamp_ntz").alias("hour_ts"), "prediction", "p10", "p90", "model", "model_version")
     return rounded(out, "prediction", "p10", "p90")

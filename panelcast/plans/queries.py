@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelcast.config import LAGS, QUANTILES
 from panelcast.functions import scalars
-from panelcast.operators import boosting, evaluate, features, models, observations, panel, quality, reports, runs, scoring
+from panelcast.operators import boosting, evaluate, features, models, observations, packaged, panel, quality, reports, runs, scoring
 from panelcast.sources import adapters, ingest, sinks
 from panelcast.sources.adapters import CATEGORIES, EVENT_SPEC, SPLITS, table
 
@@ -669,18 +671,32 @@ WINDOW_SQL = f"""{PANEL_A},{HOLIDAY_SQL}, win AS (
 @query(f"""WITH {WINDOW_SQL} SELECT key, hour_ts, CAST(y AS DOUBLE) AS y, CAST(hour(hour_ts) AS INT) AS hour, CAST(isodow(hour_ts) - 1 AS INT) AS day_of_week, CAST(month(hour_ts) AS INT) AS month, CAST(isodow(hour_ts) >= 6 AS INT) AS is_weekend,
   CAST(CAST(hour_ts AS DATE) IN (SELECT date FROM holidays) AS INT) AS is_holiday FROM win""")
 def scoring_window(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.scoring_window(_features(spark, d), _holidays(spark), SPLITS.end, 48).withColumn("y", F.col("y").cast("double"))
+    return scoring.next_window(_panel(spark, d), _holidays(spark), 48)[1].withColumn("y", F.col("y").cast("double"))
 
 
 def mean_of_window(pdf):
-    """A stand-in model: the mean of the window for the row without a value."""
+    """A stand-in model of one key: the mean of the window for the row without a value."""
     y = pdf["y"].dropna()
     row = pdf.iloc[-1:]
     return row.assign(prediction=float(y.mean()), p10=float(y.quantile(0.1)), p90=float(y.quantile(0.9)))[["hour_ts", "prediction", "p10", "p90"]]
 
 
+def packaged_mean(spark: SparkSession) -> packaged.Artifact:
+    """A packaged stand-in model, saved and published: the same forecasts, for all keys of a batch at once."""
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-model-"), "mean.zip")
+    packaged.save(packaged.WindowQuantiles(), path, {"key": "bigint", "hour_ts": "timestamp_ntz", "y": "int"}, {"key": "bigint", "hour_ts": "timestamp_ntz", "prediction": "double", "p10": "double", "p90": "double"})
+    return packaged.publish(spark, path)
+
+
 @query(f"WITH {WINDOW_SQL} SELECT key, max(hour_ts) AS hour_ts, round(avg(y), 6) AS prediction, round(quantile_cont(CAST(y AS DOUBLE), 0.1), 6) AS p10, round(quantile_cont(CAST(y AS DOUBLE), 0.9), 6) AS p90, 'mean' AS model, '1' AS model_version, TIMESTAMP '2024-01-31' AS scored_at FROM win GROUP BY 1")
 def next_hour(spark: SparkSession, d: str) -> DataFrame:
-    window = scoring.scoring_window(_features(spark, d), _holidays(spark), SPLITS.end, 48)
-    out = scoring.score(window, mean_of_window)
+    """The hour after the data by a packaged model, from features of the window alone."""
+    window = scoring.next_window(_panel(spark, d), _holidays(spark), 48)[1]
+    out = packaged.score_batches(window, packaged_mean(spark))
     return rounded(scoring.stamped(out, "mean", "1", datetime(2024, 1, 31)), "prediction", "p10", "p90")
+
+
+@query(f"WITH {WINDOW_SQL} SELECT key, max(hour_ts) AS hour_ts, round(avg(y), 6) AS prediction, round(quantile_cont(CAST(y AS DOUBLE), 0.1), 6) AS p10, round(quantile_cont(CAST(y AS DOUBLE), 0.9), 6) AS p90 FROM win GROUP BY 1")
+def next_hour_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a function that sees one key at a time."""
+    return rounded(scoring.score(scoring.next_window(_panel(spark, d), _holidays(spark), 48)[1], mean_of_window), "prediction", "p10", "p90")

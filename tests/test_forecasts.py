@@ -209,11 +209,11 @@ def test_allowed_models_and_stored_results(spark, tmp_path):
     assert "test_coverage_p10_p90" not in got["plain"]
 
 
-def test_the_hour_job_replaces_its_own_slice(spark, feats, tmp_path):
+def test_the_hour_job_replaces_its_own_slice(spark, series, tmp_path):
     path, days = f"file://{tmp_path}/hours", ingest.holidays(spark, 2024, 2024)
     for version in ("1", "2"):
-        assert scoring.score_next_hour(feats, days, mean_of_window, "mean", version, path, 24, START) == hours(24 * 24)
-    earlier = features.between(feats, START, hours(24 * 23))
+        assert scoring.score_next_hour(series, days, mean_of_window, "mean", version, path, 24, START) == hours(24 * 24)
+    earlier = features.between(series, START, hours(24 * 23))
     assert scoring.score_next_hour(earlier, days, mean_of_window, "mean", "3", path, 24, START) == hours(24 * 23)
     got = sorted((r.key, r.model_version) for r in spark.read.parquet(path).collect())
     assert got == [(1, "2"), (1, "3"), (3, "2"), (3, "3")]
