@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.config import QUANTILES
 from panelcast.operators.features import between
+from panelcast.operators.keyed import changes, whole_keys
 from panelcast.operators.poisson import PoissonModel, fit_poisson, predict_poisson  # noqa: F401  (one place for all models)
+from panelcast.operators.sliding import range_percentiles
 
 Forecaster = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -21,16 +25,35 @@ def seasonal_naive(features: DataFrame) -> DataFrame:
     return features.withColumn("prediction", F.col("lag_168h").cast("double"))
 
 
+#: Panel rows whose windows are judged at once, keys whole.
+BATCH_ROWS = 131_072
+
+
 def context_quantiles(panel: DataFrame, start: datetime, end: datetime, context: int = 168, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """One-step forecasts of [start, end): p10, prediction and p90 are quantiles of the `context` hours before each.
 
-    Only [start - context, end) is read; the frame stays in the JVM.
+    Only [start - context, end) is read. No window is sorted (`sliding`): the
+    work per row does not grow with the context. A key has at most a row an
+    hour; null values are left out of its windows.
     """
-    w = Window.partitionBy("key").orderBy("hour_ts").rowsBetween(-context, -1)
     window = between(panel.select("key", "hour_ts", "y"), start - timedelta(hours=context), end)
-    q = F.percentile(F.col("y").cast("double"), F.array(*[F.lit(x) for x in quantiles])).over(w)
-    out = between(window.withColumn("q", q), start, end)
-    return out.select("key", "hour_ts", "y", F.get("q", 0).alias("p10"), F.get("q", 1).alias("prediction"), F.get("q", 2).alias("p90"))
+    kinds = dict(window.dtypes)
+    first = np.datetime64(start, "us")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, 0, BATCH_ROWS):
+            begins = np.array(changes(rows.column(0)), np.int64)
+            key_start = np.repeat(begins, np.diff(np.append(begins, rows.num_rows)))
+            at = np.flatnonzero(np.asarray(rows.column(1), "datetime64[us]") >= first)
+            y = np.asarray(rows.column(2).cast(pa.float64()).fill_null(np.nan), np.float64)
+            q = range_percentiles(y, np.maximum(key_start[at], at - context), at, quantiles)
+            out = rows.take(pa.array(at))
+            for name, values in zip(("p10", "prediction", "p90"), q.T, strict=True):
+                out = out.append_column(name, pa.array(values, mask=np.isnan(values)))
+            yield from out.combine_chunks().to_batches()
+
+    sorted_rows = window.repartition("key").sortWithinPartitions("key", "hour_ts")
+    return sorted_rows.mapInArrow(run, f"key {kinds['key']}, hour_ts {kinds['hour_ts']}, y {kinds['y']}, p10 double, prediction double, p90 double")
 
 
 def rolling_backtest(panel: DataFrame, forecaster: Forecaster, start: datetime, end: datetime, context: int, chunk_hours: int = 24 * 28) -> DataFrame:

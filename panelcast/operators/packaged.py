@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from panelcast.operators.keyed import whole_keys
+
 #: Rows that a model is given at once, keys whole.
 BATCH_ROWS = 65_536
 _LOADED: dict[str, Any] = {}
@@ -92,19 +94,8 @@ def score_batches(rows: DataFrame, artifact: Artifact, key: str = "key", order:
     at = names.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= BATCH_ROWS:
-                rows = pa.Table.from_batches(held)
-                whole = _whole_keys(rows.column(at))
-                if whole:
-                    yield from one(rows.slice(0, whole))
-                    held = rows.slice(whole).to_batches()
-        if held:
-            yield from one(pa.Table.from_batches(held))
+        for rows in whole_keys(batches, at, BATCH_ROWS):
+            yield from one(rows)
 
     def one(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         found = _load(name, loads).predict(rows.to_pandas())
@@ -117,14 +108,6 @@ def score_batches(rows: DataFrame, artifact: Artifact, key: str = "key", order:
     return dealt.sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
-def _whole_keys(keys: pa.ChunkedArray) -> int:
-    """How many rows come before the last key, which may go on in the next batch."""
-    import pyarrow.compute as pc
-
-    same = pc.fill_null(pc.equal(keys, keys[-1]), False) if keys[-1].is_valid else pc.is_null(keys)
-    return pc.index(same, True).as_py()
-
-
 class WindowQuantiles:
     """A model of windows: mean and percentiles of the hours before for each row without a value."""
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import hour_of_week
 from panelcast.operators.features import HISTORY
+from panelcast.operators.keyed import changes, whole_keys
 from panelcast.operators.sums import array_sum
 from panelcast.sources.sinks import shared_folder
 
@@ -67,7 +68,7 @@ def _packed(q: int):
 
     def emit(rows: pa.Table) -> pa.RecordBatch:
         key = rows.column(0).combine_chunks()
-        new = np.flatnonzero(_changes(key))
+        new = np.array(changes(key), np.int64)
         counts = np.diff(np.append(new, len(key))).astype(np.int64)
         x = np.stack([np.asarray(rows.column(3 + j), np.float64) for j in range(q)], axis=1)
         cols = [np.asarray(rows.column(1), np.float64), np.asarray(rows.column(2), np.int16), x]
@@ -75,34 +76,12 @@ def _packed(q: int):
         return pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(key.type)), *[pa.array([c.tobytes()], pa.binary()) for c in (counts, *cols)]], ["keys", "counts", "y", "hour", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if sum(b.num_rows for b in held) >= RUN_ROWS:
-                # the run ends where the last key that is known to be whole does
-                rows = pa.Table.from_batches(held)
-                starts = np.flatnonzero(_changes(rows.column(0).combine_chunks()))
-                cut = rows.num_rows if rows.column(0)[-1].as_py() != batch.column(0)[0].as_py() else int(starts[-1])
-                if cut:
-                    yield emit(rows.slice(0, cut))
-                    held = rows.slice(cut).to_batches()
-            held.append(batch)
-        if held:
-            yield emit(pa.Table.from_batches(held))
+        for rows in whole_keys(batches, 0, RUN_ROWS):
+            yield emit(rows)
 
     return run
 
 
-def _changes(key: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    out = np.ones(len(key), bool)
-    if len(key) > 1:
-        out[1:] = np.asarray(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)))
-    return out
-
-
 class Run:
     """A run of keys under given weights: rates, levels and expected counts."""
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.evaluate import stored_results
+from panelcast.sources.sinks import append, exists, shared_folder
+
 
 def run_rows(board: DataFrame, tags: dict[str, str], started) -> DataFrame:
     """Runs from a metrics table with the column model: every other number is a metric; null ones are left out."""
@@ -33,3 +38,38 @@ def champion(runs: DataFrame, incumbent: str, window: str, metric: str = "wape")
     ranked = latest(runs).select("model", F.coalesce(value, F.lit(float("inf"))).alias(metric), (F.col("model") == incumbent).alias("__held"))
     best = ranked.orderBy(metric, F.desc("__held"), "model").limit(1)
     return best.select("model", metric, (~F.col("__held")).alias("changed"))
+
+
+def run_id(*parts: Column | str) -> Column:
+    """The id of a run by what tells it apart: running the same again is the same run."""
+    return F.sha2(F.concat_ws("\u001f", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("\u0000")) for p in parts]), 256)
+
+
+def append_runs(runs: DataFrame, path: str) -> int:
+    """Append rows (run_id, model, started, tags, metrics) to the run table at path unless their run_id is there; returns how many were.
+
+    Within runs, one row of each run_id is taken, the one of the smallest metrics
+    text. One writer at a time: two at once may both find a run missing.
+    """
+    spark = runs.sparkSession
+    text = F.to_json("metrics")
+    once = runs.groupBy("run_id").agg(F.min_by(F.struct("model", "started", "tags", "metrics"), text).alias("r")).select("run_id", "r.*")
+    if exists(spark, path):
+        once = once.join(spark.read.parquet(path).select("run_id"), "run_id", "left_anti")
+    kept = shared_folder(spark)
+    once.write.parquet(kept)  # what is appended is decided once, before the table changes
+    fresh = spark.read.schema(once.schema).parquet(kept)
+    n = fresh.count()
+    if n:
+        append(fresh, path)
+    return n
+
+
+def log_test_results(spark: SparkSession, forecasts: str, path: str, model: str, keys: DataFrame, group: str, started: datetime, tags: dict[str, str]) -> int:
+    """Log the test metrics of a model's stored forecasts as one run: overall and by group, with the band's coverage only where it has a band."""
+    results = stored_results(spark, forecasts, model, keys, group).filter("value IS NOT NULL")
+    metrics = results.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))  # a row a metric
+    tag_map = F.create_map(*[F.lit(x) for kv in sorted(tags.items()) for x in kv]) if tags else F.create_map().cast("map<string,string>")
+    at = F.lit(started).cast("timestamp_ntz")
+    row = metrics.select(F.lit(model).alias("model"), at.alias("started"), tag_map.alias("tags"), "metrics")
+    return append_runs(row.withColumn("run_id", run_id("model", "started", F.lit(repr(sorted(tags.items()))))), path)

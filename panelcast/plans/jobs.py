@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions import scalars
-from panelcast.operators import evaluate, features, models, observations, panel, scoring
+from panelcast.operators import boosting, evaluate, features, importance, models, observations, panel, runs, scoring
+from panelcast.operators.asof import asof_join
 from panelcast.plans import queries as q
 from panelcast.plans.queries import FORECAST_SQL, HISTORY_SQL, NAIVE_NAMED_SQL, PANEL_A, REPORT_SQL, WINDOW_SQL, query, r, rounded
 from panelcast.sources import adapters, ingest, sinks
@@ -112,13 +113,17 @@ def hourly_feed(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select("key", F.col("hour_ts").cast("timestamp_ntz").alias("hour_ts"), "y")
 
 
-@query(f"WITH {FORECAST_SQL} SELECT model, key, hour_ts, y, {r('prediction')}, {r('p10')}, {r('p90')} FROM forecasts")
+@query(f"""WITH {FORECAST_SQL} SELECT model, key, hour_ts, y, round(round(prediction * 10) / 10, 1) AS prediction, round(ceil(p10 * 10) / 10, 1) AS p10, round(floor(p90 * 10) / 10, 1) AS p90,
+  true AS in_order FROM forecasts""")
 def export(spark: SparkSession, d: str) -> DataFrame:
-    """The compact export, read back: zstd, sorted by model, hour and key."""
-    path, f = sinks.shared_folder(spark), q._forecasts(spark, d)
-    sinks.export(f, path)
-    back = spark.read.parquet(path).select("model", "key", "hour_ts")
-    return rounded(f.join(back, ["model", "key", "hour_ts"]), "prediction", "p10", "p90").select("model", "key", "hour_ts", "y", "prediction", "p10", "p90")
+    """The compact export as it was written: narrow values, zstd, and whether each row comes after the one before it in its file by model, hour and key."""
+    path = sinks.shared_folder(spark)
+    sinks.export(q._forecasts(spark, d), path)
+    back = spark.read.parquet(path).select("*", "_metadata.file_path", "_metadata.row_index")
+    place = F.struct("model", "hour_ts", "key")
+    before = F.lag(place).over(Window.partitionBy("file_path").orderBy("row_index"))
+    narrow = {c: F.round(F.col(c).cast("double"), 1) for c in ("prediction", "p10", "p90")}
+    return back.withColumn("in_order", before.isNull() | (before <= place)).withColumns(narrow | {"y": F.col("y").cast("int")}).drop("file_path", "row_index")
 
 
 # -------------------------------------------------------------------- operators
@@ -157,6 +162,24 @@ def carried_window(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", "hour_ts", F.col("y").cast("double").alias("y"), F.col("level").cast("double").alias("level"))
 
 
+ASOF_SQL = """
+seen AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 89 <> 0 THEN user_id END AS key, CASE WHEN event_id % 101 <> 0 THEN ts END AS ts FROM events),
+bought AS (
+  SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 83 <> 0 THEN o_custkey % 150 END AS key, TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 7 % 43200 AS INT)) AS bought_at, max(o_orderkey) AS o_orderkey
+  FROM orders WHERE o_orderkey % 97 <> 0 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {ASOF_SQL}, j AS (SELECT event_id, s.key, s.ts, bought_at, o_orderkey FROM seen s ASOF LEFT JOIN bought b ON s.key = b.key AND s.ts >= b.bought_at)
+  SELECT event_id, key, ts, CASE WHEN ts - bought_at <= INTERVAL 36 HOUR THEN bought_at END AS bought_at, CASE WHEN ts - bought_at <= INTERVAL 36 HOUR THEN o_orderkey END AS o_orderkey FROM j""")
+def asof_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Each event with the last order of its key in the 36 hours before: a key has a third of all rows, orders share times, keys and times are missing."""
+    n, o = F.col("event_id"), F.col("o_orderkey")
+    seen = table(spark, d, "events").select("event_id", F.when(n % 3 == 0, 0).when(n % 89 != 0, F.col("user_id")).cast("long").alias("key"), F.when(n % 101 != 0, F.col("ts")).alias("ts"))
+    minutes = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(o_orderkey * 7 % 43200 AS int), 0)")
+    bought = table(spark, d, "orders").select(F.when(o % 3 == 0, 0).when(o % 83 != 0, F.col("o_custkey") % 150).cast("long").alias("key"), F.when(o % 97 != 0, minutes).alias("bought_at"), "o_orderkey")
+    return asof_join(seen, bought, ["key"], "ts", "bought_at", ["o_orderkey"], timedelta(hours=36))
+
+
 # ------------------------------------------------------------------ evaluation
 
 
@@ -191,3 +214,68 @@ def next_hour_job(spark: SparkSession, d: str) -> DataFrame:
         scoring.score_next_hour(rows, q._holidays(spark), q.packaged_mean(spark), "mean", version, path, 48, datetime(2024, 1, 31))
     out = spark.read.parquet(path).select("key", F.col("hour_ts").cast("timestamp_ntz").alias("hour_ts"), "prediction", "p10", "p90", "model", "model_version")
     return rounded(out, "prediction", "p10", "p90")
+
+
+def blended(rows: DataFrame) -> DataFrame:
+    """A forecaster by formula, of history, calendar and the key: simple enough for SQL to compute."""
+    return rows.withColumn("prediction", (0.5 * F.col("roll_mean_168h") + 0.3 * F.col("lag_168h") + 0.2 * F.col("scale")) * (1 - 0.1 * F.col("is_weekend")))
+
+
+BLEND = "(0.5::DOUBLE * {past}.roll_mean_168h + 0.3::DOUBLE * {past}.lag_168h + 0.2::DOUBLE * {static}.scale) * (1 - 0.1::DOUBLE * {future}.is_weekend)"
+
+
+def _losses_sql() -> str:
+    cases = {"none": {}, "past": {"past": "d"}, "future": {"future": "d"}, "static": {"static": "d"}}
+    one = lambda c: BLEND.format(**({"past": "r", "future": "r", "static": "r"} | c))
+    parts = " UNION ALL ".join(f"SELECT '{g}' AS \"group\", avg(abs({one(c)} - r.y)) AS loss FROM r JOIN r d ON d.n = (r.n * (SELECT a FROM ab) + (SELECT b FROM ab)) % (SELECT n FROM ab)" for g, c in cases.items())
+    # the stride: the first number from the golden section of n on that has no divisor in common with n
+    return f"""WITH {PANEL_A},{HISTORY_SQL}, scales AS (SELECT key, greatest(avg(y), 0.1) AS scale FROM panel WHERE hour_ts < TIMESTAMP '2024-01-20' GROUP BY 1),
+  r AS (SELECT row_number() OVER (ORDER BY key, hour_ts) - 1 AS n, y, lag_168h, roll_mean_168h, scale, CAST(isodow(hour_ts) >= 6 AS INT) AS is_weekend FROM history JOIN scales USING (key) WHERE hour_ts >= TIMESTAMP '2024-01-25'),
+  size AS (SELECT count(*) AS n FROM r),
+  ab AS (SELECT n, (n // 3) % n AS b, (SELECT min(x) FROM (SELECT unnest(range(CAST(round(n * 0.6180339887) AS BIGINT), CAST(round(n * 0.6180339887) AS BIGINT) + 1000)) AS x) t WHERE gcd(x, n) = 1) AS a FROM size),
+  losses AS ({parts})
+  SELECT "group", round(loss, 6) AS loss, round(loss - (SELECT loss FROM losses WHERE "group" = 'none'), 6) AS increase FROM losses"""
+
+
+@query(_losses_sql())
+def permutation_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Mean errors of a formula with its past, future or static inputs dealt to other rows, over all test rows."""
+    lo, hi = SPLITS.bounds("test")
+    p = q._panel(spark, d)
+    feats = features.build(p, q._holidays(spark), start=lo, end=hi).join(features.key_scales(q._split(p, "train")), "key")
+    rows, n = importance.numbered(feats.select("key", "hour_ts", "y", "lag_168h", "roll_mean_168h", "is_weekend", "scale"), "key", "hour_ts")
+    groups = {"past": ["lag_168h", "roll_mean_168h"], "future": ["is_weekend"], "static": ["scale"]}
+    return rounded(importance.permutation_losses(rows, n, groups, blended), "loss", "increase")
+
+
+@query()
+def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the boosted model: pinball loss of its upper quantile with each group of inputs permuted."""
+    feats, scales, model = q._boosted(spark, d)
+    rows, n = importance.numbered(boosting.boost_inputs(q._split(feats, "test"), scales), "key", "hour_ts")
+    left = F.col("y") - F.col("prediction")
+    pinball = F.greatest(0.9 * left, -0.1 * left)
+    return importance.permutation_losses(rows, n, boosting.BOOST_INPUTS, lambda df: boosting.predict_quantiles(model, df).withColumn("prediction", F.col("p90")), pinball)
+
+
+def _run_log_sql() -> str:
+    each = lambda kind, expr: f"SELECT model, 'test_{kind}' || g AS metric, round({expr}, 6) AS value FROM m"
+    return f"""WITH {FORECAST_SQL},{q.KEYS_SQL}, s AS (SELECT f.*, group_name FROM forecasts f JOIN named USING (key)),
+  m AS (SELECT model, CASE WHEN group_name IS NULL THEN '' ELSE '_' || replace(group_name, ' ', '_') END AS g, avg(abs(prediction - y)) AS mae, sqrt(avg((prediction - y) ** 2)) AS rmse, sum(abs(prediction - y)) / nullif(sum(y), 0) AS wape
+    FROM s GROUP BY GROUPING SETS ((model), (model, group_name))),
+  v AS ({each("mae", "mae")} UNION ALL {each("rmse", "rmse")} UNION ALL {each("wape", "wape")}
+    UNION ALL SELECT model, 'test_coverage_p10_p90', round(avg(CAST(y >= p10 AND y <= p90 AS DOUBLE)), 6) FROM s WHERE p10 IS NOT NULL GROUP BY 1)
+  SELECT model, 'test' AS "window", metric, value, CAST(1 AS BIGINT) AS n_runs FROM v WHERE value IS NOT NULL"""
+
+
+@query(_run_log_sql())
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    """Test results of a model without a band and one with, logged twice each, as the run table has them."""
+    path, log = sinks.shared_folder(spark), sinks.shared_folder(spark)
+    sinks.replace_slice(q._forecasts(spark, d), path, "model", ("key",))
+    for model in ("naive", "quantile", "naive", "quantile"):
+        runs.log_test_results(spark, path, log, model, adapters.keys(spark, d), "group_name", datetime(2024, 1, 31), {"window": "test"})
+    stored = spark.read.parquet(log)
+    counts = stored.groupBy("model").agg(F.count("*").alias("n_runs"))
+    rows = stored.select("model", F.col("tags")["window"].alias("window"), F.explode("metrics").alias("metric", "value"))
+    return rounded(rows.join(counts, "model"), "value")
