@@ -61,42 +61,54 @@ def _mark(s: Column) -> Column:
     return F.concat_ws(":", s["start"], s["size"], s["key"])
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key of a row by its id, null or not, and its text: rows that share an id are told apart, rows that repeat both are one document."""
+    return F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text), 256)
+
+
 def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(doc_id, drop): for each document with something to remove, marks (start:size:key) of those chunks.
+    """(row, drop): for each document with something to remove, by its `row_key`, marks (start:size:key) of those chunks.
 
     Only numbers are shuffled to find the repeated hashes; the bytes of chunks
     whose hash repeats follow for the comparison. Chunks that a large share of
-    all documents hold are dealt to several tasks wherever they are joined.
+    all documents hold, and rows that repeat so often, are dealt to several
+    tasks wherever they are joined.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.explode(chunks(F.col("text"), min_lines)).alias("c")).select("doc_id", "c.start", "c.size", "c.key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.contains("text", F.lit("\n")))
+    texts = texts.withColumns({"row": row_key(F.col("doc_id"), F.col("text")), "copy": F.monotonically_increasing_id()})
+    found = texts.select("doc_id", "row", "copy", F.explode(chunks(F.col("text"), min_lines)).alias("c")).select("doc_id", "row", "copy", "c.start", "c.size", "c.key")
     # counts and bounds combine before the shuffle: a chunk that a third of all documents hold is one row a task
-    place = F.struct("doc_id", "start")
-    again = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("key", "n")
+    place = F.struct("doc_id", "row", "start")
+    again = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).filter(F.col("lo") != F.col("hi")).select("key", "n")
     again = materialize(again, "repeated-chunks")
     total = again.agg(F.sum("n")).first()[0] or 0
     known = again.withColumn("hot", F.col("n") * HOT_SHARE > F.lit(total))
-    suspects = join_spread(found, known, ["key"], "n", total, ["doc_id", "start"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "key", "hot")).alias("suspects"))
+    # one row a document: of its chunks those whose hash repeats, and how many rows are the document
+    in_text = join_spread(found, known, ["key"], "n", total, ["row", "start", "copy"]).groupBy("row", "start", "size", "key", "hot").agg(F.count("*").alias("copies"))
+    suspects = in_text.groupBy("row").agg(F.collect_list(F.struct("start", "size", "key", "hot")).alias("suspects"), F.max("copies").alias("copies"))
+    suspects = materialize(suspects, "suspect-chunks")
+    rows = suspects.agg(F.sum("copies")).first()[0] or 0
     lines = F.split("text", "\n")
     fields = ("start", "size", "key", "hot")
-    bytes_of = texts.join(suspects.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.explode(_let(lines, lambda x: F.transform("suspects", lambda s: F.struct(*[s[f].alias(f) for f in fields], _chunk(x, s).alias("chunk"))))).alias("c")).select("doc_id", "c.*")
-    bytes_of = bytes_of.filter(F.xxhash64("chunk") == F.col("key"))  # rows that share an id but not a text
-    first = bytes_of.groupBy("key", "chunk", "hot").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi")))
+    bytes_of = join_spread(texts, suspects, ["row"], "copies", rows, ["copy"]).select("doc_id", "row", F.explode(_let(lines, lambda x: F.transform("suspects", lambda s: F.struct(*[s[f].alias(f) for f in fields], _chunk(x, s).alias("chunk"))))).alias("c")).select("doc_id", "row", "c.*")
+    first = bytes_of.groupBy("key", "chunk", "hot").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(F.col("lo") != F.col("hi"))
     first = first.select("key", "chunk", "lo", all_salts(F.col("hot")).alias("salt"))
-    later = bytes_of.withColumn("salt", salt(F.col("hot"), "doc_id", "start")).join(first, ["key", "salt", "chunk"]).filter(~place.eqNullSafe(F.col("lo")))
-    return later.groupBy("doc_id").agg(F.collect_set(_mark(F.struct("start", "size", "key"))).alias("drop"))
+    later = bytes_of.withColumn("salt", salt(F.col("hot"), "row", "start")).join(first, ["key", "salt", "chunk"]).filter(~place.eqNullSafe(F.col("lo")))
+    return later.groupBy("row").agg(F.collect_set(_mark(F.struct("start", "size", "key"))).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """All columns of docs with `text` less its repeated chunks, and n_lines, n_removed, n_removed_chunks.
 
     A null text stays null, with no lines; a text without a line break is one
-    line and never changes. Rows that repeat both id and text count as one
-    document and all get its result; a null id is an id like others. Columns of
-    docs that bear the names of the new ones are replaced. Very long texts are
-    handled whole, in time linear in their lines; an empty table gives no rows.
+    line and never changes. Documents that share an id, or have none, are told
+    apart by their texts and follow each other by a digest of them; null ids
+    come first. Rows that repeat both id and text count as one document and all
+    get its result. Columns of docs that bear the names of the new ones are
+    replaced. Very long texts are handled whole, in time linear in their lines;
+    an empty table gives no rows.
     """
-    drop = repeated_chunks(docs, min_lines).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+    drop = repeated_chunks(docs, min_lines).select(F.col("row").alias("__row"), F.col("drop").alias("__drop"))
     lines = F.split("text", "\n")
     own = F.transform(chunks(F.col("text"), min_lines), _mark)
 
@@ -110,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
         dropped = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["size"] - 1)))
         return F.transform(F.array_except(F.sequence(F.lit(1), F.size(x)), dropped), lambda i: F.get(x, i - 1))
 
-    joined = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left").withColumn("__gone", gone)
+    joined = docs.withColumn("__key", row_key(docs["doc_id"].cast("long"), docs["text"])).join(drop, F.col("__key") == F.col("__row"), "left").withColumn("__gone", gone)
     out = joined.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
@@ -119,4 +131,4 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
         }
     )
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(_let(lines, kept), "\n")).otherwise(F.col("text")))
-    return out.drop("__id", "__drop", "__gone")
+    return out.drop("__key", "__row", "__drop", "__gone")

@@ -2,6 +2,9 @@ import hashlib
 import random
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
 from panelcast.llm.lines import dedup_lines
 
 
@@ -89,3 +92,28 @@ def test_long_texts_of_short_lines_take_linear_time(spark):
     rows = dedup_lines(table).collect()
     assert time.time() - began < 12
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed, r.n_removed_chunks) for r in rows), key=str) == brute(docs)
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3), (7, 7, 7), (None, None, None)])
+def test_documents_that_share_an_id_are_told_apart(spark, ids):
+    header = "\n".join(f"header line {k}" for k in range(40))
+    rows = [(i, f"{header}\ntail {k} a\ntail {k} b") for k, i in enumerate(ids)]
+    got = sorted(r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [0, 36, 36]
+
+
+def test_twenty_thousand_null_ids_take_linear_time(spark):
+    shared = "\n".join(f"shared {k} line" for k in range(12))
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(shared + "\n"), F.concat_ws("\n", *[F.concat(F.col("id"), F.lit(f" own {k}")) for k in range(4)])).alias("text"))
+    began = time.time()
+    out = dedup_lines(rows).agg(F.count("*"), F.sum((F.col("n_removed") > 0).cast("int"))).first()
+    assert out[0] == 20_000 and out[1] == 19_999 and time.time() - began < 60
+
+
+def test_a_row_on_a_third_of_all_rows(spark):
+    text = "\n".join(f"row {k}" for k in range(30))
+    rows = [(5, text)] * 400 + [(k, f"own {k}\nnext {k}") for k in range(100, 900)] + [(6, text + "\nmore")]
+    out = {}
+    for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect():
+        out.setdefault(r.doc_id, set()).add(r.n_removed)
+    assert out[5] == {0} and out[6].pop() >= 26 and out[100] == {0}
