@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import ascii_lower
+from panelcast.llm.common import LOWER, UPPER, ascii_lower
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 15
@@ -82,12 +82,17 @@ def match_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> Colu
     """Struct (rule, verdict) of the longest rule that fits, else null.
 
     A rule is a host, from the first slash on followed by a path prefix; it fits
-    its host and all subdomains. Of equally long ones the first in the list wins.
+    its host and all subdomains; A-Z in it count as a-z, other letters as they
+    are, and a rule without a host fits none. Of equally long ones the first in
+    the list wins.
     """
     hits = []
     for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):
         at, slash, rest = rule.partition("/")
-        fits = ((host == at.lower()) | host.endswith("." + at.lower())) & path.startswith(slash + rest)
+        at = at.translate(str.maketrans(UPPER, LOWER))
+        if not at:
+            continue
+        fits = ((host == at) | host.endswith("." + at)) & path.startswith(slash + rest)
         hits.append(F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
     return F.coalesce(*hits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
@@ -102,7 +107,7 @@ def rules_by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
     known = rules.select(ascii_lower(host).alias("__at"), F.when(slash > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise("").alias("__prefix"), "rule", "verdict", "rank")
     labels = F.split("host", "\\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    asked = parts.select("host", "path").distinct().withColumn("__at", F.explode(parents))
+    asked = parts.select("host", "path").filter("host <> ''").distinct().withColumn("__at", F.explode(parents))
     fits = asked.join(known, "__at").filter(F.col("path").startswith(F.col("__prefix")))
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), -F.col("rank")))
     return fits.groupBy("host", "path").agg(best.alias("__hit"))

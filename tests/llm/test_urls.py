@@ -102,3 +102,12 @@ def test_no_label_and_one_class(spark, labelled, verdict):
     one = urls.train(spark.createDataFrame(labelled, "url string, label double"))
     pages = spark.createDataFrame([(1, "http://x/y"), (2, None)], "page_id long, url string")
     assert [r.verdict for r in urls.judge(pages, one, []).collect()] == [verdict] * 2
+
+
+def test_rules_mean_the_same_at_any_number(spark):
+    pages = spark.createDataFrame([(1, "http://É.com/a"), (2, "http://é.com/a"), (3, "http://x.É.COM/b"), (4, "http://ABC.de/"), (5, None), (6, "nothing"), (7, "http:///path")], "page_id long, url string")
+    model = urls.train(spark.createDataFrame([("http://a.com/", 0), ("http://b.com/", 1)], "url string, label int"))
+    few = [("É.com/", "block"), ("aBc.de", "block"), ("/path", "block")]
+    many = few + [(f"site{k}.example/", "allow") for k in range(urls.EXPRESSION_RULES + 1)]
+    seen = [{r.page_id: r.rule for r in urls.judge(pages, model, rules).collect()} for rules in (few, many)]
+    assert seen[0] == seen[1] == {1: "É.com/", 2: None, 3: "É.com/", 4: "aBc.de", 5: None, 6: None, 7: None}
