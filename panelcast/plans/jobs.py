@@ -227,12 +227,13 @@ BLEND = "(0.5::DOUBLE * {past}.roll_mean_168h + 0.3::DOUBLE * {past}.lag_168h +
 def _losses_sql() -> str:
     cases = {"none": {}, "past": {"past": "d"}, "future": {"future": "d"}, "static": {"static": "d"}}
     one = lambda c: BLEND.format(**({"past": "r", "future": "r", "static": "r"} | c))
-    parts = " UNION ALL ".join(f"SELECT '{g}' AS \"group\", avg(abs({one(c)} - r.y)) AS loss FROM r JOIN r d ON d.n = (r.n * (SELECT a FROM ab) + (SELECT b FROM ab)) % (SELECT n FROM ab)" for g, c in cases.items())
+    parts = " UNION ALL ".join(f"SELECT '{g}' AS \"group\", avg(abs({one(c)} - r.y)) AS loss FROM dealt r JOIN r d ON d.n = r.source" for g, c in cases.items())
     # the stride: the first number from the golden section of n on that has no divisor in common with n
     return f"""WITH {PANEL_A},{HISTORY_SQL}, scales AS (SELECT key, greatest(avg(y), 0.1) AS scale FROM panel WHERE hour_ts < TIMESTAMP '2024-01-20' GROUP BY 1),
   r AS (SELECT row_number() OVER (ORDER BY key, hour_ts) - 1 AS n, y, lag_168h, roll_mean_168h, scale, CAST(isodow(hour_ts) >= 6 AS INT) AS is_weekend FROM history JOIN scales USING (key) WHERE hour_ts >= TIMESTAMP '2024-01-25'),
   size AS (SELECT count(*) AS n FROM r),
   ab AS (SELECT n, (n // 3) % n AS b, (SELECT min(x) FROM (SELECT unnest(range(CAST(round(n * 0.6180339887) AS BIGINT), CAST(round(n * 0.6180339887) AS BIGINT) + 1000)) AS x) t WHERE gcd(x, n) = 1) AS a FROM size),
+  dealt AS (SELECT r.*, (r.n * ab.a + ab.b) % ab.n AS source FROM r, ab),
   losses AS ({parts})
   SELECT "group", round(loss, 6) AS loss, round(loss - (SELECT loss FROM losses WHERE "group" = 'none'), 6) AS increase FROM losses"""
 
