@@ -1,10 +1,12 @@
 """Line dedup by content-defined chunks, with DataFrame functions only.
 
-Every line is hashed; a rolling hash over the last two line hashes decides where
-a chunk ends, so boundaries move with the content and an inserted line changes
-the chunks around it alone. Chunks of two lines or more that occur more than
-once anywhere are found by hash, compared byte by byte, and removed except for
-the first occurrence (smallest document id, then position).
+Every line is hashed; a rolling hash over two line hashes says whether these two
+lines follow each other at an earlier place anywhere in the corpus. A chunk goes
+on for as long as it does, so the corpus's own rolling hashes choose where chunks
+begin and end: boundaries move with the content, and a line that is inserted or
+changed cuts a chunk at that line alone. All two-line pieces of a chunk are
+compared byte by byte with their earliest places (smallest document id, then
+position), and chunks of two lines or more are removed.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import HOT_SHARE, all_salts, join_spread, materialize, salt
 
-#: A chunk ends where the rolling hash starts with one of these hex digits: a quarter of the lines.
-END_BELOW = "4"
+#: Chunks of fewer words (blank lines, closing brackets) are no passages and stay.
+MIN_WORDS = 5
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,108 +28,96 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _ends(h: Column) -> Column:
-    """Numbers of the lines that end a chunk; the last line always does."""
+def _lines(text: Column | str) -> Column:
+    return F.split(text, "\n")
 
-    def is_end(i: Column) -> Column:
-        rolled = F.md5(F.concat(F.when(i > 1, F.get(h, i - 2)).otherwise(F.lit("")), F.get(h, i - 1)))
-        return (i == F.size(h)) | (F.substring(rolled, 1, 1) < END_BELOW)
 
-    return F.filter(F.sequence(F.lit(1), F.size(h)), is_end)
-
-
-def _spans(lines: Column) -> Column:
-    """The chunks as structs (start, size), 1-based."""
-
-    def from_ends(ends: Column) -> Column:
-        return F.transform(ends, lambda e, k: _let(F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0)), lambda before: F.struct((before + 1).alias("start"), (e - before).alias("size"))))
-
-    return _let(F.transform(lines, lambda x: F.md5(x)), lambda h: _let(_ends(h), from_ends))
-
-
-def _chunk(lines: Column, span: Column) -> Column:
-    return F.array_join(F.slice(lines, span["start"], span["size"]), "\n")
-
-
-def chunks(text: Column, min_lines: int) -> Column:
-    """Structs (start, size, key) of a text's chunks of min_lines or more; key is a hash of the chunk."""
-    return _let(
-        F.split(text, "\n"),
-        lambda lines: F.transform(F.filter(_spans(lines), lambda s: s["size"] >= min_lines), lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.xxhash64(_chunk(lines, s)).alias("key"))),
-    )
-
-
-def _mark(s: Column) -> Column:
-    """A chunk's place and key as one string: sets of strings are compared by hash, sets of structs pair by pair."""
-    return F.concat_ws(":", s["start"], s["size"], s["key"])
+def rolling_hashes(text: Column | str) -> Column:
+    """Structs (pos, key): the hash of the hashes of lines pos and pos + 1, from 1 on, of a text of two lines or more."""
+    hashes = F.transform(_lines(text), lambda x: F.xxhash64(x))
+    return _let(hashes, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.get(h, i - 1), F.get(h, i)).alias("key"))))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """A key of a row by its id, null or not, and its text: rows that share an id are told apart, rows that repeat both are one document."""
-    return F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text), 256)
+    """128 bits that name a row by its id, null or not, and its text: rows that share an id are told apart, rows that repeat both are one document."""
+    return F.substring(F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text), 256)), 1, 16)
 
 
-def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(row, drop): for each document with something to remove, by its `row_key`, marks (start:size:key) of those chunks.
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(row, drop): for each document with a repeat, by its `row_key`, the numbers of the lines that with the next line stand at an earlier place too.
 
-    Only numbers are shuffled to find the repeated hashes; the bytes of chunks
-    whose hash repeats follow for the comparison. Chunks that a large share of
+    Only numbers are shuffled to find the repeated hashes; the bytes of lines
+    whose hash repeats follow for the comparison. Pairs that a large share of
     all documents hold, and rows that repeat so often, are dealt to several
     tasks wherever they are joined.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.contains("text", F.lit("\n")))
     texts = texts.withColumns({"row": row_key(F.col("doc_id"), F.col("text")), "copy": F.monotonically_increasing_id()})
-    found = texts.select("doc_id", "row", "copy", F.explode(chunks(F.col("text"), min_lines)).alias("c")).select("doc_id", "row", "copy", "c.start", "c.size", "c.key")
-    # counts and bounds combine before the shuffle: a chunk that a third of all documents hold is one row a task
-    place = F.struct("doc_id", "row", "start")
-    again = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).filter(F.col("lo") != F.col("hi")).select("key", "n")
-    again = materialize(again, "repeated-chunks")
+    found = texts.select("row", "copy", F.explode(rolling_hashes("text")).alias("c")).select("row", "copy", "c.pos", "c.key")
+    # counts and bounds combine before the shuffle: a pair that a third of all documents hold is one row a task
+    spot = F.xxhash64("row", "pos")
+    again = found.groupBy("key").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("key", "n")
+    again = materialize(again, "repeated-pairs")
     total = again.agg(F.sum("n")).first()[0] or 0
     known = again.withColumn("hot", F.col("n") * HOT_SHARE > F.lit(total))
-    # one row a document: of its chunks those whose hash repeats, and how many rows are the document
-    in_text = join_spread(found, known, ["key"], "n", total, ["row", "start", "copy"]).groupBy("row", "start", "size", "key", "hot").agg(F.count("*").alias("copies"))
-    suspects = in_text.groupBy("row").agg(F.collect_list(F.struct("start", "size", "key", "hot")).alias("suspects"), F.max("copies").alias("copies"))
-    suspects = materialize(suspects, "suspect-chunks")
+    # one row a document: of its pairs those whose hash repeats, and how many rows are the document
+    in_text = join_spread(found, known, ["key"], "n", total, ["row", "pos", "copy"]).groupBy("row", "pos", "key", "hot").agg(F.count("*").alias("copies"))
+    suspects = in_text.groupBy("row").agg(F.collect_list(F.struct("pos", "key", "hot")).alias("suspects"), F.max("copies").alias("copies"))
+    suspects = materialize(suspects, "suspect-pairs")
     rows = suspects.agg(F.sum("copies")).first()[0] or 0
-    lines = F.split("text", "\n")
-    fields = ("start", "size", "key", "hot")
-    bytes_of = join_spread(texts, suspects, ["row"], "copies", rows, ["copy"]).select("doc_id", "row", F.explode(_let(lines, lambda x: F.transform("suspects", lambda s: F.struct(*[s[f].alias(f) for f in fields], _chunk(x, s).alias("chunk"))))).alias("c")).select("doc_id", "row", "c.*")
-    first = bytes_of.groupBy("key", "chunk", "hot").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(F.col("lo") != F.col("hi"))
-    first = first.select("key", "chunk", "lo", all_salts(F.col("hot")).alias("salt"))
-    later = bytes_of.withColumn("salt", salt(F.col("hot"), "row", "start")).join(first, ["key", "salt", "chunk"]).filter(~place.eqNullSafe(F.col("lo")))
-    return later.groupBy("row").agg(F.collect_set(_mark(F.struct("start", "size", "key"))).alias("drop"))
+    pair = _let(_lines("text"), lambda x: F.transform("suspects", lambda s: F.struct(s["pos"].alias("pos"), s["key"].alias("key"), s["hot"].alias("hot"), F.concat(F.get(x, s["pos"] - 1), F.lit("\n"), F.get(x, s["pos"])).alias("pair"))))
+    bytes_of = join_spread(texts, suspects, ["row"], "copies", rows, ["copy"]).select("doc_id", "row", F.explode(pair).alias("c")).select("doc_id", "row", "c.*")
+    place = F.struct("doc_id", "row", "pos")
+    first = bytes_of.groupBy("key", "pair", "hot").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(F.col("lo") != F.col("hi"))
+    first = first.select("key", "pair", "lo", all_salts(F.col("hot")).alias("salt"))
+    later = bytes_of.withColumn("salt", salt(F.col("hot"), "row", "pos")).join(first, ["key", "salt", "pair"]).filter(~place.eqNullSafe(F.col("lo")))
+    return later.groupBy("row").agg(F.collect_set("pos").alias("drop"))
+
+
+def _chunks(drop: Column, lines: Column, min_lines: int, min_words: int) -> Column:
+    """Structs (lo, hi) of first and last lines: stretches of pairs that follow each other, if long enough."""
+
+    def from_sorted(d: Column) -> Column:
+        starts = F.filter(d, lambda p, k: (k == 0) | (F.get(d, k - 1) != p - 1))
+        ends = F.filter(d, lambda p, k: (k == F.size(d) - 1) | (F.get(d, k + 1) != p + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("lo"), (b + 1).alias("hi")))
+
+    def size(c: Column) -> Column:
+        return c["hi"] - c["lo"] + 1
 
+    def words(c: Column) -> Column:
+        return F.aggregate(F.slice(lines, c["lo"], size(c)), F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+    return F.filter(_let(F.sort_array(drop), from_sorted), lambda c: (size(c) >= min_lines) & (words(c) >= min_words))
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with `text` less its repeated chunks, and n_lines, n_removed, n_removed_chunks.
 
-    A null text stays null, with no lines; a text without a line break is one
-    line and never changes. Documents that share an id, or have none, are told
-    apart by their texts and follow each other by a digest of them; null ids
-    come first. Rows that repeat both id and text count as one document and all
-    get its result. Columns of docs that bear the names of the new ones are
+    A line goes if it and a neighbour of it stand in this order at an earlier
+    place, in this text or another, and the chunk of such lines has min_lines
+    lines and min_words words; repeats are judged on the input, not on what is
+    left. A null text stays null, with no lines; a text without a line break is
+    one line and never changes. Documents that share an id, or have none, are
+    told apart by their texts and follow each other by a digest of them; null
+    ids come first. Rows that repeat both id and text count as one document and
+    all get its result. Columns of docs that bear the names of the new ones are
     replaced. Very long texts are handled whole, in time linear in their lines;
     an empty table gives no rows.
     """
-    drop = repeated_chunks(docs, min_lines).select(F.col("row").alias("__row"), F.col("drop").alias("__drop"))
-    lines = F.split("text", "\n")
-    own = F.transform(chunks(F.col("text"), min_lines), _mark)
-
-    def span(mark: Column) -> Column:
-        parts = F.split(mark, ":")
-        return F.struct(parts[0].cast("int").alias("start"), parts[1].cast("int").alias("size"))
-
-    gone = F.when(F.col("__drop").isNotNull(), F.transform(F.array_intersect("__drop", own), span))
+    drop = repeated_pairs(docs).select(F.col("row").alias("__row"), F.col("drop").alias("__drop"))
+    lines = _lines("text")
 
     def kept(x: Column) -> Column:
-        dropped = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["size"] - 1)))
+        dropped = F.flatten(F.transform("__gone", lambda g: F.sequence(g["lo"], g["hi"])))
         return F.transform(F.array_except(F.sequence(F.lit(1), F.size(x)), dropped), lambda i: F.get(x, i - 1))
 
+    gone = F.when(F.col("__drop").isNotNull(), _let(lines, lambda x: _chunks(F.col("__drop"), x, min_lines, min_words)))
     joined = docs.withColumn("__key", row_key(docs["doc_id"].cast("long"), docs["text"])).join(drop, F.col("__key") == F.col("__row"), "left").withColumn("__gone", gone)
     out = joined.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_removed": F.coalesce(F.aggregate("__gone", F.lit(0), lambda a, g: a + g["size"]), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.aggregate("__gone", F.lit(0), lambda a, g: a + g["hi"] - g["lo"] + 1), F.lit(0)).cast("long"),
             "n_removed_chunks": F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long"),
         }
     )

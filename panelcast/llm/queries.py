@@ -43,26 +43,32 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Line dedup as common table expressions over `{table}`; `kept` has each document's remaining lines.
 LINE_DEDUP_CTES = """
-hashed AS (
-  SELECT doc_id, lines, list_transform(lines, lambda x: md5(x)) AS h
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {table})),
-ended AS (
-  SELECT doc_id, lines, [i for i in range(1, len(h) + 1) if i = len(h) OR substr(md5(coalesce(h[i - 1], '') || h[i]), 1, 1) < '4'] AS ends
-  FROM hashed),
-spans AS (
-  SELECT doc_id, lines, k, coalesce(ends[k - 1], 0) + 1 AS lo, ends[k] AS hi
-  FROM ended, unnest(range(1, len(ends) + 1)) AS t(k)),
-pieces AS (
-  SELECT doc_id, lo, hi, array_to_string(lines[lo:hi], chr(10)) AS chunk FROM spans),
-marked AS (
-  SELECT doc_id, lo, hi, chunk, hi > lo AND row_number() OVER (PARTITION BY chunk, hi > lo ORDER BY doc_id, lo) > 1 AS gone
-  FROM pieces),
+whole AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {table}),
+pairs AS (
+  SELECT doc_id, i AS pos, lines[i] || chr(10) || lines[i + 1] AS pair
+  FROM whole, unnest(range(1, len(lines))) AS t(i)),
+ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY pair ORDER BY doc_id, pos) AS nth FROM pairs),
+stretches AS (
+  SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS stretch
+  FROM ranked WHERE nth > 1),
+chunks AS (
+  SELECT doc_id, min(pos) AS lo, max(pos) + 1 AS hi FROM stretches GROUP BY doc_id, stretch),
+gone AS (
+  SELECT doc_id, lo, hi FROM chunks JOIN whole USING (doc_id)
+  WHERE len(regexp_extract_all(array_to_string(lines[lo:hi], chr(10)), '[^\\x20\\x09-\\x0D]+')) >= 5),
+gone_lines AS (
+  SELECT doc_id, unnest(range(lo, hi + 1)) AS line FROM gone),
+per_doc AS (
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n_removed, list(line) AS dropped FROM gone_lines GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n_removed_chunks FROM gone GROUP BY doc_id),
 kept AS (
-  SELECT doc_id, CAST(sum(hi - lo + 1) AS BIGINT) AS n_lines,
-    CAST(coalesce(sum(hi - lo + 1) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
-    CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed_chunks,
-    coalesce(string_agg(chunk, chr(10) ORDER BY lo) FILTER (WHERE NOT gone), '') AS text
-  FROM marked GROUP BY doc_id)"""
+  SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+    coalesce(n_removed_chunks, 0) AS n_removed_chunks,
+    array_to_string([lines[i] for i in range(1, len(lines) + 1) if dropped IS NULL OR NOT list_contains(dropped, i)], chr(10)) AS text
+  FROM whole LEFT JOIN per_doc USING (doc_id) LEFT JOIN counted USING (doc_id))"""
+
 
 OP2_SQL = f"WITH {LINE_DEDUP_CTES.format(table='documents')} SELECT doc_id, n_lines, n_removed, n_removed_chunks, sha256(text) AS kept_sha256 FROM kept"
 
