@@ -32,6 +32,10 @@ def _lines(text: Column | str) -> Column:
     return F.split(text, "\n")
 
 
+def _digest(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def rolling_hashes(text: Column | str) -> Column:
     """Structs (pos, key): the hash of the hashes of lines pos and pos + 1, from 1 on, of a text of two lines or more."""
     hashes = F.transform(_lines(text), lambda x: F.xxhash64(x))
@@ -40,7 +44,7 @@ def rolling_hashes(text: Column | str) -> Column:
 
 def row_key(doc_id: Column, text: Column) -> Column:
     """128 bits that name a row by its id, null or not, and its text: rows that share an id are told apart, rows that repeat both are one document."""
-    return F.substring(F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text), 256)), 1, 16)
+    return _digest(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text))
 
 
 def repeated_pairs(docs: DataFrame) -> DataFrame:
@@ -66,11 +70,13 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     suspects = materialize(suspects, "suspect-pairs")
     rows = suspects.agg(F.sum("copies")).first()[0] or 0
     pair = _let(_lines("text"), lambda x: F.transform("suspects", lambda s: F.struct(s["pos"].alias("pos"), s["key"].alias("key"), s["hot"].alias("hot"), F.concat(F.get(x, s["pos"] - 1), F.lit("\n"), F.get(x, s["pos"])).alias("pair"))))
-    bytes_of = join_spread(texts, suspects, ["row"], "copies", rows, ["copy"]).select("doc_id", "row", F.explode(pair).alias("c")).select("doc_id", "row", "c.*")
+    bytes_of = join_spread(texts, suspects, ["row"], "copies", rows, ["copy"]).select("doc_id", "row", F.explode(pair).alias("c")).select("doc_id", "row", "c.*").withColumn("digest", _digest(F.col("pair")))
     place = F.struct("doc_id", "row", "pos")
-    first = bytes_of.groupBy("key", "pair", "hot").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(F.col("lo") != F.col("hi"))
-    first = first.select("key", "pair", "lo", all_salts(F.col("hot")).alias("salt"))
-    later = bytes_of.withColumn("salt", salt(F.col("hot"), "row", "pos")).join(first, ["key", "salt", "pair"]).filter(~place.eqNullSafe(F.col("lo")))
+    # bytes are compared where they meet as groups; a hash and digest that one text alone has then stands for it
+    texts_of = bytes_of.groupBy("key", "digest", "hot", "pair").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    first = texts_of.groupBy("key", "digest", "hot").agg(F.count("*").alias("texts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("texts = 1 and lo != hi")
+    first = first.select("key", "digest", "lo", all_salts(F.col("hot")).alias("salt"))
+    later = bytes_of.select("doc_id", "row", "pos", "key", "digest", salt(F.col("hot"), "row", "pos").alias("salt")).join(first, ["key", "salt", "digest"]).filter(~place.eqNullSafe(F.col("lo")))
     return later.groupBy("row").agg(F.collect_set("pos").alias("drop"))
 
 
