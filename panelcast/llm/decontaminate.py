@@ -5,13 +5,14 @@ suffixes that begin like some test suffix (the others cannot match a window),
 sorted by their words; every test suffix is looked up by binary search, which
 gives all places where a whole window of it occurs. Windows that follow each other
 in a document and in an item are one verbatim match: `matches` returns the longest
-ones with their places, and the verdict on a document follows from the same hits.
+ones with their places, and the verdict on a document follows from these.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -176,26 +177,48 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield block
 
 
+@dataclass
+class Matches:
+    """The longest matches of a batch of texts, in the order of its rows."""
+
+    row: np.ndarray
+    item: list[str]
+    place: np.ndarray
+    item_place: np.ndarray
+    size: np.ndarray
+
+    def hits(self, at: np.ndarray) -> np.ndarray:
+        """Words of each text that some match covers; `at` has the n+1 word offsets of the texts."""
+        cover = np.zeros(at[-1] + 1, np.int64)
+        np.add.at(cover, at[self.row] + self.place, 1)
+        np.add.at(cover, at[self.row] + self.place + self.size, -1)
+        upto = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+        return upto[at[1:]] - upto[at[:-1]]
+
+    def by_row(self, n_rows: int) -> Iterator[list[tuple[int, int, str, int]]]:
+        """Each text's matches as (-words, place, item, place in the item): the least is the longest, then the first."""
+        edge = np.searchsorted(self.row, np.arange(n_rows + 1))
+        all_ = list(zip((-self.size).tolist(), self.place.tolist(), self.item, self.item_place.tolist(), strict=True))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield all_[a:b]
+
+    def column(self, n_rows: int) -> pa.Array:
+        """A list of structs for each text."""
+        cols = [pa.array(-self.size, pa.int64()), pa.array(self.place, pa.int64()), pa.array(self.item, pa.string()), pa.array(self.item_place, pa.int64())]
+        edge = np.searchsorted(self.row, np.arange(n_rows + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays(cols, ["less", "place", "item_id", "item_place"]))
+
+
 def _scan(items: list[tuple], window: int, judge):
-    """A mapInArrow function; judge(ids of the rows, per row: n_words, hit places, items) makes the output batch."""
+    """A mapInArrow function; judge(rows, word offsets of their texts, their longest matches) makes the output batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sfx = Suffixes(items, window)
         for batch in text_slices(batches):
             low, s, e, at = words(*buffers(batch.column(batch.schema.get_field_index("text"))))
-            place, size, owner, start = search(sfx, _number(sfx, low, s, e), at)
-            row = np.searchsorted(at, place, "right") - 1
-            cover = np.zeros(len(s) + 1, np.int64)
-            np.add.at(cover, place, 1)
-            np.add.at(cover, place + size, -1)
-            hit = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-            hits = np.split(hit, np.searchsorted(hit, at[1:-1])) if batch.num_rows else []
-            found: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            for r, o in set(zip(row.tolist(), owner.tolist(), strict=True)):
-                found[r].add(sfx_items[o])
-            yield judge(batch, np.diff(at), [h - a for h, a in zip(hits, at, strict=False)], found)
-
-    sfx_items = [k for k, _ in items]
+            row, owner, *rest = longest(*search(sfx, _number(sfx, low, s, e), at), at)
+            yield judge(batch, at, Matches(row, [items[k][0] for k in owner.tolist()], *rest))
+
     return run
 
 
@@ -208,53 +231,55 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     Only runs of `window` words or more, or of a whole shorter item; places count
     words from 0. Null texts have no words and items without words no matches;
     repeated rows are searched one by one, equal (item, text) rows once, and a
-    null item_id is an empty one.
+    null item_id is an empty one. Whole texts are searched, however long; an empty
+    table gives no rows; other columns of docs are left out, whatever their names.
     """
 
-    def scan(items: list[tuple]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sfx = Suffixes(items, window)
-            for batch in text_slices(batches):
-                low, s, e, at = words(*buffers(batch.column(1)))
-                row, owner, *rest = longest(*search(sfx, _number(sfx, low, s, e), at), at)
-                names = pa.array([items[k][0] for k in owner.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names, *[pa.array(x, pa.int64()) for x in rest]], ["doc_id", "item_id", "place", "item_place", "n_words"])
-
-        return run
+    def judge(batch: pa.RecordBatch, at: np.ndarray, found: Matches) -> pa.RecordBatch:
+        cols = [batch.column(0).take(pa.array(found.row)), pa.array(found.item, pa.string()), *[pa.array(x, pa.int64()) for x in (found.place, found.item_place, found.size)]]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "place", "item_place", "n_words"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = base.mapInArrow(scan([]), MATCH_SCHEMA)
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
-        found = base.mapInArrow(scan(block), MATCH_SCHEMA)
-        out = out.unionByName(found) if k else found
-    return out
+    out = None
+    for block in _blocks(benchmark, block_bytes):
+        found = base.mapInArrow(_scan(block, window, judge), MATCH_SCHEMA)
+        out = out.unionByName(found) if out is not None else found
+    return out if out is not None else base.mapInArrow(_scan([], window, judge), MATCH_SCHEMA)
 
 
 def digest(items: set[str] | list[str]) -> str:
     return hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest()
 
 
-RESULT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_place long, match_item string"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: words, words hit by a window of a test item, items found, verdict.
+    """Per document: words, words inside its longest matches, items found, verdict, and the longest match of all.
 
-    A document is contaminated if it has a hit and ratio * hits >= words. Null
+    A document is contaminated if it has a hit and ratio * hits >= words.
+    longest_match has the words of its longest match (0: none), match_place and
+    match_item where that starts in the document and whose it is (null: none); of
+    equally long ones the first place counts, then the least item_id. Null
     texts have no words, and no item is found in them; items without words have
     no window; a short item is one window; a null item_id is an empty one. Repeated
     rows are judged one by one, whole texts however long; empty tables have no rows.
     The test set goes to the tasks in blocks of at most block_bytes (+ one
-    item); with more than one block the partial hits are merged by document.
+    item); with more than one block the matches are merged by document.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = list(_two(_blocks(benchmark, block_bytes)))
     if len(blocks) <= 1:
 
-        def judge(batch, n_words, hits, found):
-            n_hit = [len(h) for h in hits]
-            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([digest(f) for f in found]), pa.array([h > 0 and ratio * h >= n for h, n in zip(n_hit, n_words.tolist(), strict=True)])]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        def judge(batch: pa.RecordBatch, at: np.ndarray, found: Matches) -> pa.RecordBatch:
+            n_words, n_hit = np.diff(at), found.hits(at)
+            rows = list(found.by_row(batch.num_rows))
+            items = [{m[2] for m in r} for r in rows]
+            best = [min(r, default=(0, None, None)) for r in rows]
+            verdict = (n_hit > 0) & (ratio * n_hit >= n_words)
+            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for f in items], pa.int64()), pa.array([digest(f) for f in items], pa.string()), pa.array(verdict)]
+            cols += [pa.array([-m[0] for m in best], pa.int64()), pa.array([m[1] for m in best], pa.int64()), pa.array([m[2] for m in best], pa.string())]
+            return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in RESULT_SCHEMA.split(", ")])
 
         return base.mapInArrow(_scan(blocks[0] if blocks else [], window, judge), RESULT_SCHEMA)
 
@@ -264,8 +289,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     number = F.row_number().over(W.partitionBy("doc_id", _text_key()).orderBy(F.lit(1)))
     base = base.withColumn("copy", F.concat_ws("-", number, _text_key()))
     merged = _merged(base, benchmark, window, block_bytes)
-    n_hit = F.size("hits").cast("long")
-    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), _contaminated(ratio).alias("contaminated"))
+    items, best = F.array_sort(F.array_distinct("found.item_id")), F.array_min("found")
+    return merged.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), _contaminated(ratio).alias("contaminated"), F.coalesce(-best["less"], F.lit(0)).cast("long").alias("longest_match"), best["place"].alias("match_place"), best["item_id"].alias("match_item"))
 
 
 def _text_key(text: str = "text") -> Column:
@@ -274,22 +299,27 @@ def _text_key(text: str = "text") -> Column:
 
 
 def _contaminated(ratio: int) -> Column:
-    n_hit = F.size("hits").cast("long")
-    return (n_hit > 0) & (n_hit * ratio >= F.col("n_words"))
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))
+
+
+FOUND_SCHEMA = "array<struct<less:bigint,place:bigint,item_id:string,item_place:bigint>>"
 
 
 def _merged(base: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """(doc_id, copy, n_words, hits, items): the hits of all blocks, merged by the id and copy of base."""
+    """(doc_id, copy, n_words, found, n_hit): the longest matches of all blocks, merged by the id and copy of base."""
 
-    def partial(batch, n_words, hits, found):
-        cols = [batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array([h.tolist() for h in hits], pa.list_(pa.int64())), pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "copy", "n_words", "hits", "items"])
+    def partial(batch: pa.RecordBatch, at: np.ndarray, found: Matches) -> pa.RecordBatch:
+        cols = [batch.column(0), batch.column(2), pa.array(np.diff(at), pa.int64()), found.column(batch.num_rows)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "copy", "n_words", "found"])
 
-    parts = [base.mapInArrow(_scan(b, window, partial), "doc_id long, copy string, n_words long, hits array<long>, items array<string>") for b in _blocks(benchmark, block_bytes)]
+    parts = [base.mapInArrow(_scan(b, window, partial), f"doc_id long, copy string, n_words long, found {FOUND_SCHEMA}") for b in _blocks(benchmark, block_bytes)]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    return merged.groupBy("doc_id", "copy").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # an item is in one block, so no match is cut; equal rows of base have equal matches
+    merged = merged.groupBy("doc_id", "copy").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    covered = F.array_distinct(F.flatten(F.transform("found", lambda m: F.sequence(m["place"], m["place"] - m["less"] - 1))))
+    return merged.withColumn("n_hit", F.size(covered).cast("long"))
 
 
 def _two(blocks: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -305,8 +335,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     blocks = list(_two(_blocks(benchmark, block_bytes)))
     if len(blocks) <= 1:
 
-        def keep(batch, n_words, hits, found):
-            return batch.filter(pa.array([not (len(h) > 0 and ratio * len(h) >= n) for h, n in zip(hits, n_words.tolist(), strict=True)], pa.bool_()))
+        def keep(batch: pa.RecordBatch, at: np.ndarray, found: Matches) -> pa.RecordBatch:
+            n_hit = found.hits(at)
+            return batch.filter(pa.array((n_hit == 0) | (ratio * n_hit < np.diff(at))))
 
         return docs.mapInArrow(_scan(blocks[0] if blocks else [], window, keep), docs.schema)
     # rows with the same id and text have one verdict; the id alone would take clean rows along

@@ -86,15 +86,15 @@ WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents),
 item AS (
-  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-  FROM benchmark),
+  SELECT item_id, row_number() OVER (ORDER BY item_id, text) AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, text FROM benchmark)),
 win AS (
-  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram
-  FROM item, unnest(range(1, greatest(len(w) - least(13, len(w)) + 2, 1))) AS t(i)
+  SELECT item_id, k, j, least(13, len(w)) AS n, array_to_string(w[j:j + least(13, len(w)) - 1], ' ') AS gram
+  FROM item, unnest(range(1, greatest(len(w) - least(13, len(w)) + 2, 1))) AS t(j)
   WHERE len(w) > 0),
 size AS (SELECT DISTINCT n FROM win),
 occ AS (
-  SELECT doc_id, i, size.n, win.item_id
+  SELECT doc_id, i, size.n, win.item_id, k, j
   FROM doc, size, unnest(range(1, greatest(len(w) - size.n + 2, 1))) AS t(i)
   JOIN win ON win.n = size.n AND win.gram = array_to_string(w[i:i + size.n - 1], ' ')),
 hit AS (
@@ -102,11 +102,21 @@ hit AS (
   FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
 found AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
-  FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id),
+island AS (
+  SELECT doc_id, item_id, k, i, n, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, k, i - j ORDER BY i) AS run
+  FROM occ),
+span AS (
+  SELECT doc_id, item_id, min(i) AS place, max(i) - min(i) + max(n) AS words
+  FROM island GROUP BY doc_id, item_id, k, diagonal, run),
+best AS (
+  SELECT doc_id, words, place, item_id FROM span
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, place, item_id) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(best.words, 0) AS BIGINT) AS longest_match, CAST(best.place - 1 AS BIGINT) AS match_place, best.item_id AS match_item
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 

@@ -13,6 +13,12 @@ def words(text):
     return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
+def longest_of(doc_id, text, items):
+    """Words, place and item of the longest match."""
+    best = min(((-n, i, k, j) for _, k, i, j, n in brute_matches([(doc_id, text)], items)), default=(0, None, None))
+    return (-best[0], *best[1:3])
+
+
 def brute(docs, items):
     windows = []
     for k, t in items:
@@ -27,7 +33,7 @@ def brute(docs, items):
                 if tuple(w[i : i + len(win)]) == win:
                     hit |= set(range(i, i + len(win)))
                     found.add(k)
-        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), *longest_of(doc_id, text, items)))
     return sorted(out, key=str)
 
 
