@@ -124,16 +124,17 @@ def labelled_sets(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
 
     The bound holds for the rows that are learned from, after the join: of rows
     that repeat id and text one counts, and rows that share an id but no text are
-    documents of their own.
+    documents of their own. Rows are chosen by hash before words are looked for, so
+    no more than max_labelled texts are shuffled, whatever share of all rows one id has.
     """
     known = labels.filter("grade is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "grade").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # the sample has max_labelled rows of two numbers at most
-    rows = texts.join(F.broadcast(sample), "doc_id").withColumn("row", F.xxhash64("doc_id", "text", "grade"))
-    sets = materialize(rows.select("row", "grade", "text").mapInArrow(_word_sets, "row long, grade int, words array<long>"), "labelled")
-    chosen = sets.select("row").distinct().orderBy("row").limit(max_labelled)
-    return sets.join(F.broadcast(chosen), "row", "left_semi").dropDuplicates(["row"])
+    # the sample has max_labelled rows of two numbers at most, chosen max_labelled numbers
+    rows = texts.join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text", "grade").alias("row"), "grade", "text")
+    chosen = rows.select("row").distinct().orderBy("row").limit(max_labelled)
+    few = rows.join(F.broadcast(chosen), "row", "left_semi").dropDuplicates(["row"])
+    return few.mapInArrow(_word_sets, "row long, grade int, words array<long>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_docs: int = MIN_DOCS, n_grades: int = GRADES, max_features: int = MAX_FEATURES) -> OrdinalModel:
@@ -198,7 +199,12 @@ def score(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) ->
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) -> DataFrame:
-    """The rows of docs, all columns, below the severity limit."""
+    """The rows of docs, all columns, below the severity limit.
+
+    Null and empty texts have the severity of the thresholds alone; repeated rows and
+    whole texts, however long, are judged one by one; an empty table stays empty. No
+    column is added, so names cannot clash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
