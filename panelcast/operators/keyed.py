@@ -6,6 +6,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: The last column of `together`.
+PLACE = "__place"
+
+
+def together(df: DataFrame, key: str, order: str) -> DataFrame:
+    """df with the rows of a key in one task, one after another in order, and PLACE, which counts them.
+
+    A window asks for that. `repartition(key)` does not do it after a union: where
+    its parts are dealt by key already the exchange is left out, and adaptive
+    coalescing may then put a key of each part into different tasks.
+    """
+    return df.withColumn(PLACE, F.row_number().over(Window.partitionBy(key).orderBy(order)))
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], key: int, rows: int) -> Iterator[pa.Table]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelcast.config import QUANTILES
 from panelcast.operators.features import between
-from panelcast.operators.keyed import changes, whole_keys
+from panelcast.operators.keyed import changes, together, whole_keys
 from panelcast.operators.poisson import PoissonModel, fit_poisson, predict_poisson  # noqa: F401  (one place for all models)
 from panelcast.operators.sliding import range_percentiles
 
@@ -47,13 +47,12 @@ def context_quantiles(panel: DataFrame, start: datetime, end: datetime, context:
             at = np.flatnonzero(np.asarray(rows.column(1), "datetime64[us]") >= first)
             y = np.asarray(rows.column(2).cast(pa.float64()).fill_null(np.nan), np.float64)
             q = range_percentiles(y, np.maximum(key_start[at], at - context), at, quantiles)
-            out = rows.take(pa.array(at))
+            out = rows.select(["key", "hour_ts", "y"]).take(pa.array(at))
             for name, values in zip(("p10", "prediction", "p90"), q.T, strict=True):
                 out = out.append_column(name, pa.array(values, mask=np.isnan(values)))
             yield from out.combine_chunks().to_batches()
 
-    sorted_rows = window.repartition("key").sortWithinPartitions("key", "hour_ts")
-    return sorted_rows.mapInArrow(run, f"key {kinds['key']}, hour_ts {kinds['hour_ts']}, y {kinds['y']}, p10 double, prediction double, p90 double")
+    return together(window, "key", "hour_ts").mapInArrow(run, f"key {kinds['key']}, hour_ts {kinds['hour_ts']}, y {kinds['y']}, p10 double, prediction double, p90 double")
 
 
 def rolling_backtest(panel: DataFrame, forecaster: Forecaster, start: datetime, end: datetime, context: int, chunk_hours: int = 24 * 28) -> DataFrame:

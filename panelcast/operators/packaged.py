@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from panelcast.operators.keyed import whole_keys
+from panelcast.operators.keyed import together, whole_keys
 
 #: Rows that a model is given at once, keys whole.
 BATCH_ROWS = 65_536
@@ -98,14 +98,14 @@ def score_batches(rows: DataFrame, artifact: Artifact, key: str = "key", order:
             yield from one(rows)
 
     def one(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        found = _load(name, loads).predict(rows.to_pandas())
+        found = _load(name, loads).predict(rows.select(names).to_pandas())
         lost = [c for c in kinds.names if c not in found.columns]
         if lost:
             raise ValueError(f"the model gives no {', '.join(lost)}; it declares {', '.join(kinds.names)}")
         yield from pa.Table.from_pandas(found[kinds.names], schema=kinds, preserve_index=False).combine_chunks().to_batches()
 
-    dealt = rows.select(*names).repartition(n_tasks, key) if n_tasks else rows.select(*names).repartition(key)
-    return dealt.sortWithinPartitions(key, order).mapInArrow(run, schema)
+    dealt = rows.select(*names).repartition(n_tasks, key) if n_tasks else rows.select(*names)
+    return together(dealt, key, order).mapInArrow(run, schema)
 
 
 class WindowQuantiles:

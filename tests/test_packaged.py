@@ -112,3 +112,21 @@ print("SCORED", packaged.score_batches(w, packaged.publish(spark, {str(tmp_path
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "SCORED 4" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_union_of_rows_dealt_by_key_is_scored_whole(spark, tmp_path):
+    """Many rows with values and few without, dealt by key alike, so that adaptive coalescing cuts the two differently."""
+    changed = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    old = {c: spark.conf.get(c, None) for c in changed}
+    for c, v in changed.items():
+        spark.conf.set(c, v)
+    try:
+        rows = spark.range(30_000).selectExpr("id AS key", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "'a' AS category")
+        more = spark.range(240_000).selectExpr("id % 30000 AS key", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id div 30000 AS int)) AS hour_ts", "1 AS y")
+        dealt = lambda df: df.repartition("key").groupBy("key", "hour_ts").agg(F.max("y").alias("y"))
+        asked = rows.select("key", (F.col("ts") + F.expr("INTERVAL 9 HOUR")).alias("hour_ts"), F.lit(None).cast("int").alias("y"))
+        out = packaged.score_batches(dealt(more).unionByName(dealt(asked)), artifact(spark, tmp_path)).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert len(out) == 30_000 and all(r.prediction is not None for r in out)
