@@ -129,3 +129,15 @@ def test_audits(spark, table):
     assert not quality.panel_audit(table.filter("NOT (key = 1 AND y = 3)")).first().gap_free
     got = {r.column: r.n_null for r in quality.null_audit(features.add_history(table), ["lag_1h", "lag_168h", "y"]).collect()}
     assert got == {"lag_1h": 2, "lag_168h": 336, "y": 0}
+
+
+def test_no_task_of_a_panel_grows_with_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(panel, "TASK_ROWS", 2_000)
+    start = datetime(2024, 1, 1)
+    for n_keys in (100, 400):
+        ev = spark.range(n_keys).selectExpr("id AS key", "timestamp_ntz'2024-01-01 05:30:00' AS ts", "'a' AS category")
+        rows = panel.panel(ev, ev, start, start + timedelta(hours=100))
+        history = features.add_history(rows)
+        sizes = [r["count"] for r in history.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 100 * n_keys and max(sizes) < 8_000 and len(sizes) > n_keys / 40
+        assert history.filter("y = 1").count() == n_keys
