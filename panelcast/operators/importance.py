@@ -45,11 +45,15 @@ def stride(n: int, seed: int) -> tuple[int, int]:
 
 
 def permuted(rows: DataFrame, n: int, columns: list[str], seed: int = 0) -> DataFrame:
-    """Numbered rows with `columns` of row (a i + b) mod n: one join by number, each row used once, the columns together."""
+    """Numbered rows with `columns` of row (a i + b) mod n: one join by number, each row used once, the columns together.
+
+    Both sides have all rows, so the join merges sorted ones: by the size of its
+    compressed file one side could look small enough to be sent to every task.
+    """
     a, b = stride(n, seed)
     source = rows.select(F.col(NUMBER).alias("__from"), *[F.col(c).alias(f"__new_{c}") for c in columns])
     product = F.col(NUMBER).cast("decimal(38,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(b)
-    dealt = rows.withColumn("__from", F.pmod(product, F.lit(max(1, n)).cast("decimal(38,0)")).cast("long")).join(source, "__from")
+    dealt = rows.withColumn("__from", F.pmod(product, F.lit(max(1, n)).cast("decimal(38,0)")).cast("long")).join(source.hint("merge"), "__from")
     return dealt.withColumns({c: F.col(f"__new_{c}") for c in columns}).drop("__from", *[f"__new_{c}" for c in columns])
 
 
