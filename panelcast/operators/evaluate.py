@@ -109,8 +109,11 @@ def row_set_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFr
 
 
 def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: rows in common and the largest difference between two sets of predictions."""
-    both = a.select("key", "hour_ts", F.col("prediction").alias("pa")).join(b.select("key", "hour_ts", F.col("prediction").alias("pb")), ["key", "hour_ts"])
+    """One row: rows in common and the largest difference between two sets of predictions.
+
+    The join merges: a set that was stored looks small by its compressed files.
+    """
+    both = a.select("key", "hour_ts", F.col("prediction").alias("pa")).join(b.select("key", "hour_ts", F.col("prediction").alias("pb")).hint("merge"), ["key", "hour_ts"])
     return both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("pa") - F.col("pb"))).alias("max_diff"))
 
 
@@ -127,8 +130,11 @@ def only_models(forecasts: DataFrame, models: list[str]) -> DataFrame:
 
 
 def stored_results(spark: SparkSession, path: str, model: str, keys: DataFrame, group: str) -> DataFrame:
-    """Test metrics of a model's stored forecasts as (metric, value) rows, with the band's coverage where any row has a band."""
-    rows = spark.read.parquet(path).filter(F.col("model") == model).join(keys, "key")
+    """Test metrics of a model's stored forecasts as (metric, value) rows, with the band's coverage where any row has a band.
+
+    The join merges: stored forecasts look small by their compressed files.
+    """
+    rows = spark.read.parquet(path).filter(F.col("model") == model).join(keys.hint("merge"), "key")
     names = metrics_long(metrics_with_total(rows, group), "test", group).select("metric", "value")
     band = coverage(rows).select(F.lit("test_coverage_p10_p90").alias("metric"), F.col("coverage").alias("value")).filter("value IS NOT NULL")
     return names.unionByName(band)

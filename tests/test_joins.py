@@ -2,13 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from panelcast.operators import importance
+from panelcast.operators import evaluate, importance
+from panelcast.sources import sinks
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def forecasts(spark):
+    rows = spark.range(600).selectExpr("id % 30 AS key", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id div 30 AS int)) AS hour_ts", "cast(id % 7 AS int) AS y", "3.0D AS prediction")
+    return sinks.forecast_rows(rows, "m")
+
+
 def merged(df):
     text = plan(df)
     return "SortMergeJoin" in text and "Broadcast" not in text
@@ -19,3 +25,20 @@ def test_permuted_inputs_are_merged(spark):
     out = importance.permuted(rows, 100, ["a"])
     assert merged(out)
     assert sorted(r.a for r in out.collect()) == list(range(0, 200, 2))
+
+
+def test_stored_and_new_forecasts_are_merged(spark, tmp_path):
+    path = f"file://{tmp_path}/f"
+    sinks.replace_slice(forecasts(spark), path, "model", ("key",))
+    out = evaluate.reconcile_or_fail(spark.read.parquet(path), forecasts(spark))
+    assert merged(out)
+    assert (out.first().n, out.first().max_diff) == (600, 0.0)
+
+
+def test_stored_forecasts_and_their_keys_are_merged(spark, tmp_path):
+    path = f"file://{tmp_path}/f"
+    sinks.replace_slice(forecasts(spark), path, "model", ("key",))
+    keys = spark.range(30).selectExpr("id AS key", "if(id < 10, 'A', 'B') AS group_name")
+    out = evaluate.stored_results(spark, path, "m", keys, "group_name")
+    assert merged(out)
+    assert {r.metric for r in out.collect()} == {f"test_{k}{g}" for k in ("mae", "rmse", "wape") for g in ("", "_A", "_B")}
