@@ -61,17 +61,22 @@ class Tree:
         return cls(np.full(n, -1), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n))
 
     def leaves(self, x: np.ndarray, by_bin: bool) -> np.ndarray:
-        """The node in which each row of x, inputs or their bins, ends."""
-        at = np.zeros(len(x), np.int64)
-        limit = self.bin if by_bin else self.threshold
-        for _ in range(int(np.log2(len(self.input) + 1)) - 1):
-            split = self.input[at]
-            inner = split >= 0
-            if not inner.any():
-                break
-            left = x[np.arange(len(x)), np.maximum(split, 0)] <= limit[at]
-            at = np.where(inner, 2 * at + 2 - left, at)
-        return at
+        """The node in which each row of x, inputs or their bins, ends.
+
+        Nodes are judged for whole columns of x, best kept one after another, and not
+        by looking up an input for each row: a compare and a choice, by masks of bits,
+        of small numbers.
+        """
+        limit, small = self.bin if by_bin else self.threshold, np.min_scalar_type(len(self.input))
+
+        def ends(i: int) -> np.ndarray:
+            j = self.input[i]
+            if j < 0:
+                return small.type(i)
+            left, right = ends(2 * i + 1), ends(2 * i + 2)
+            return right ^ ((left ^ right) & np.negative((x[:, j] <= x.dtype.type(limit[i])).astype(small)))
+
+        return np.broadcast_to(ends(0), len(x))
 
 
 @dataclass
@@ -95,7 +100,8 @@ class QuantileModel:
 
 
 def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    return np.stack([np.asarray(batch.column(j).fill_null(np.nan), np.float64) for j in range(n)], axis=1)
+    """Inputs as rows."""
+    return np.stack([np.asarray(batch.column(j).fill_null(np.nan), np.float64) for j in range(n)])
 
 
 def _packed(edges: list[np.ndarray]):
@@ -106,7 +112,7 @@ def _packed(edges: list[np.ndarray]):
             for at in range(0, batch.num_rows, PACK_ROWS):
                 part = batch.slice(at, PACK_ROWS)
                 x = _matrix(part, len(edges))
-                bins = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+                bins = np.stack([np.searchsorted(e, x[j], "left") for j, e in enumerate(edges)]).astype(np.uint8)
                 y = np.asarray(part.column(len(edges)), np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["bins", "y"])
 
@@ -115,7 +121,7 @@ def _packed(edges: list[np.ndarray]):
 
 def _rows(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     y = np.frombuffer(batch.column(1)[i].as_py())
-    return np.frombuffer(batch.column(0)[i].as_py(), np.uint8).reshape(len(y), -1), y
+    return np.frombuffer(batch.column(0)[i].as_py(), np.uint8).reshape(-1, len(y)).T, y
 
 
 def _histograms(packed: DataFrame, model: QuantileModel, growing: list[Tree], level: int) -> np.ndarray:
@@ -127,13 +133,14 @@ def _histograms(packed: DataFrame, model: QuantileModel, growing: list[Tree], le
         bins, y = _rows(batch, i)
         out = np.zeros(shape)
         for k, tree in enumerate(growing):
-            node = tree.leaves(bins, True) - first
+            node = tree.leaves(bins, True).astype(np.int64) - first
+            cell = 2 * BINS * node + (y > model.raw(k, bins, True))  # a gradient is one of two numbers, so rows above and below are counted
             live = node >= 0  # others ended above
-            gradient = np.where(y > model.raw(k, bins, True), model.quantiles[k], model.quantiles[k] - 1)[live]
+            cell, some = (cell, bins) if live.all() else (cell[live], bins[live])
             for j in range(n_inputs):
-                cell = node[live] * BINS + bins[live, j]
-                out[k, 0, :, j] = np.bincount(cell, gradient, n_nodes * BINS).reshape(n_nodes, BINS)
-                out[k, 1, :, j] = np.bincount(cell, minlength=n_nodes * BINS).reshape(n_nodes, BINS)
+                n = np.bincount(cell + 2 * some[:, j].astype(np.int64), minlength=n_nodes * BINS * 2).reshape(n_nodes, BINS, 2)
+                out[k, 0, :, j] = model.quantiles[k] * n[..., 1] + (model.quantiles[k] - 1) * n[..., 0]
+                out[k, 1, :, j] = n.sum(-1)
         return out.ravel()
 
     return array_sum(packed, int(np.prod(shape)), of).reshape(shape)
@@ -221,7 +228,7 @@ def raw_quantiles(model: QuantileModel) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(x: pd.DataFrame) -> pd.Series:
-        m = x.to_numpy(float)
+        m = np.asfortranarray(x.to_numpy(float))
         out = np.stack([model.raw(k, m) for k in range(len(model.quantiles))], axis=1)
         return pd.Series(list(out + (0 if model.shift is None else model.shift)))
 
@@ -265,17 +272,22 @@ def trees_table(spark: SparkSession, model: QuantileModel) -> DataFrame:
 
 
 def scored_by_table(trees: DataFrame, inputs: DataFrame, depth: int) -> DataFrame:
-    """(key, hour_ts, quantile, raw): forecasts out of the exported table alone, by joins, a level of all trees at a time.
+    """(key, hour_ts, quantile, raw): forecasts out of the exported table alone, by one join of each row with all trees.
 
-    The table of trees has a bounded number of rows, whatever the data.
+    The table of trees has a bounded number of rows, whatever the data: its nodes
+    are packed as arrays by tree, and the trees by quantile, so that a row meets
+    them once a quantile and not once a tree and level.
     """
-    nodes = F.broadcast(trees)
-    values = F.create_map(*[x for c in INPUTS for x in (F.lit(c), F.col(c))])
-    roots = F.broadcast(trees.filter("node = 0").select("quantile", "tree"))
-    at = inputs.select("key", "hour_ts", values.alias("x")).join(roots).withColumn("node", F.lit(0))
-    for _ in range(depth):
-        step = at.join(nodes, ["quantile", "tree", "node"])
-        goes = F.when(F.col("input").isNull(), F.col("node")).when(F.get(F.map_values(F.map_filter("x", lambda k, _: k == F.col("input"))), 0) <= F.col("threshold"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
-        at = step.select("key", "hour_ts", "x", "quantile", "tree", goes.alias("node"))
-    ended = at.join(nodes, ["quantile", "tree", "node"])
-    return ended.groupBy("key", "hour_ts", "quantile").agg(F.sum("value").alias("raw"))
+    place = F.coalesce(*[F.when(F.col("input") == c, F.lit(j)) for j, c in enumerate(INPUTS)])
+    nodes = F.map_from_entries(F.collect_list(F.struct("node", F.struct(place.alias("input"), "threshold", "value"))))
+    by_tree = trees.groupBy("quantile", "tree").agg(nodes.alias("nodes"))
+    every = F.transform(F.sequence(F.lit(0), F.lit((2 << depth) - 2)), lambda i: F.try_element_at("nodes", i))  # node i at place i, null where the tree has none
+    models = by_tree.select("quantile", every.alias("nodes")).groupBy("quantile").agg(F.collect_list("nodes").alias("trees"))
+    x = F.array(*[F.col(c).cast("double") for c in INPUTS])
+    both = inputs.select("key", "hour_ts", x.alias("x")).crossJoin(F.broadcast(models))
+
+    def ended(tree):
+        step = lambda at, _: F.when(F.get(tree, at)["input"].isNull(), at).when(F.get("x", F.get(tree, at)["input"]) <= F.get(tree, at)["threshold"], 2 * at + 1).otherwise(2 * at + 2)
+        return F.get(tree, F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step))["value"]
+
+    return both.select("key", "hour_ts", "quantile", F.aggregate("trees", F.lit(0.0), lambda s, tree: s + ended(tree)).alias("raw"))
