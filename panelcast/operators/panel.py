@@ -36,14 +36,15 @@ def panel(events: DataFrame, keys: DataFrame, start: datetime, end: datetime, ca
     the range prunes the scan. Keys and counts are dealt out by key before the
     grid is exploded, as rows of zeros that are added up with the counts, so the
     grid itself is not shuffled, and windows over a key's hours need no other
-    shuffle. The number of tasks follows from the number of keys, which is counted
+    shuffle. Both are added up where they are read, so few keys with many events
+    are few rows. The number of tasks follows from the number of keys, which is counted
     first: coalescing by bytes would give a task any number of rows, as grids
     compress to next to nothing. A key has as many rows as there are hours, so none
     is large.
     """
     inside = events.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
     names, n = ["y", *(categories or {})], n_tasks(keys, math.ceil((end - start) / timedelta(hours=1)))
-    grid = hour_spine(keys.select("key").repartition(n, "key").distinct(), F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    grid = hour_spine(keys.select("key").distinct().repartition(n, "key"), F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
     zeros = grid.select("key", "hour_ts", *[F.lit(0).cast("long").alias(c) for c in names], F.lit(1).alias("__in_grid"))
     both = zeros.unionByName(counts(inside, categories).repartition(n, "key").withColumn("__in_grid", F.lit(0)))
     out = both.groupBy("key", "hour_ts").agg(*[F.sum(c).cast("int").alias(c) for c in names], F.max("__in_grid").alias("__in_grid"))

@@ -141,3 +141,13 @@ def test_no_task_of_a_panel_grows_with_the_keys(spark, monkeypatch):
         sizes = [r["count"] for r in history.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert sum(sizes) == 100 * n_keys and max(sizes) < 8_000 and len(sizes) > n_keys / 40
         assert history.filter("y = 1").count() == n_keys
+
+
+def test_keys_and_counts_are_added_up_before_they_are_dealt_by_key(spark):
+    """Three keys are dealt to one task: it must be given a row for each task that read them, not all events."""
+    ev = spark.range(900).selectExpr("id % 3 AS key", "timestamp_ntz'2024-01-01 00:30:00' + make_dt_interval(0, cast(id % 24 AS int)) AS ts", "'a' AS category")
+    rows = panel.panel(ev, ev, START, hours(24))
+    lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    assert len(below) == 2 and all("HashAggregate" in line for line in below)
+    assert rows.count() == 3 * 24 and rows.agg(F.sum("y")).first()[0] == 900
