@@ -51,15 +51,16 @@ def save(model: Any, path: str, inputs: dict[str, str], outputs: dict[str, str])
 
 
 def publish(spark: SparkSession, path: str) -> Artifact:
-    """Send the artifact at a local path to all executors. Its name there tells its content, so that another version is another file."""
+    """Send the artifact at a local path to all executors. Its name there tells its content, so that another version is another file, and the same one is sent once an application: Spark's file server refuses a name from a second path."""
     with zipfile.ZipFile(path) as z:
         columns, body = json.loads(z.read("columns.json")), z.read("model.pkl")
     name = f"model-{hashlib.sha256(body + json.dumps(columns).encode()).hexdigest()[:24]}.zip"
-    copy = os.path.join(tempfile.mkdtemp(prefix="spark-model-"), name)
-    with zipfile.ZipFile(copy, "w") as z:  # without times: the same model is the same file
-        z.writestr(zipfile.ZipInfo("columns.json"), json.dumps(columns))
-        z.writestr(zipfile.ZipInfo("model.pkl"), body)
-    spark.sparkContext.addFile(copy)
+    if not any(sent.endswith(f"/{name}") for sent in spark.sparkContext.listFiles):
+        copy = os.path.join(tempfile.mkdtemp(prefix="spark-model-"), name)
+        with zipfile.ZipFile(copy, "w") as z:  # without times: the same model is the same file
+            z.writestr(zipfile.ZipInfo("columns.json"), json.dumps(columns))
+            z.writestr(zipfile.ZipInfo("model.pkl"), body)
+        spark.sparkContext.addFile(copy)
     return Artifact(path, name, columns["inputs"], columns["outputs"])
 
 

@@ -76,6 +76,13 @@ def test_another_version_is_another_file(spark, window, tmp_path):
     assert a.p10 < b.p10 and a.prediction == b.prediction
 
 
+def test_the_same_model_is_sent_once(spark, window, tmp_path):
+    """On a cluster a name that is added from a second path is an error; in one process both would be listed."""
+    first, again = artifact(spark, tmp_path, packaged.WindowQuantiles(0.3, 0.7)), artifact(spark, tmp_path, packaged.WindowQuantiles(0.3, 0.7))
+    assert first.name == again.name and [f.rpartition("/")[2] for f in spark.sparkContext.listFiles].count(first.name) == 1
+    assert packaged.score_batches(window.filter("key < 9"), again).count() == 9
+
+
 def test_only_the_window_and_its_lags_are_read(spark, tmp_path):
     path = f"file://{tmp_path}/panel"
     spark.range(3).selectExpr("id AS key", "explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-02-20', interval 1 hour)) AS hour_ts").withColumn("y", F.hour("hour_ts")).write.parquet(path)
