@@ -18,7 +18,9 @@ def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     """df with NUMBER, 0, 1, ... in the given order, and how many rows there are.
 
     The table is sorted by ranges and written; numbers count on from range to
-    range, so no task sees all rows. The order tells all rows apart.
+    range, so no task sees all rows. The order tells all rows apart. The starts of
+    the ranges are broadcast, one row a task; Spark does not know how small a table
+    from the driver is, and would rather send the compressed rows.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
@@ -32,7 +34,7 @@ def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
         starts.append((p, total))
         total += n
     offsets = spark.createDataFrame(starts, "__part long, __start long")
-    out = stored.withColumn("__part", part.cast("long")).join(offsets, "__part").withColumn(NUMBER, F.col("__start") + place)
+    out = stored.withColumn("__part", part.cast("long")).join(F.broadcast(offsets), "__part").withColumn(NUMBER, F.col("__start") + place)
     return out.drop("__id", "__part", "__start"), total
 
 

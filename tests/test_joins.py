@@ -27,6 +27,16 @@ def test_permuted_inputs_are_merged(spark):
     assert sorted(r.a for r in out.collect()) == list(range(0, 200, 2))
 
 
+def test_numbered_rows_stay_where_they_are(spark):
+    """Where their ranges start is sent to them, and not the rows to every task."""
+    rows, n = importance.numbered(spark.range(100).selectExpr("(id * 37) % 100 AS k", "id AS v"), "k")
+    text = plan(rows)
+    assert n == 100 and "BuildRight" in text and "BuildLeft" not in text
+    sent = text[text.index("BroadcastExchange") :]
+    assert "ExistingRDD" in sent and "FileScan" not in sent
+    assert sorted((r.k, r[importance.NUMBER]) for r in rows.collect()) == [(i, i) for i in range(100)]
+
+
 def test_stored_and_new_forecasts_are_merged(spark, tmp_path):
     path = f"file://{tmp_path}/f"
     sinks.replace_slice(forecasts(spark), path, "model", ("key",))
