@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.config import QUANTILES
@@ -119,9 +119,9 @@ def _packed(edges: list[np.ndarray]):
     return run
 
 
-def _rows(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    y = np.frombuffer(batch.column(1)[i].as_py())
-    return np.frombuffer(batch.column(0)[i].as_py(), np.uint8).reshape(-1, len(y)).T, y
+def _rows(bins: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
+    targets = np.frombuffer(y)
+    return np.frombuffer(bins, np.uint8).reshape(-1, len(targets)).T, targets
 
 
 def _histograms(packed: DataFrame, model: QuantileModel, growing: list[Tree], level: int) -> np.ndarray:
@@ -129,8 +129,8 @@ def _histograms(packed: DataFrame, model: QuantileModel, growing: list[Tree], le
     first, n_nodes, n_inputs = (1 << level) - 1, 1 << level, len(model.inputs)
     shape = (len(growing), 2, n_nodes, n_inputs, BINS)
 
-    def of(batch: pa.RecordBatch, i: int) -> np.ndarray:
-        bins, y = _rows(batch, i)
+    def of(row: Row) -> np.ndarray:
+        bins, y = _rows(*row)
         out = np.zeros(shape)
         for k, tree in enumerate(growing):
             node = tree.leaves(bins, True).astype(np.int64) - first
@@ -167,7 +167,7 @@ def _residuals(model: QuantileModel, growing: list[Tree]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                bins, y = _rows(batch, i)
+                bins, y = _rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
                 for k, tree in enumerate(growing):
                     cols = [pa.array(np.full(len(y), k), pa.int32()), pa.array(tree.leaves(bins, True), pa.int32()), pa.array(y - model.raw(k, bins, True))]
                     yield pa.RecordBatch.from_arrays(cols, ["k", "node", "r"])

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import hour_of_week
@@ -29,8 +29,8 @@ from panelcast.operators.sums import array_sum
 from panelcast.sources.sinks import shared_folder
 
 HOURS = 168
-#: Panel rows of a run of keys.
-RUN_ROWS = 32_768
+#: Panel rows of a run of keys, and bytes of a row group of runs: a task reads a whole group at once.
+RUN_ROWS, GROUP_BYTES = 4_096, 8 << 20
 #: Weight of an hour of the week in which nothing was ever counted; its best one is minus infinity.
 NEVER = -30.0
 
@@ -85,11 +85,10 @@ def _packed(q: int):
 class Run:
     """A run of keys under given weights: rates, levels and expected counts."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int, weights: np.ndarray):
-        buffer = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), kind)
-        counts = buffer(1, np.int64)
-        self.y, self.hour = buffer(2, np.float64), buffer(3, np.int16).astype(np.int64)
-        self.x = buffer(4, np.float64).reshape(len(self.y), -1)
+    def __init__(self, row: Row, weights: np.ndarray):
+        counts = np.frombuffer(row["counts"], np.int64)
+        self.y, self.hour = np.frombuffer(row["y"], np.float64), np.frombuffer(row["hour"], np.int16).astype(np.int64)
+        self.x = np.frombuffer(row["x"], np.float64).reshape(len(self.y), -1)
         self.key = np.repeat(np.arange(len(counts)), counts)
         self.n_keys = len(counts)
         self.eta = weights[:HOURS][self.hour] + self.x @ weights[HOURS:]
@@ -123,12 +122,9 @@ class Run:
 
 
 def _levels(weights: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = Run(batch, i, weights)
-                keys = batch.column(0)[i].values
-                yield pa.RecordBatch.from_arrays([keys, pa.array(r.level), pa.array(r.seen), pa.array(r.rated)], ["key", "level", "seen", "rated"])
+    def run(row: Row) -> Iterator[tuple]:
+        r = Run(row, weights)
+        return zip(row["keys"], r.level.tolist(), r.seen.tolist(), r.rated.tolist(), strict=True)
 
     return run
 
@@ -154,14 +150,14 @@ def fit_poisson(train: DataFrame, extra: tuple[str, ...] = (), max_iter: int = 2
     standard = known.select("key", "y", "hour", *[_standard(n, F.col(n), means, deviations, True).alias(n) for n in inputs])
     kind = dict(train.dtypes)["key"]
     path = shared_folder(spark)
-    standard.repartition("key").sortWithinPartitions("key").mapInArrow(_packed(len(inputs)), f"keys array<{kind}>, counts binary, y binary, hour binary, x binary").write.parquet(path)
+    standard.repartition("key").sortWithinPartitions("key").mapInArrow(_packed(len(inputs)), f"keys array<{kind}>, counts binary, y binary, hour binary, x binary").write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     runs = spark.read.parquet(path)
     start = np.zeros(HOURS + len(inputs))
     for row in known.groupBy("hour").agg(F.sum("y").alias("y")).filter("y = 0").collect():  # an hour of the week a row
         start[row["hour"]] = NEVER
     weights, steps = _newton(runs, start, max_iter, tolerance)
     levels_path = shared_folder(spark)
-    runs.mapInArrow(_levels(weights), f"key {kind}, level double, seen double, rated double").write.parquet(levels_path)
+    spark.createDataFrame(runs.rdd.flatMap(_levels(weights)), f"key {kind}, level double, seen double, rated double").write.parquet(levels_path)
     levels = spark.read.parquet(levels_path)
     overall = levels.agg(F.try_divide(F.sum("seen"), F.sum("rated"))).first()[0]
     return PoissonModel(weights[:HOURS].tolist(), dict(zip(inputs, weights[HOURS:].tolist(), strict=True)), means, deviations, levels.select("key", "level"), float(overall or 0), extra, steps)
@@ -172,11 +168,11 @@ def _newton(runs: DataFrame, weights: np.ndarray, max_iter: int, tolerance: floa
     p, free = len(weights), weights != NEVER
 
     def at(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        def of(batch: pa.RecordBatch, i: int) -> np.ndarray:
-            r = Run(batch, i, weights)
+        def of(row: Row) -> np.ndarray:
+            r = Run(row, weights)
             return np.concatenate([[r.likelihood()], r.score(), r.information().ravel()])
 
-        total = array_sum(runs, 1 + p + p * p, of)
+        total = array_sum(runs.drop("keys"), 1 + p + p * p, of)
         return float(total[0]), total[1 : 1 + p] * free, total[1 + p :].reshape(p, p) * np.outer(free, free)
 
     value, score, information = at(weights)

@@ -5,38 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 #: Tasks beyond which what they add up is added up once more before the driver.
 TASKS = 64
 
 
-def _row(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+def array_sum(rows: DataFrame, size: int, of: Callable[[Row], np.ndarray]) -> np.ndarray:
+    """The sum of of(row), an array of `size` numbers, over all rows.
 
+    Rows are packed and so are long. They reach the workers pickled, in batches
+    of a few megabytes: Arrow batches have up to 10,000 rows, or 64 MB, which the
+    executor holds several times for each task, outside its heap.
+    """
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: np.ndarray | None = None
-    for batch in batches:
-        for x in batch.column(0):
-            part = np.frombuffer(x.as_py())
-            total = part.copy() if total is None else total + part
-    if total is not None:
-        yield _row(total)
-
-
-def array_sum(rows: DataFrame, size: int, of: Callable[[pa.RecordBatch, int], np.ndarray]) -> np.ndarray:
-    """The sum of of(batch, i), an array of `size` numbers, over all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: Iterator[Row]) -> Iterator[np.ndarray]:
         total = np.zeros(size)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                total += of(batch, i)
-        yield _row(total)
-
-    parts = rows.mapInArrow(run, "sums binary")
-    if rows.rdd.getNumPartitions() > TASKS:
-        parts = parts.repartition(TASKS).mapInArrow(_add, "sums binary")
-    return sum((np.frombuffer(r["sums"]) for r in parts.collect()), np.zeros(size))
+        for row in part:
+            total += of(row)
+        yield total
+
+    parts = rows.rdd.mapPartitions(run)
+    n = parts.getNumPartitions()
+    if not n:
+        return np.zeros(size)
+    return parts.treeReduce(np.add) if n > TASKS else parts.reduce(np.add)

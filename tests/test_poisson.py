@@ -76,6 +76,15 @@ def test_a_hundred_thousand_keys(spark):
     assert model.levels.count() == 100_000
 
 
+def test_runs_reach_the_workers_a_few_at_a_time(spark):
+    """An Arrow batch is held several times outside the heap of the executor, so none has all runs of a task."""
+    arrow = spark._jvm.org.apache.spark.sql.util.ArrowUtils.rootAllocator()
+    before = arrow.getPeakMemoryAllocation()
+    df = spark.range(1000).selectExpr("id AS key", "explode(sequence(0, 399)) AS h").selectExpr("key", "cast(h % 24 AS int) AS hour", "cast(h div 24 % 7 AS int) AS day_of_week", "0 AS is_holiday", "cast(key % 5 + h % 3 AS int) AS y", *[f"cast((key * {i} + h) % 3 AS double) AS {c}" for i, c in enumerate(HISTORY)])
+    poisson.fit_poisson(df, max_iter=1)
+    assert arrow.getPeakMemoryAllocation() <= max(before, 16 << 20), arrow.getPeakMemoryAllocation()
+
+
 def test_unknown_keys_unseen_counts_and_missing_history(spark):
     data = [r for r in rows(4, 60, 3)]
     data = [(*r[:2], 0, *r[3:]) if r[0] == 2 else r for r in data]
